@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans import usage_plans
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (usage_plans,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
