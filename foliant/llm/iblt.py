@@ -6,7 +6,7 @@ three rows of eight cells; a key is added to one cell of each row: the cell's co
 in. Subtracting two sketches cell by cell cancels what both hold. Peeling then takes keys out of the cells that hold
 just one (count 1 or -1, check bits right) until all cells are empty; the keys taken are the paragraphs that differ.
 If cells stay full, it is tried again with a larger sketch: both versions' keys are dealt to 2^k parts of 24 cells
-each, twice as many with each retry, and the parts are peeled as rows of their own, so that a long text is spread over
+each, twice as many with each retry and with other cells for each key, and the parts are peeled as rows of their own, so that a long text is spread over
 tasks. The likeness of two texts is the share of their distinct paragraphs that both hold.
 
 Cases: a null text is an empty one; texts without words have no paragraphs and an empty sketch; two such are alike
@@ -58,9 +58,11 @@ def cell_at(key: Column, row: int) -> Column:
     return F.shiftrightunsigned(key, 17 + 9 * row).bitwiseAND(F.lit(WIDTH - 1).cast("long")).cast("int") + WIDTH * row
 
 
-def placed(key: Column, sign: Column) -> Column:
+def placed(key: Column, sign: Column, salt: int = 0) -> Column:
+    """A key with its cells; with a salt other ones, so that keys which share all their cells part at a retry."""
+    spot = F.xxhash64(key, F.lit(salt)) if salt else key
     return F.struct(
-        key.alias("k"), sign.alias("s"), *[cell_at(key, row).alias(f"p{row}") for row in range(ROWS)]
+        key.alias("k"), sign.alias("s"), *[cell_at(spot, row).alias(f"p{row}") for row in range(ROWS)]
     )
 
 
@@ -98,13 +100,13 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x["n"] - y["n"], x["x"].bitwiseXOR(y["x"])))
 
 
-def peel(cells: Column) -> Column:
+def peel(cells: Column, salt: int = 0) -> Column:
     """array of struct(k, s): the keys left in a difference of sketches, s 1 or -1 by side; null if peeling stuck."""
     none = F.array().cast("array<struct<k:bigint,s:int,p0:int,p1:int,p2:int>>")
 
     def round_(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & is_key(c["x"]))
-        fresh = F.array_distinct(F.transform(alone, lambda c: placed(c["x"], c["n"])))
+        fresh = F.array_distinct(F.transform(alone, lambda c: placed(c["x"], c["n"], salt)))
         return F.when(F.size(alone) == 0, state).otherwise(
             F.element_at(
                 F.transform(
@@ -158,8 +160,9 @@ def differences(pairs: DataFrame) -> DataFrame:
         dealt = entries.groupBy("pair", F.pmod(F.xxhash64("e.k"), F.col("parts")).alias("part"), "parts").agg(
             F.collect_list("e").alias("es")
         )
-        sketched = put(empty_cells(), F.transform("es", lambda e: placed(e["k"], e["s"])))
-        peeled = materialize(dealt.select("pair", "parts", "es", peel(sketched).alias("left")), "iblt-parts")
+        salt = k + 1
+        sketched = put(empty_cells(), F.transform("es", lambda e: placed(e["k"], e["s"], salt)))
+        peeled = materialize(dealt.select("pair", "parts", "es", peel(sketched, salt).alias("left")), "iblt-parts")
         found.append(peeled.where("left is not null").select("pair", F.size("left").alias("n")))
         stuck, k = peeled.where("left is null"), k + 1
         if stuck.isEmpty():

@@ -193,3 +193,18 @@ def test_fingerprints_of_repeated_rows_and_no_rows(spark):
     got = iblt.compare_edits(df).collect()
     assert len(got) == 3 and len({r.fingerprint for r in got if r.doc_id == 1}) == 1
     assert iblt.compare_edits(df.limit(0)).count() == 0
+
+
+def test_larger_sketches_until_peeled(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(3000):
+        a = {rng.getrandbits(48) << 16 for _ in range(rng.randrange(0, 40))}
+        b = {rng.getrandbits(48) << 16 for _ in range(rng.randrange(0, 40))} | set(rng.sample(sorted(a), len(a) // 2))
+        signed = lambda xs: sorted(x - (1 << 64) if x >> 63 else x for x in xs)
+        rows.append((i, signed(a), signed(b)))
+        want[i] = len(a ^ b)
+    raw = spark.createDataFrame(rows, "pair long, a array<long>, b array<long>")
+    checked = raw.selectExpr("pair", *[f"transform({x}, h -> h | (xxhash64(h) & 65535L)) as keys_{x}" for x in "ab"])
+    pairs = checked.select("*", *[iblt.sketch(checked[f"keys_{x}"]).alias(f"cells_{x}") for x in "ab"])
+    assert {r.pair: r.n_differing for r in iblt.differences(pairs).collect()} == want
