@@ -100,12 +100,21 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x["n"] - y["n"], x["x"].bitwiseXOR(y["x"])))
 
 
+def net(taken: Column) -> Column:
+    """Without what was taken out and put back: a sum of keys that passed for one by chance."""
+    back = lambda e: F.struct(e["k"].alias("k"), (-e["s"]).alias("s"))
+    return F.filter(taken, lambda e: ~F.array_contains(taken, back(e)))
+
+
 def peel(cells: Column, salt: int = 0) -> Column:
     """array of struct(k, s): the keys left in a difference of sketches, s 1 or -1 by side; null if peeling stuck."""
     none = F.array().cast("array<struct<k:bigint,s:int,p0:int,p1:int,p2:int>>")
 
     def round_(state: Column, _: Column) -> Column:
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & is_key(c["x"]))
+        alone = F.filter(
+            state["cells"],
+            lambda c, i: F.when((F.abs(c["n"]) == 1) & is_key(c["x"]), hits(placed(c["x"], c["n"], salt), i)).otherwise(False),
+        )
         fresh = F.array_distinct(F.transform(alone, lambda c: placed(c["x"], c["n"], salt)))
         return F.when(F.size(alone) == 0, state).otherwise(
             F.element_at(
@@ -127,7 +136,7 @@ def peel(cells: Column, salt: int = 0) -> Column:
             F.array(end),
             lambda s: F.when(
                 ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0)),
-                F.transform(s["taken"], lambda e: F.struct(e["k"].alias("k"), e["s"].alias("s"))),
+                net(F.transform(s["taken"], lambda e: F.struct(e["k"].alias("k"), e["s"].alias("s")))),
             ),
         ),
         1,

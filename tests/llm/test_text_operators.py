@@ -207,4 +207,6 @@ def test_larger_sketches_until_peeled(spark):
     raw = spark.createDataFrame(rows, "pair long, a array<long>, b array<long>")
     checked = raw.selectExpr("pair", *[f"transform({x}, h -> h | (xxhash64(h) & 65535L)) as keys_{x}" for x in "ab"])
     pairs = checked.select("*", *[iblt.sketch(checked[f"keys_{x}"]).alias(f"cells_{x}") for x in "ab"])
-    assert {r.pair: r.n_differing for r in iblt.differences(pairs).collect()} == want
+    got = {r.pair: r.n_differing for r in iblt.differences(pairs).collect()}
+    odd = {k: (v, got.get(k)) for k, v in want.items() if got.get(k) != v}
+    assert not odd
