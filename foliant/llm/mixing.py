@@ -174,7 +174,8 @@ def slots(spark, plan: Plan, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> D
                 yield pd.DataFrame({"shard": shard, "source_no": to.astype("int32"), "block_no": block})
 
     rows = numbered.select("shard", "source_no", "first", "count")
-    return rows.mapInPandas(take, "shard long, source_no int, block_no long")
+    # Written, so that what joins with it goes by its size and not by that of the few rows it comes from.
+    return materialize(rows.mapInPandas(take, "shard long, source_no int, block_no long"), "mix-slots")
 
 
 def sized_documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -208,7 +209,9 @@ def mix_counts(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -
         F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block_words)
         - F.greatest("start", F.col("block_no") * block_words),
     )
-    times = slots(spark, plan, seed).groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
+    times = materialize(
+        slots(spark, plan, seed).groupBy("source_no", "block_no").agg(F.count("*").alias("times")), "mix-times"
+    )
     taken = (
         covered.join(times, ["source_no", "block_no"], "left")
         .groupBy("source_no", "start", *out)
