@@ -7,7 +7,7 @@ Pages are written as ARC archives (version 1 or 2 header lines), converted, and
 * ``read_warcs``: the records of WARC files, by declared length.
 
 Files are written and read by Spark, so they may lie in any store it knows. A file has at most ``FILE_CHUNKS`` chunks
-of ``CHUNK_BYTES`` (or one longer record each): a task holds a file at a time, not more.
+of ``CHUNK_BYTES`` (or one longer record each) and is compressed with gzip: a task holds a file at a time, not more.
 
 Of records with equal payloads of at least ``least_bytes``, that with the largest page_id is the response and the
 others are revisits of it; a digest is compared with its largest page_id only, and only those two are shuffled before
@@ -22,6 +22,7 @@ records. Only page_id, url and html are read. A file that breaks off inside a re
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -78,7 +79,12 @@ def in_chunks(records: Iterator[bytes], opening: bytes, between: bytes) -> Itera
 
 def save(chunks: DataFrame, path: str, between: str) -> None:
     text = chunks.select(F.col("chunk").cast("string"))
-    text.write.option("lineSep", between).option("maxRecordsPerFile", FILE_CHUNKS).text(path)
+    text.write.option("lineSep", between).option("maxRecordsPerFile", FILE_CHUNKS).option("compression", "gzip").text(path)
+
+
+def plain(data: bytes) -> bytes:
+    """The content of a file, which may be compressed."""
+    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
 def write_arcs(pages: DataFrame, path: str, version: int = 1) -> None:
@@ -142,7 +148,7 @@ def read_arcs(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for batch in batches:
             for file in batch.column(0):
                 rows, size = [], 0
-                for header, block in parse_arc(file.as_py()):
+                for header, block in parse_arc(plain(file.as_py())):
                     head, fields, payload = http_parts(block)
                     page_id = int(fields["x-page-id"]) if "x-page-id" in fields else None
                     row = {"page_id": page_id, "digest": payload_digest(payload)}
@@ -254,7 +260,7 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0):
                 rows = []
-                for fields, block in parse_warc(file.as_py()):
+                for fields, block in parse_warc(plain(file.as_py())):
                     kind = fields["warc-type"]
                     if kind == "warcinfo":
                         continue
