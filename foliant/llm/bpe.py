@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces a worker remembers, and the bytes of the longest one it remembers.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_BYTES = 600_000, 64
 NONE = 1 << 62
 
 
@@ -127,13 +127,24 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: The codec of a worker process, by path and pattern: its cache serves all tasks that the process runs.
+CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(path: str, pattern: str, ranks: dict[bytes, int]) -> Codec:
+    if (path, pattern) not in CODECS:
+        CODECS.clear()
+        CODECS[path, pattern] = Codec(ranks, pattern)
+    return CODECS[path, pattern]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids (array<bigint>)."""
-    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(path), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = codec_of(path, pattern, shared.value)
         for batch in batches:
             rows = []
             for text in batch.column(1):
