@@ -12,7 +12,7 @@ Words that stand for the label are those in many more different surroundings (wo
 than in ordinary ones; surroundings and not texts are counted, so that a group of copies counts once.
 
 The classifier is fitted on a bounded sample: of rows that may be learnt from, at most ``MOST_ROWS`` of each class,
-taken by the hash of their text, and of each at most ``MOST_CHARS`` code points. Every whole text is scored. Only text
+taken by the hash of their id, and of each at most ``MOST_CHARS`` code points. Every whole text is scored. Only text
 is an input of a score.
 
 Cases: null and empty texts are one empty window and get a score; with fewer than two rows of a class to learn from,
@@ -178,19 +178,27 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[tuple[str, int]]:
-    """The bounded sample: distinct texts, the smallest ``most_rows`` hashes of each class."""
+    """The bounded sample: distinct texts, at most ``most_rows`` of each class, those with the smallest hashes of ids."""
     marks = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS).alias("text"))
-    known = texts.join(marks, "doc_id").select("text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = []
+    for toxic in (0, 1):
+        mine = marks.where((F.col("toxic") == 1) == F.lit(bool(toxic)))
+        first = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most_rows).collect()
+        ids += [(r["doc_id"], place, toxic) for place, r in enumerate(first)]
+    # At most four times most_rows small rows are broadcast, so that no text is shuffled.
+    picked = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, place long, toxic int"))
+    text = F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS)
+    found = docs.select("doc_id", text.alias("text")).join(picked, "doc_id").select("toxic", "place", "text").collect()
     rows = []
     for toxic in (0, 1):
-        mine = known.where(F.col("toxic") == toxic).select(F.xxhash64("text").alias("h"), "text")
-        rows += [(r["text"], toxic) for r in mine.dropDuplicates(["h"]).orderBy("h", "text").limit(most_rows).collect()]
+        mine = sorted((r["place"], r["text"]) for r in found if r["toxic"] == toxic)
+        rows += [(t, toxic) for t in list(dict.fromkeys(t for _, t in mine))[:most_rows]]
     return rows
 
 
