@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.session import read_table
+from foliant.sources.blocks import BLOCKS_SQL
 
 NOW_EVENTS = "2024-01-31 00:00:00"
 NOW_ORDERS = "2001-08-02 00:00:00"
@@ -229,6 +230,9 @@ VIEWS = {
       case when role = 'assistant' then 1 + (conv_id + turn) % 9 else 0 end as cost_credits, (conv_id + turn) % 3 as attachments
       from conversations""",
 }
+
+
+VIEWS["blocks"] = BLOCKS_SQL
 NEEDS = {"usage_ledger": ("prices",)}
 
 
