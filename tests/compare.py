@@ -61,7 +61,7 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    con, bad, queries, oracles = duck(sf_dir), 0, entry.queries(), entry.oracle_sql()
+    con, bad, done, queries, oracles = duck(sf_dir), 0, 0, entry.queries(), entry.oracle_sql()
     for name, sql in oracles.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
@@ -69,10 +69,10 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
             found = differences(spark, con, sf_dir, queries[name], sql)
         except Exception as e:  # reported, so that the others still run
             found = f"{type(e).__name__}: {str(e)[:600]}"
-        bad += bool(found)
+        bad, done = bad + bool(found), done + 1
         if found:
             print(name, found[:900], flush=True)
-    print(f"{bad} differ")
+    print(f"{bad} of {done} differ")
     return bad
 
 
