@@ -225,28 +225,42 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0
     """The mix itself: shard, doc_id, text, lang, source, n_chars; one row for each stretch of a document in a slot.
 
     A stretch is the part of a document that lies in the block; a document within one block keeps its text as it is.
+    Which stretches of a document are taken is found on rows without texts, so texts are shuffled once, to meet theirs.
+    Rows are known by doc_id and a hash of text and source; equal rows share out the places of their key in turn.
     """
     spark = docs.sparkSession
-    sized = materialize(sized_documents(docs, "text", "lang"), "mix-documents")
+    key = [
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k1"),
+        F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), "source").alias("k2"),
+    ]
+    sized = materialize(sized_documents(docs, *key), "mix-sizes")
     plan = plan_mix(sized.select("source", "size"), block_words)
-    rows = with_source(sized, sources(spark, plan)).where("size > 0")
-    pieces = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-
-    def stretch(words: Column) -> Column:
-        def cut(block: Column) -> Column:
-            low = F.greatest(F.col("start"), block * block_words) - F.col("start")
-            high = F.least(F.col("start") + F.col("size"), (block + 1) * block_words) - F.col("start")
-            part = F.slice(words, (low + 1).cast("int"), (high - low).cast("int"))
-            return F.struct(block.alias("block_no"), F.array_join(part, "").alias("text"))
-
-        return F.transform(block_range(block_words), cut)
-
-    whole = F.array(F.struct(F.floor(F.col("start") / block_words).cast("long").alias("block_no"), F.col("text")))
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    cut = F.when(first == last, whole).otherwise(F.element_at(F.transform(F.array(pieces), stretch), 1))
-    stretches = placed(rows, seed).select("source_no", "doc_id", "lang", "source", F.explode(cut).alias("s"))
-    return (
-        stretches.select("source_no", "s.block_no", "doc_id", "s.text", "lang", "source")
+    rows = with_source(sized, sources(spark, plan)).where("size > 0").select("k1", "k2", "doc_id", "source_no", "size")
+    low = F.greatest(F.col("start"), F.col("block_no") * block_words) - F.col("start")
+    high = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block_words) - F.col("start")
+    taken = (
+        placed(rows, seed)
+        .select("k1", "k2", "source_no", "start", "size", F.explode(block_range(block_words)).alias("block_no"))
         .join(slots(spark, plan, seed), ["source_no", "block_no"])
-        .select("shard", "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+        .groupBy("k1", "k2", "start")
+        .agg(F.sort_array(F.collect_list(F.struct("shard", low.cast("int").alias("low"), high.cast("int").alias("high")))).alias("cuts"))
+        .groupBy("k1", "k2")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "cuts"))).alias("places"))
     )
+    texts = docs.select(*key, "doc_id", "text", "lang", "source").where(F.col("text").isNotNull())
+    turn = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("lang"))
+    met = texts.withColumn("turn", turn).join(taken, ["k1", "k2"])
+    cuts = F.get("places", F.col("turn") - 1)["cuts"]
+    pieces = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def stretches(words: Column) -> Column:
+        def cut(c: Column) -> Column:
+            all_of_it = (c["low"] == 0) & (c["high"] == F.size(words))
+            part = F.array_join(F.slice(words, c["low"] + 1, c["high"] - c["low"]), "")
+            return F.struct(c["shard"].alias("shard"), F.when(all_of_it, F.col("text")).otherwise(part).alias("text"))
+
+        return F.transform(cuts, cut)
+
+    cut = F.element_at(F.transform(F.array(pieces), stretches), 1)
+    out = met.where(cuts.isNotNull()).select("doc_id", "lang", "source", F.explode(cut).alias("s"))
+    return out.select("s.shard", "doc_id", "s.text", "lang", "source", F.length("s.text").cast("long").alias("n_chars"))

@@ -109,6 +109,7 @@ def test_permutation_is_one():
 def test_mixed_documents_agree_with_counts(spark):
     rng = random.Random(4)
     df = frame(spark, EDGES + [doc(100 + i, "some words " * rng.randrange(1, 400), rng.choice("ab")) for i in range(60)])
+    assert mixing.mix_documents(df.limit(0)).count() == 0
     got = defaultdict(int)
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     for r in mixing.mix_documents(df).collect():
