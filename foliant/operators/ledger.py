@@ -11,10 +11,27 @@ from pyspark.sql import functions as F
 from foliant.operators.usage import zero
 
 
+def with_balance(transactions: DataFrame) -> DataFrame:
+    """Transactions with ``balance``, the sum of ``signed`` so far per user in the order of (created_at, id).
+
+    Sums of days come first and are added up per user; rows are then ordered within a user's day only, so a user with a
+    large part of all rows is spread over tasks.
+    """
+    day = F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date"))
+    rows = transactions.withColumn("day", day)
+    so_far = Window.partitionBy("user_id").orderBy("day")
+    days = rows.groupBy("user_id", "day").agg(F.sum("signed").alias("of_day"))
+    before = days.select(
+        F.col("user_id").alias("u"), F.col("day").alias("d"), (F.sum("of_day").over(so_far) - F.col("of_day")).alias("before")
+    )
+    run = Window.partitionBy("user_id", "day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(before, rows["user_id"].eqNullSafe(before["u"]) & (rows["day"] == before["d"]))
+    return joined.withColumn("balance", F.col("before") + F.sum("signed").over(run)).drop("day", "before", "u", "d")
+
+
 def running_balance(transactions: DataFrame) -> DataFrame:
-    """L1: id, user_id, signed amount and the balance after it, per user in the order of (created_at, id)."""
-    run = Window.partitionBy("user_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return transactions.select("id", "user_id", "signed", F.sum("signed").over(run).alias("balance"))
+    """L1: id, user_id, signed amount and the balance after it."""
+    return with_balance(transactions).select("id", "user_id", "signed", "balance")
 
 
 def balance_audit(transactions: DataFrame, stored: Column) -> DataFrame:
@@ -22,8 +39,7 @@ def balance_audit(transactions: DataFrame, stored: Column) -> DataFrame:
 
     ``stored`` may refer to ``balance``, the running sum.
     """
-    run = Window.partitionBy("user_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = transactions.withColumn("balance", F.sum("signed").over(run)).withColumn("stored", stored)
+    rows = with_balance(transactions).withColumn("stored", stored)
     wrong = F.col("stored") != F.col("balance")
     return rows.groupBy("user_id").agg(
         F.count("*").alias("rows"), F.count(F.when(wrong, 1)).alias("wrong"), F.min(F.when(wrong, F.col("id"))).alias("first_wrong")
