@@ -20,7 +20,7 @@ def one(spark, column, text):
 @pytest.mark.parametrize("text, want", [
     ("1.2.3.4 Deep", (4, "decimal")), ("1.2 Titre", (2, "decimal")), ("1. Titre", (1, "decimal")), ("1) Authentification", (1, "enumerated")),
     ("1) Le système affiche tout.", None), ("CHAPITRE IV suite", (1, "keyword")), ("INTRODUCTION", (1, "keyword")), ("INTRODUCTIONS", None),
-    ("II. Titre", (1, "roman")), ("A. Abcd", (2, "alpha")), ("A. Abc", None), ("M. ZIVO Desmond, promoteur", None), ("", None), ("• 1.1 Puce", (2, "decimal")),
+    ("II. Titre", (1, "roman")), ("A. Abcd", (2, "alpha")), ("A. Abc", None), ("M. Dupont, directeur", None), ("", None), ("• 1.1 Puce", (2, "decimal")),
     ("1. " + "x" * 120, None), ("texte", None), (None, None),
 ])
 def test_heading_number(spark, text, want):
