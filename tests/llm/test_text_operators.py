@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -147,6 +148,47 @@ def test_near_duplicate_stage_keeps_one(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def five_word_similarity(a, b):
+    one, two = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_near_duplicate_stage_links_at_four_fifths(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):  # pairs 2i, 2i + 1: words put in at intervals, for similarities on both sides of 0.8
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        changed = list(words)
+        for at in rng.sample(range(0, 400, 5), 4 + i % 12):
+            changed[at] = f"new{i}x{at}"
+        rows += [doc(2 * i, " ".join(words)), doc(2 * i + 1, " ".join(changed))]
+    crowd = [f"c{k}" for k in range(400)]
+    for i in range(150):  # one crowd around a text, whose members are mostly under 0.8 from each other
+        changed = list(crowd)
+        for at in rng.sample(range(0, 400, 5), 7):
+            changed[at] = f"own{i}x{at}"
+        rows.append(doc(1000 + i, " ".join(changed)))
+    rows.append(doc(999, " ".join(crowd)))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    by = {r[0]: r[1] for r in rows}
+    near = {i: five_word_similarity(by[2 * i], by[2 * i + 1]) >= 0.8 for i in range(60)}
+    assert 10 < sum(near.values()) < 50
+    assert all(2 * i in kept for i in near)
+    assert not [i for i, x in near.items() if not x and 2 * i + 1 not in kept]  # never one that is not similar
+    assert sum(2 * i + 1 in kept for i, x in near.items() if x) <= 1  # a key is missed in four of 1,000
+    assert {d for d in kept if d >= 999} == {999}
+
+
+def test_lanes_tell_similarity():
+    rng = np.random.default_rng(3)
+    shared, own = rng.integers(0, 1 << 63, (50, 800)).astype(np.uint64), rng.integers(0, 1 << 63, (50, 200)).astype(np.uint64)
+    same = [
+        (simhash.lanes(np.append(s, o[:100])).view(np.uint8) == simhash.lanes(np.append(s, o[100:])).view(np.uint8)).mean()
+        for s, o in zip(shared, own)
+    ]
+    assert abs(np.mean(same) - 0.8) < 0.03
+
+
 def test_licences(spark):
     rows = [
         doc(1, "Some text. Released under the MIT License.\nAll rights reserved."),
