@@ -107,3 +107,75 @@ trails as (
     '|' || coalesce(ids, '') || '|' as trail
   from cut left join named using (r))
 select doc_id, n_sentences, sentence_ids, concat_ws(',', {found}) as licences from trails"""
+
+
+# Who or what a notice speaks of, and how.
+SUBJECTS = ("", *(f"this {x} is " for x in ("file", "project", "software", "work", "code", "program", "library", "package", "repository")))
+VERBS = tuple(x + y for x in ("released under ", "licensed under ", "distributed under ") for y in ("", "the terms of "))
+NOTICES = {
+    "the mit license": "mit-notice",
+    "the apache license version 2 0": "apache-notice",
+    "the gnu general public license version 3": "gpl3-notice",
+    "cc by 4 0": "cc-by-notice",
+    "cc by nc 4 0": "cc-by-nc-notice",
+    "cc by sa 4 0": "cc-by-sa-notice",
+}
+#: Phrases that licence texts and notices begin a sentence, a line or a part after a semicolon with.
+PHRASES = SENTENCES | {s + v + n: x for s in SUBJECTS for v in VERBS for n, x in NOTICES.items()}
+#: A sentence's end and an empty line end a phrase (|). A single line end (~) or semicolon (^) does not, but one may begin there.
+HARD = r"[.!?]+(?:[\x20\x09-\x0D]+|\z)"
+
+
+def phrase_pattern(phrases: dict[str, str]) -> str:
+    longest = sorted(phrases, key=lambda x: (-len(x), x))
+    return "[|~^] (" + "|".join(x.replace(" ", " (?:[~^] )*") for x in longest) + ") "
+
+
+def phrase_identifiers(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
+    """The identifiers of the known phrases in a text, in order; lines may be wrapped anywhere between words."""
+    s = F.translate(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "|~^", "   ")
+    s = F.translate(F.regexp_replace(s, HARD, "|"), "\n;", "~^")
+    for mark in "|~^":
+        s = F.replace(s, F.lit(mark), F.lit(f" {mark} "))
+    s = F.regexp_replace(F.concat(F.lit("| "), s, F.lit(" ")), "[^a-z0-9|~^]+", " ")
+    s = F.regexp_replace(s, "~ (?:~ )+", "| ")
+    found = F.regexp_extract_all(s, F.lit(phrase_pattern(phrases)), F.lit(1))
+    names = F.create_map(*[F.lit(x) for kv in sorted(phrases.items()) for x in kv])
+    return F.transform(found, lambda x: F.element_at(names, F.regexp_replace(x, "[~^] ", "")))
+
+
+def scan_licence_texts(docs: DataFrame, phrases: dict[str, str] = PHRASES, rules=RULES) -> DataFrame:
+    """The columns of ``scan_licences``, from whole licence texts and notices, wrapped or not."""
+    trail = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
+
+    def named(t: Column) -> Column:
+        found = [F.when(t.contains("|" + "|".join(ids) + "|"), F.lit(name)) for name, ids in rules]
+        return F.concat_ws(",", *found)
+
+    return docs.select("doc_id", phrase_identifiers(F.col("text"), phrases).alias("ids")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_sentences"),
+        F.array_join("ids", "|").alias("sentence_ids"),
+        let(trail, named).alias("licences"),
+    )
+
+
+def scan_texts_sql(phrases: dict[str, str] = PHRASES, rules=RULES) -> str:
+    """``scan_licence_texts`` as SQL for DuckDB."""
+    quote = lambda x: "'" + x + "'"
+    keys, values = (", ".join(map(quote, x)) for x in zip(*sorted(phrases.items())))
+    found = ", ".join(
+        f"case when contains(trail, {quote('|' + '|'.join(ids) + '|')}) then {quote(name)} end" for name, ids in rules
+    )
+    return rf"""
+with low as (select doc_id, translate(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '|~^', '   ') as s from documents),
+cut as (select doc_id, translate(regexp_replace(s, '{HARD}', '|', 'g'), chr(10) || ';', '~^') as s from low),
+apart as (select doc_id, '| ' || replace(replace(replace(s, '|', ' | '), '~', ' ~ '), '^', ' ^ ') || ' ' as s from cut),
+plain as (select doc_id, regexp_replace(regexp_replace(s, '[^a-z0-9|~^]+', ' ', 'g'), '~ (?:~ )+', '| ', 'g') as s from apart),
+ids as (
+  select doc_id, list_transform(regexp_extract_all(s, '{phrase_pattern(phrases)}', 1),
+    lambda x: map([{keys}], [{values}])[regexp_replace(x, '[~^] ', '', 'g')]) as ids from plain),
+trails as (
+  select doc_id, len(ids)::bigint as n_sentences, coalesce(array_to_string(ids, '|'), '') as sentence_ids,
+    '|' || coalesce(array_to_string(ids, '|'), '') || '|' as trail from ids)
+select doc_id, n_sentences, sentence_ids, concat_ws(',', {found}) as licences from trails"""

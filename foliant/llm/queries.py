@@ -19,6 +19,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read_table(spark, sf_dir, "documents"))
 
 
+def op2_licence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licence_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -56,6 +60,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
+    "op2_licence_texts": op2_licence_texts,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
@@ -68,4 +73,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_licences": licences.scan_sql(),
+    "op2_licence_texts": licences.scan_texts_sql(),
 }

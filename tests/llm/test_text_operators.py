@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -12,8 +13,9 @@ import tiktoken
 import xxhash
 
 from foliant.llm import bpe, iblt, licences, quality, simhash
-from foliant.llm.queries import RANKS
+from foliant.llm.queries import RANKS, op2_licence_texts
 from foliant.session import read_table
+from tests.compare import differences, duck
 from tests.llm.helpers import EDGES, PROSE, WORD, collect, doc, frame
 
 
@@ -202,6 +204,37 @@ def test_licences(spark):
                    6: (0, ""), 7: (1, "CC-BY-NC-4.0")}
 
 
+LICENCE_TEXTS = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in it. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions.""",
+    "GPL-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.""",
+    "Apache-2.0,Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+    "MIT": "This file is released under the MIT License, see LICENSE.",
+}
+
+
+def test_licence_texts_whole_and_wrapped(spark):
+    rows, want = [], {}
+    for name, text in LICENCE_TEXTS.items():
+        for width in (10_000, 76, 40, 12):
+            for start in ("", " * ", "# "):
+                want[len(rows)] = name
+                lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+                rows.append(doc(len(rows), "Some title\n\n" + "\n".join(start + x for x in lines)))
+    for text, name in (
+        ("Licensed under CC BY 4.0\nmore", "CC-BY-4.0"), ("All rights\n\nreserved", ""), ("not all rights reserved", ""), ("All rights. Reserved", ""),
+        ("All rights reservedly", ""), (None, ""), ("", ""), ("All | rights ~ reserved", "all-rights-reserved"),
+    ):
+        want[len(rows)] = name
+        rows.append(doc(len(rows), text))
+    df = frame(spark, rows)
+    assert {r.doc_id: r.licences for r in licences.scan_licence_texts(df).collect()} == want
+
+
+def test_licence_texts_equal_their_sql(spark, sf):
+    assert differences(spark, duck(sf), sf, op2_licence_texts, licences.scan_texts_sql()) == ""
+
+
 def pieces(text):
     found = []
     for line in (text or "").split("\n"):
