@@ -181,18 +181,18 @@ def billing_report(
     )
 
 
-def audited(ledger: DataFrame, price_table: DataFrame, limit: int) -> DataFrame:
+def audited(ledger: DataFrame, price_table: DataFrame, limit: int | None) -> DataFrame:
     from foliant.operators.pricing import cost_units, credits_of_units, priced
 
-    newest = ledger.orderBy(F.desc("id")).limit(limit)
+    newest = ledger if limit is None else ledger.orderBy(F.desc("id")).limit(limit)
     expected = credits_of_units(F.coalesce(cost_units(), zero()))
     return priced(newest, price_table).withColumn("expected", expected).withColumn(
         "wrong", ~F.col("estimated") & (F.col("expected") != F.col("cost_credits"))
     )
 
 
-def cost_audit(ledger: DataFrame, price_table: DataFrame, limit: int = 5000) -> DataFrame:
-    """The newest ``limit`` calls: stored credits against those computed anew; estimated calls apart."""
+def cost_audit(ledger: DataFrame, price_table: DataFrame, limit: int | None = None) -> DataFrame:
+    """All calls, or the newest ``limit``: stored credits against those computed anew; estimated calls apart."""
     sums = audited(ledger, price_table, limit).agg(
         count_where("not estimated").alias("checked"), count_where("not estimated and not wrong").alias("consistent"),
         count_where("wrong").alias("mismatches"), count_where("estimated").alias("estimated"),
@@ -201,7 +201,7 @@ def cost_audit(ledger: DataFrame, price_table: DataFrame, limit: int = 5000) ->
     return sums.withColumn("rate", F.when(F.col("checked") > 0, rate).otherwise(F.lit(1.0)))
 
 
-def cost_audit_examples(ledger: DataFrame, price_table: DataFrame, limit: int = 5000, examples: int = 5) -> DataFrame:
+def cost_audit_examples(ledger: DataFrame, price_table: DataFrame, limit: int | None = None, examples: int = 5) -> DataFrame:
     """The newest mismatches."""
     return (
         audited(ledger, price_table, limit).where("wrong").orderBy(F.desc("id")).limit(examples)

@@ -71,8 +71,10 @@ QUERIES = {
     "G11_profitability": lambda s, d: usage.profitability(fx.invoices(s, d), ledger(s, d), "2001-08-01", 365),
     "G12_lifetime_totals": lambda s, d: usage.lifetime_totals(fx.invoices(s, d), ledger(s, d), fx.users(s, d), fx.documents_ops(s, d)),
     "G13_billing_report": lambda s, d: usage.billing_report(ledger(s, d), *SPAN),
-    "G14_cost_audit": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s)),
-    "G14_cost_audit_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s)),
+    "G14_cost_audit": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s), 5000),
+    "G14_cost_audit_all": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s)),
+    "G14_cost_audit_all_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s)),
+    "G14_cost_audit_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s), 5000),
     "G15_cost_per_million_tokens": lambda s, d: usage.cost_per_million_tokens(ledger(s, d)),
     "G16_multi_turn_cost": lambda s, d: usage.multi_turn_cost(ledger(s, d)),
     "G32_session_cost": lambda s, d: usage.session_cost(fx.chat_messages(s, d)),
@@ -179,6 +181,14 @@ ORACLE_SQL = {
     "G14_cost_audit_examples": with_views("usage_ledger", f"""select id, model, cost_credits as stored, ({CREDITS_SQL.format(u=CU)})::bigint as expected from
       (select * from usage_ledger order by id desc limit 5000) l left join prices using (model)
       where not estimated and {CREDITS_SQL.format(u=CU)} <> cost_credits order by id desc limit 5"""),
+    "G14_cost_audit_all": with_views("usage_ledger", f"""with n as (select l.*, {CREDITS_SQL.format(u=CU)} as expected from
+      usage_ledger l left join prices using (model)),
+      s as (select count(*) filter (where not estimated) as checked, count(*) filter (where not estimated and expected = cost_credits) as consistent,
+      count(*) filter (where not estimated and expected <> cost_credits) as mismatches, count(*) filter (where estimated) as estimated from n)
+      select *, case when checked > 0 then floor((consistent * 20000 + checked)::double / (checked * 2)) / 10000 else 1.0 end as rate from s"""),
+    "G14_cost_audit_all_examples": with_views("usage_ledger", f"""select id, model, cost_credits as stored, ({CREDITS_SQL.format(u=CU)})::bigint as expected from
+      usage_ledger l left join prices using (model)
+      where not estimated and {CREDITS_SQL.format(u=CU)} <> cost_credits order by id desc limit 5"""),
     "G15_cost_per_million_tokens": with_views("usage_ledger", """select id, case when input_tokens + output_tokens > 0 then
       floor((cost_micro * 20000 + input_tokens + output_tokens)::double / ((input_tokens + output_tokens) * 2)::double) / 10000 end as usd_per_million from usage_ledger"""),
     "G16_multi_turn_cost": with_views("usage_ledger", """select session_id, count(*) as turns, sum(cost_micro) / 1000000 as usd,

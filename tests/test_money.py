@@ -95,3 +95,12 @@ def test_invoice_numbers_have_no_gaps(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, user_id long, kind string, amount long, created_at timestamp_ntz")
     assert ledger.replay_requests(empty).count() == 0
+
+
+def test_audit_covers_rows_beyond_the_newest(spark, sf):
+    rows = fx.usage_ledger(spark, sf).crossJoin(spark.range(5001).select(F.col("id").alias("copy")).where("copy % 200 = 0"))
+    n = rows.count()
+    (row,) = usage.cost_audit(rows, fx.prices(spark)).collect()
+    assert n > 5000 and row.checked + row.estimated == n
+    (row,) = usage.cost_audit(rows, fx.prices(spark), limit=100).collect()
+    assert row.checked + row.estimated == 100
