@@ -60,6 +60,30 @@ def test_toxicity_without_labels_and_stage(spark):
     assert ids == judged
 
 
+def test_toxicity_on_held_out_rows_of_the_driver_tables(spark):
+    """Precision and recall of the figures in README; about a tenth of the toxic rows there hold no toxic word."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.judge_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "labels")).where("held_out")
+    truth = read_table(spark, sf, "labels").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    rows = got.join(truth, "doc_id").select("predicted", "toxic").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits / sum(r.toxic for r in rows) > 0.75 and hits / sum(r.predicted for r in rows) > 0.85
+
+
+def test_toxicity_on_an_empty_table_repeats_and_long_texts(spark):
+    rows, labels = labelled()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(frame(spark, []), marks).count() == 0
+    many = rows + [doc(0, "another text of this id"), doc(0, None)] * 20 + [doc(5000, "abcdef ghabcd " * 40_000)]
+    found = toxicity.training_rows(frame(spark, many), marks, most_rows=10)
+    assert sorted(t for _, t in found) == [0] * 10 + [1] * 10
+    assert all(len(w) <= toxicity.MOST_WINDOWS for w, _ in found)
+    got = {r.doc_id: r for r in toxicity.judge_documents(frame(spark, many), marks).collect()}
+    assert got[5000].n_windows == 10_000 and not got[5000].predicted
+    odd = frame(spark, rows + EDGES)
+    assert toxicity.drop_toxic(odd, marks).columns == odd.columns
+
+
 def brute_targets(words):
     targets, weights = [0.0] * len(words), [(5, 2, 1)[i % 3] for i in range(len(words))]
     fixed, total = set(), sum(words)
