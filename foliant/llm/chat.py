@@ -106,14 +106,27 @@ def parse_formatted(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), run))
 
 
+def under_mask(formatted: Column, loss_runs: Column) -> Column:
+    """array<string>: the stretches of a formatted text that its loss mask covers, in order, as they stand there."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,chars:int>>").alias("cuts"))
+
+    def step(state: Column, run: Column) -> Column:
+        cut = F.array(F.struct(state["at"].alias("at"), run["chars"].alias("chars")))
+        cuts = F.when(run["loss"], F.concat(state["cuts"], cut)).otherwise(state["cuts"])
+        return F.struct((state["at"] + run["chars"]).alias("at"), cuts.alias("cuts"))
+
+    cuts = F.aggregate(loss_runs, start, step)["cuts"]
+    return F.transform(cuts, lambda c: F.substring(formatted, c["at"], c["chars"]))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """What a reader gets back from formatted texts."""
+    """What a reader gets back from formatted texts: turns from the text, what is learnt from through the loss mask."""
     turns = F.col("turns")
-    loss = F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(under_mask(F.col("formatted"), F.col("loss_runs")), unescape), "")
     said = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     masked = F.filter("loss_runs", lambda r: r["loss"])
     return (
-        formatted.select("conv_id", "loss_runs", parse_formatted(F.col("formatted")).alias("turns"),
+        formatted.select("conv_id", "loss_runs", "formatted", parse_formatted(F.col("formatted")).alias("turns"),
                          F.length("formatted").cast("long").alias("formatted_chars"))
         .select("*", F.array_join(said, "").alias("said"), loss.alias("loss"))
         .select(

@@ -35,17 +35,18 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 256
 MOST_TIMES = 3
 SHARD_SLOTS = 16_384
-#: Buckets of a source's documents; a bucket is summed and numbered in one task.
-BUCKETS = 1024
+#: Documents that a bucket of a source should have; a bucket is summed and numbered in one task.
+BUCKET_ROWS = 4096
 #: Sources are few: their sizes come to the driver, so more than this is an error.
 MOST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Per source in order: name, words, target words, blocks, quota of slots."""
+    """Per source in order: name, documents, words, target words, blocks, quota of slots."""
 
     names: list[str | None]
+    documents: list[int]
     words: list[int]
     targets: list[float]
     blocks: list[int]
@@ -73,7 +74,7 @@ def share_out(words: list[int], weights: tuple[int, ...] = WEIGHTS, most_times:
 
 def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> Plan:
     """``sized``: source, size."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last())
+    rows = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last())
     found = rows.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -81,19 +82,21 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> Plan:
     targets = share_out(words)
     blocks = [-(-w // block_words) for w in words]
     quotas = [min(MOST_TIMES * n, round(t * n / w)) if w else 0 for w, t, n in zip(words, targets, blocks)]
-    return Plan([r["source"] for r in found], words, targets, blocks, quotas)
+    return Plan([r["source"] for r in found], [r["n"] for r in found], words, targets, blocks, quotas)
 
 
 def sources(spark, plan: Plan) -> DataFrame:
-    """source, source_no, source_size, target."""
-    rows = [(n, i, w, t) for i, (n, w, t) in enumerate(zip(plan.names, plan.words, plan.targets))]
-    return spark.createDataFrame(rows, "source string, source_no int, source_size long, target double")
+    """source, source_no, source_size, target, buckets."""
+    each = zip(plan.names, plan.words, plan.targets, plan.documents)
+    rows = [(name, i, w, t, -(-n // BUCKET_ROWS)) for i, (name, w, t, n) in enumerate(each)]
+    return spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, buckets long")
 
 
 def placed(sized: DataFrame, seed: int = 0) -> DataFrame:
-    """``sized`` (source_no, doc_id, size and more) with ``start``: the word position of the document in its source."""
+    """``sized`` (source_no, buckets, doc_id, size and more) with ``start``: the word position of the document in its
+    source."""
     order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)))
-    rows = sized.withColumn("spot", order).withColumn("bucket", F.pmod(F.col("spot"), F.lit(BUCKETS)).cast("int"))
+    rows = sized.withColumn("spot", order).withColumn("bucket", F.pmod("spot", "buckets"))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source_no").orderBy("bucket")
     before = F.sum("words").over(run) - F.col("words")
@@ -102,7 +105,7 @@ def placed(sized: DataFrame, seed: int = 0) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     start = F.col("offset") + F.sum("size").over(inner) - F.col("size")
-    return rows.join(offsets, ["source_no", "bucket"]).withColumn("start", start).drop("spot", "bucket", "offset")
+    return rows.join(offsets, ["source_no", "bucket"]).withColumn("start", start).drop("spot", "bucket", "buckets", "offset")
 
 
 def drawn(spark, plan: Plan, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -121,7 +124,12 @@ def drawn(spark, plan: Plan, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> D
                 mine = np.flatnonzero(counts)
                 yield pd.DataFrame({"shard": shard, "source_no": mine.astype("int32"), "count": counts[mine]})
 
-    return spark.range(0, shards, 1, max(1, min(shards, 64))).mapInPandas(draw, "shard long, source_no int, count long")
+    return spark.range(0, shards, 1, min(shards, tasks(spark))).mapInPandas(draw, "shard long, source_no int, count long")
+
+
+def tasks(spark) -> int:
+    """How many tasks small rows are dealt to that make much work each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -150,7 +158,7 @@ def slots(spark, plan: Plan, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> D
     """shard, source_no, block_no: one row for each slot of the mix."""
     draws = materialize(drawn(spark, plan, seed, shard_slots), "mix-draws")
     run = Window.partitionBy("source_no").orderBy("shard")
-    numbered = draws.withColumn("first", F.sum("count").over(run) - F.col("count"))
+    numbered = materialize(draws.withColumn("first", F.sum("count").over(run) - F.col("count")), "mix-numbered")
     got = np.zeros(len(plan.quotas), dtype=np.int64)
     for row in draws.groupBy("source_no").agg(F.sum("count").alias("n")).collect():
         got[row["source_no"]] = row["n"]
@@ -173,7 +181,8 @@ def slots(spark, plan: Plan, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> D
                     block[mine] = permute(number[mine] % blocks[s], int(blocks[s]), seed + int(s))
                 yield pd.DataFrame({"shard": shard, "source_no": to.astype("int32"), "block_no": block})
 
-    rows = numbered.select("shard", "source_no", "first", "count")
+    # One small row for a shard and source makes all its slots, so rows are dealt out by their number, not their size.
+    rows = numbered.select("shard", "source_no", "first", "count").repartition(tasks(spark), "shard", "source_no")
     # Written, so that what joins with it goes by its size and not by that of the few rows it comes from.
     return materialize(rows.mapInPandas(take, "shard long, source_no int, block_no long"), "mix-slots")
 
@@ -185,7 +194,7 @@ def sized_documents(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def with_source(sized: DataFrame, named: DataFrame) -> DataFrame:
-    """Adds source_no, source_size, target; ``named`` has at most MOST_SOURCES rows."""
+    """Adds source_no, source_size, target, buckets; ``named`` has at most MOST_SOURCES rows."""
     known = F.broadcast(named.withColumnRenamed("source", "known_source"))
     return sized.join(known, sized["source"].eqNullSafe(known["known_source"])).drop("known_source")
 
@@ -235,7 +244,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0
     ]
     sized = materialize(sized_documents(docs, *key), "mix-sizes")
     plan = plan_mix(sized.select("source", "size"), block_words)
-    rows = with_source(sized, sources(spark, plan)).where("size > 0").select("k1", "k2", "doc_id", "source_no", "size")
+    rows = with_source(sized, sources(spark, plan)).where("size > 0").select("k1", "k2", "doc_id", "source_no", "buckets", "size")
     low = F.greatest(F.col("start"), F.col("block_no") * block_words) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block_words) - F.col("start")
     taken = (

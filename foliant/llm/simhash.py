@@ -92,12 +92,10 @@ def rest_of(key: Column, low: Column, width: int) -> Column:
 
 def links(fps: DataFrame, bucket_most: int = 256) -> DataFrame:
     """a, b with a < b: pairs of distinct fingerprints (column fp) at most three bits apart."""
-    low = F.lit(0)
-    index = materialize(
-        fps.select("fp", F.explode(wildcards(F.col("fp"), 0, LEVELS[0])).alias("key")).select(
-            "fp", "key", low.alias("low"), F.col("key").alias("path")
-        ),
-        "simhash-index",
+    # Dealt before they are multiplied, so that the number of files they come from doesn't bound the tasks.
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = dealt.select("fp", F.explode(wildcards(F.col("fp"), 0, LEVELS[0])).alias("key")).select(
+        "fp", "key", F.lit(0).alias("low"), F.col("key").alias("path")
     )
     found = []
     for level, width in enumerate(LEVELS):
@@ -194,20 +192,25 @@ def set_name(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, entry (name of the text's set of shingles), sketch (its lanes)."""
+    """doc_id, text_key, entry (name of the text's set of shingles), sketch (its lanes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, found = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes = shingle_set(text.as_py(), shingle)
                 names.append(set_name(hashes))
                 found.append(lanes(hashes).tolist())
-            columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "entry", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "entry", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, entry bigint, sketch array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, entry bigint, sketch array<bigint>")
+
+
+def text_key() -> Column:
+    """With doc_id, what tells rows apart: an id may have several texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
@@ -298,18 +301,21 @@ def similar_links(docs: DataFrame, entries: DataFrame, shingle: int = 5, similar
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each component of similar texts: that with the smallest doc_id; its repeated rows shrink to one.
+    """One document of each component of similar texts: that with the smallest doc_id (of several texts of that id in
+    the component, that with the smallest hash); its repeated rows shrink to one.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of at least ``similarity``, checked
-    on the sets of every candidate pair; texts with equal sets are one entry. All columns of ``docs`` stay as they are.
-    Rows without a doc_id can't be told apart: they are kept.
+    on the sets of every candidate pair; texts with equal sets are one entry. A document is a row's id and text: texts
+    of one id that aren't similar all stay. All columns of ``docs`` stay as they are. Rows without a doc_id are kept.
     """
     named = docs.where("doc_id is not null")
     marked = materialize(sketches(named, shingle), "near-sketches")
-    entries = marked.groupBy("entry").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
-    entries = materialize(entries, "near-entries")
+    entries = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sketch").alias("sketch"))
+    entries = materialize(entries.select("entry", F.col("first.doc_id").alias("first"), F.col("first.text_key").alias("text_key"), "sketch"), "near-entries")
     groups = materialize(components(similar_links(named, entries, shingle, similarity)), "near-groups")
     member = entries.join(groups, entries["entry"] == groups["node"], "left")
-    kept = member.groupBy(F.coalesce("root", "entry")).agg(F.min("first").alias("kept_id")).select("kept_id").distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = member.groupBy(F.coalesce("root", "entry")).agg(F.min(F.struct("first", "text_key")).alias("kept")).select("kept.*")
+    marked_docs = docs.select(*[docs[c] for c in docs.columns], text_key().alias("near text key"))
+    same = (marked_docs["doc_id"] == kept["first"]) & (marked_docs["near text key"] == kept["text_key"])
+    one = marked_docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "near text key"]).drop("near text key")
     return one.unionByName(docs.where("doc_id is null"))

@@ -2,15 +2,17 @@
 
 Rules are (host, path) pairs such as ``example.net/en/``: a rule fits its host and all subdomains if the path of the
 url starts with the rule's; the longest fitting rule decides. Where none fits, the host's share of bad pages decides.
-Labelled page outcomes are counted by host; the rate of a host is shrunk to that of its registered domain (last two
-labels), that of the domain to its suffix (last label) and that of the suffix to all pages, each through a
-beta-binomial prior whose strength is estimated from the spread of the level's rates (method of moments). A host is
-blocked if the lower bound of its posterior (mean less ``z`` standard deviations) lies above ``block_above``.
+Labelled page outcomes are counted by host; the rate of a host is shrunk to that of its registered domain, that of the
+domain to its suffix and that of the suffix to all pages, each through a beta-binomial prior whose strength is
+estimated from the spread of the level's rates (method of moments). The posterior of a host's rate is a beta
+distribution; its lower bound is the quantile ``tail``, found by summing the density over ``STEPS`` points of its log
+odds. A host is blocked if that bound lies above ``lift`` times the rate of all labelled pages: if it is, but for
+``tail``, worse than the whole.
 
 Cases: a null url or one without ``://`` has an empty host and path; such pages share one reputation. Hosts without
 labels get their domain's prior. No labels at all: the rates are 0 and nothing is blocked. Pages that are repeated
 count each time. A page_id with several outcomes counts as bad if one says so; null page ids have no outcome. An
-empty table gives no rows. Only page_id and url are read.
+empty table gives no rows. Only page_id and url are read. Very long urls are cut into host and path like others.
 """
 
 from __future__ import annotations
@@ -79,12 +81,75 @@ def longest_rule(rules: tuple[Rule, ...], host: Column, path: Column, of) -> Col
     return found
 
 
-def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+# Public suffixes of two labels under which names are registered.
+TWO_LABELS = (
+    "ac.at", "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th",
+    "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.es", "com.hk", "com.mx", "com.my", "com.ng",
+    "com.pe", "com.ph", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gob.mx", "gouv.fr", "gov.au",
+    "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "nhs.uk", "or.at", "or.jp", "or.kr", "org.au",
+    "org.br", "org.cn", "org.nz", "org.uk", "org.za", "sch.uk",
+)
+ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
+
+
+def bare_host(host: Column) -> Column:
+    """Without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix of a host; addresses have one of their own, ``address``."""
+    h, two = bare_host(host), F.substring_index(bare_host(host), ".", -2)
+    return F.when(h.rlike(ADDRESS), "address").when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(h, ".", -1))
+
+
+def domain(host: Column) -> Column:
+    """The registered domain of a host: its suffix and the label before it; an address is its own."""
+    h, two = bare_host(host), F.substring_index(bare_host(host), ".", -2)
+    return F.when(h.rlike(ADDRESS), h).when(two.isin(*TWO_LABELS), F.substring_index(h, ".", -3)).otherwise(two)
+
+
+#: Points at which a posterior's density is summed.
+STEPS = 400
+
+
+def beta_quantile(a: Column, b: Column, tail: float) -> Column:
+    """The quantile ``tail`` of the beta distribution (a, b); 0 or 1 where a or b is not positive.
+
+    Over log odds u the density is proportional to exp(a u) / (1 + exp(u))^(a + b), which has one mode and thin tails;
+    it is summed by trapezoids over eight standard deviations and the tails' decay on either side, and inverted between
+    two points, where the density is taken as a line.
+    """
+    spread = F.sqrt((a + b) / (a * b))
+    mode = F.log(a / b)
+    low = mode - 8 * spread - 20 / a
+    step = (16 * spread + 20 / a + 20 / b) / STEPS
+
+    def found(x: Column) -> Column:
+        a, b, mode, low, step = (x[n] for n in ("a", "b", "mode", "low", "step"))
+        log_odds = lambda u: a * u - (a + b) * F.when(u > 0, u + F.log1p(F.exp(-u))).otherwise(F.log1p(F.exp(u)))
+        peak = log_odds(mode)
+        points = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.exp(log_odds(low + i * step) - peak))
+        return F.element_at(F.transform(F.array(F.struct(points.alias("d"), low.alias("low"), step.alias("step"))), inverted), 1)
+
+    def inverted(x: Column) -> Column:
+        total = F.aggregate(x["d"], F.lit(0.0), lambda s, d: s + d)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("last"), F.lit(-1.0).alias("at"), F.lit(0).alias("i"))
+
+        def walk(s: Column, d: Column) -> Column:
+            gain = (s["last"] + d) / 2
+            over = (s["at"] < 0) & (s["sum"] + gain >= tail * total)
+            rest = tail * total - s["sum"]
+            root = F.sqrt(F.greatest(s["last"] * s["last"] + 2 * (d - s["last"]) * rest, F.lit(0.0)))
+            at = F.when(over, s["i"] - 1 + 2 * rest / (s["last"] + root)).otherwise(s["at"])
+            return F.struct((s["sum"] + gain).alias("sum"), d.alias("last"), at.alias("at"), (s["i"] + 1).alias("i"))
+
+        u = x["low"] + x["step"] * F.aggregate(x["d"], start, walk)["at"]
+        return 1 / (1 + F.exp(-u))
+
+    given = F.struct(a.alias("a"), b.alias("b"), mode.alias("mode"), low.alias("low"), step.alias("step"))
+    inner = F.element_at(F.transform(F.array(given), found), 1)
+    return F.when(a <= 0, F.lit(0.0)).when(b <= 0, F.lit(1.0)).otherwise(inner)
 
 
 def moments(level: DataFrame) -> tuple[float, float]:
@@ -105,8 +170,9 @@ def moments(level: DataFrame) -> tuple[float, float]:
     return mean, min(1000.0, max(1.0, strength))
 
 
-def host_reputation(located: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n and bad labelled pages, posterior mean and lower bound; one row for each host of ``located``.
+def host_reputation(located: DataFrame, outcomes: DataFrame, tail: float = 0.05) -> tuple[DataFrame, float]:
+    """host, n and bad labelled pages, posterior mean and lower bound, one row for each host of ``located``; and the
+    rate of bad pages among all.
 
     ``outcomes``: page_id, bad (0 or 1). A host with any share of the pages costs one row per task: counts are summed
     before the shuffle.
@@ -130,22 +196,20 @@ def host_reputation(located: DataFrame, outcomes: DataFrame, z: float = 1.645) -
     domains = domains.join(suffixes, "suffix").select("domain", rate(m_domain, F.col("suffix_rate")).alias("domain_rate"))
     a = F.col("bad") + m_host * F.col("domain_rate")
     b = F.col("n") - F.col("bad") + m_host * (1 - F.col("domain_rate"))
-    return (
-        hosts.join(domains, "domain")
-        .select("host", "n", "bad", a.alias("a"), b.alias("b"))
-        .select("host", "n", "bad", F.expr("a / (a + b)").alias("rate"),
-                F.expr(f"a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))").alias("lower"))
-    )
+    rated = hosts.join(domains, "domain").select("host", "n", "bad", a.alias("a"), b.alias("b"))
+    bound = beta_quantile(F.col("a"), F.col("b"), tail)
+    return rated.select("host", "n", "bad", F.expr("a / (a + b)").alias("rate"), bound.alias("lower")), mean
 
 
 def judge_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, z: float = 1.645, block_above: float = 0.5
+    pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, tail: float = 0.05, lift: float = 1.0
 ) -> DataFrame:
     """page_id, host, path, rule, verdict; then the host's posterior mean and lower bound."""
     located = with_host(pages)
-    reputation = materialize(host_reputation(located, outcomes, z).select("host", "rate", "lower"), "reputation")
+    rated, mean = host_reputation(located, outcomes, tail)
+    reputation = materialize(rated.select("host", "rate", "lower"), "reputation")
     host, path = F.col("host"), F.col("path")
-    method = F.when(F.col("lower") > block_above, "block").otherwise("allow")
+    method = F.when(F.col("lower") > lift * mean, "block").otherwise("allow")
     return located.join(reputation, "host", "left").select(
         "page_id", "host", "path",
         longest_rule(rules, host, path, lambda r: r.pattern).alias("rule"),

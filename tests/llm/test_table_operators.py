@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -186,6 +187,96 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert got[900].host_rate > 0.5 > got[901].host_lower  # a new host has its domain's rate; one bad page proves little
 
 
+def brute_quantile(a, b, tail):
+    """By bisection on the sum of the density over 200,000 points of the unit interval's log odds."""
+    u = np.linspace(-60 / min(a, 1) - 20, 60 / min(b, 1) + 20, 400_001)
+    log = a * u - (a + b) * np.logaddexp(0, u)
+    c = np.cumsum(np.exp(log - log.max()))
+    return 1 / (1 + math.exp(-np.interp(tail * c[-1], c, u)))
+
+
+def test_beta_quantiles(spark):
+    cases = [(0.3, 4.0), (1.0, 1.0), (2.5, 7.25), (30.0, 70.0), (0.2, 900.0), (5000.0, 15000.0), (400_000.0, 10.0), (12.0, 0.4)]
+    df = spark.createDataFrame(cases + [(0.0, 3.0), (3.0, 0.0)], "a double, b double")
+    for tail in (0.05, 0.5):
+        got = {(r.a, r.b): r.q for r in df.select("a", "b", url_filter.beta_quantile(df["a"], df["b"], tail).alias("q")).collect()}
+        assert got[0.0, 3.0] == 0 and got[3.0, 0.0] == 1
+        for a, b in cases:
+            want, deviation = brute_quantile(a, b, tail), math.sqrt(a * b / (a + b + 1)) / (a + b)
+            assert abs(got[a, b] - want) <= 0.02 * deviation, (a, b, tail)
+
+
+def brute_reputation(hosts, domain_of, suffix_of):
+    """rate and (a, b) of each host from {host: (n, bad)}, in plain Python."""
+
+    def level(key):
+        out = defaultdict(lambda: [0, 0])
+        for h, (n, bad) in hosts.items():
+            out[key(h)][0] += n
+            out[key(h)][1] += bad
+        return out
+
+    def moments(rows):
+        rated = [(n, bad) for n, bad in rows if n]
+        if not rated:
+            return 0.0, 1.0
+        k, total = len(rated), sum(n for n, _ in rated)
+        mean = sum(b for _, b in rated) / total
+        spread = max(0.0, sum(b * b / n for n, b in rated) - total * mean * mean) * k / (total * max(1, k - 1))
+        extra = spread - mean * (1 - mean) * sum(1 / n for n, _ in rated) / k
+        strength = (mean * (1 - mean) - spread) / extra if extra > 1e-12 else 1000.0
+        return mean, min(1000.0, max(1.0, strength))
+
+    domains, suffixes = level(domain_of), level(suffix_of)
+    mean, ms = moments(suffixes.values())
+    md, mh = moments(domains.values())[1], moments(hosts.values())[1]
+    sr = {s: (b + ms * mean) / (n + ms) for s, (n, b) in suffixes.items()}
+    parent = {domain_of(h): suffix_of(h) for h in hosts}
+    dr = {d: (b + md * sr[parent[d]]) / (n + md) for d, (n, b) in domains.items()}
+    return mean, {h: (b + mh * dr[domain_of(h)], n - b + mh * (1 - dr[domain_of(h)])) for h, (n, b) in hosts.items()}
+
+
+def test_reputation_matches_plain_python_and_decides(spark):
+    """The driver's pages with the driver's labels (no host is worse than the others: nothing is blocked), and with
+    outcomes that go by host."""
+    sf = "/root/testdata/sf0.1"
+    pages, labels = read_table(spark, sf, "pages"), read_table(spark, sf, "labels")
+    given = url_filter.labelled_outcomes(labels)
+    spam = pages.selectExpr("page_id", "cast(url rlike 'casino|bets|pills|adult|spam|ads-' and page_id % 10 <> 0 or page_id % 9 = 0 as int) as bad")
+    two = lambda h: h.rsplit(".", 2)[-2:]
+    for outcomes, verdicts in ((given, {"allow"}), (spam, {"allow", "block"})):
+        bad = defaultdict(int)
+        for r in outcomes.collect():
+            bad[r.page_id] = max(bad[r.page_id], r.bad)
+        rows = url_filter.judge_urls(pages, outcomes).collect()
+        hosts = defaultdict(lambda: [0, 0])
+        for r in rows:
+            hosts[r.host][0] += r.page_id in bad
+            hosts[r.host][1] += bad.get(r.page_id, 0)
+        mean, posterior = brute_reputation({h: tuple(v) for h, v in hosts.items()}, lambda h: ".".join(two(h)), lambda h: two(h)[-1])
+        bounds = {h: brute_quantile(a, b, 0.05) for h, (a, b) in posterior.items()}
+        for r in rows:
+            a, b = posterior[r.host]
+            assert math.isclose(r.host_rate, a / (a + b), rel_tol=1e-9) and abs(r.host_lower - bounds[r.host]) < 0.001
+            assert r.rule is not None or r.verdict == ("block" if r.host_lower > mean else "allow")
+        assert {r.verdict for r in rows if r.rule is None} == verdicts
+        blocked = {r.host for r in rows if r.rule is None and r.verdict == "block"}
+        assert all(any(w in h for w in ("casino", "bets", "pills", "adult", "spam", "ads-")) for h in blocked)
+
+
+def test_suffixes_and_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk:80": ("co.uk", "b.co.uk"), "x.y.org": ("org", "y.org"), "y.org": ("org", "y.org"),
+        "me@h.net": ("net", "h.net"), "10.0.0.1:8080": ("address", "10.0.0.1"), "": ("", ""), "localhost": ("localhost", "localhost"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    got = df.select("host", url_filter.suffix(df["host"]).alias("s"), url_filter.domain(df["host"]).alias("d")).collect()
+    assert {r.host: (r.s, r.d) for r in got} == want
+    long = spark.createDataFrame([(1, "http://a.org/" + "p" * 200_000), (1, "http://b.org/"), (2, None)], "page_id long, url string")
+    rows = url_filter.judge_urls(long, spark.createDataFrame([(1, 0), (1, 1)], "page_id long, bad int")).collect()
+    assert sorted(len(r.path) for r in rows) == [0, 1, 200_001]
+
+
 def brute_records(rows):
     pay = {i: (html or "").encode() for i, (_, _, html) in enumerate(rows)}
     top = {}
@@ -255,6 +346,20 @@ def test_chat_reads_back_what_it_wrote(spark):
     assert chat.format_and_read_back(df.limit(0)).count() == 1
 
 
+def test_chat_loss_follows_the_mask(spark):
+    """Another mask over the same text gives other loss columns: they are read from the text under the mask."""
+    rows = [("<s>ab<|im_end|>cd</s>", [(3, False), (2, True), (10, False), (1, True), (5, False)])]
+    df = spark.createDataFrame(rows, "formatted string, loss_runs array<struct<chars:int,loss:boolean>>")
+    got = df.select(chat.under_mask(df["formatted"], df["loss_runs"]).alias("x")).first().x
+    assert got == ["ab", "c"]
+    base = chat.format_conversations(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")).where("conv_id = 1")
+    want = chat.digest(base).first()
+    flipped = base.selectExpr("conv_id", "formatted", "transform(loss_runs, r -> struct(r.chars, not r.loss as loss)) as loss_runs")
+    other = chat.digest(flipped).first()
+    assert want.turns_sha256 == other.turns_sha256 and want.loss_sha256 != other.loss_sha256
+    assert want.loss_chars == len("helloagain </s>")
+
+
 def test_chat_merges_runs(spark):
     df = spark.createDataFrame(CHATS[:4], "conv_id long, turn long, role string, text string")
     (row,) = chat.format_conversations(df).collect()

@@ -150,6 +150,13 @@ def test_near_duplicate_stage_keeps_one(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_keeps_other_texts_of_an_id(spark):
+    other = "completely other words stand in this text of the same document id and share nothing"
+    df = frame(spark, [doc(1, PROSE), doc(1, other), doc(2, PROSE), doc(1, other), doc(3, None), doc(4, " ")])
+    kept = collect(simhash.drop_near_duplicates(df), "doc_id", "text")
+    assert kept == sorted([(1, PROSE), (1, other), (3, None)], key=repr)
+
+
 def five_word_similarity(a, b):
     one, two = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
     return len(one & two) / len(one | two)
