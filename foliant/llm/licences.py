@@ -1,13 +1,12 @@
-"""Licence scans by sentence rules, as one Spark projection.
+"""Licence phrases: known sentences and notices wherever a sentence, a line or a part after a semicolon begins with one.
 
-A text is cut into sentences (at ``.``, ``!``, ``?`` before white space or the end, and at line ends); sentences are
-normalised (A-Z lower-cased, all but a-z and 0-9 to single spaces) and mapped to the identifiers of known licence
-sentences; the rest is dropped. The identifiers of a text, in order, are matched against rules: a rule is a sequence
-of identifiers, and it is found where the text's identifiers hold that sequence without a gap.
+Looser than ``licence_rules``: what follows a phrase doesn't count, so shortened and continued sentences are found too.
+The identifiers of a text, in order, are matched against rules: a rule is a sequence of identifiers, and it is found
+where the text's identifiers hold that sequence without a gap.
 
-Cases: null, empty and unknown texts have no sentences and no licences (empty strings); a repeated sentence gives its
-identifier each time; repeated rows stay rows; an empty table gives no rows; other columns are not read. Known
-sentences and rules are parameters of bounded size that become part of the expression.
+Cases: null, empty and unknown texts have no phrases and no licences (empty strings); a repeated phrase gives its
+identifier each time; repeated rows stay rows; an empty table gives no rows; other columns are not read. Known phrases
+and rules are parameters of bounded size that become part of the expression.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from foliant.llm.quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK = r"[.!?]+(?:[\x20\x09-\x0D]+|\z)|\n"
 
 # Sentences of public licence texts, normalised, and their identifiers.
 SENTENCES = {
@@ -58,57 +56,6 @@ RULES = (
 )
 
 
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    cut = F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), plain)
-    known = F.filter(cut, lambda s: s.isin(sorted(sentences)))
-    names = F.create_map(*[F.lit(x) for kv in sorted(sentences.items()) for x in kv])
-    return F.transform(known, lambda s: F.element_at(names, s))
-
-
-def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """doc_id, n_sentences (known ones), sentence_ids, licences (names of the rules found, in rule order)."""
-    trail = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
-
-    def named(t: Column) -> Column:
-        found = [F.when(t.contains("|" + "|".join(ids) + "|"), F.lit(name)) for name, ids in rules]
-        return F.concat_ws(",", *found)
-
-    return docs.select("doc_id", identifiers(F.col("text"), sentences).alias("ids")).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_sentences"),
-        F.array_join("ids", "|").alias("sentence_ids"),
-        let(trail, named).alias("licences"),
-    )
-
-
-def scan_sql(sentences: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """The same scan as SQL for DuckDB."""
-    quote = lambda x: "'" + x + "'"
-    keys, values = (", ".join(map(quote, x)) for x in zip(*sorted(sentences.items())))
-    found = ", ".join(
-        f"case when contains(trail, {quote('|' + '|'.join(ids) + '|')}) then {quote(name)} end" for name, ids in rules
-    )
-    return rf"""
-with known as (select unnest([{keys}]) as sentence, unnest([{values}]) as id),
-cut as (
-  select doc_id, row_number() over () as r,
-    string_split_regex(coalesce(text, ''), '[.!?]+(?:[\x20\x09-\x0D]+|\z)|\n') as parts from documents),
-parts as (select doc_id, r, unnest(parts) as part, generate_subscripts(parts, 1) as i from cut),
-plain as (
-  select doc_id, r, i, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) as sentence
-  from parts),
-named as (
-  select r, count(*) as n, string_agg(id, '|' order by i) as ids
-  from plain join known using (sentence) group by r),
-trails as (
-  select doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sentence_ids,
-    '|' || coalesce(ids, '') || '|' as trail
-  from cut left join named using (r))
-select doc_id, n_sentences, sentence_ids, concat_ws(',', {found}) as licences from trails"""
-
-
 # Who or what a notice speaks of, and how.
 SUBJECTS = ("", *(f"this {x} is " for x in ("file", "project", "software", "work", "code", "program", "library", "package", "repository")))
 VERBS = tuple(x + y for x in ("released under ", "licensed under ", "distributed under ") for y in ("", "the terms of "))

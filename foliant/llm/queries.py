@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, chat, iblt, licences, mixing, quality, simhash, toxicity, url_filter, warc
+from foliant.llm import bpe, chat, iblt, licence_rules, licences, mixing, quality, simhash, toxicity, url_filter, warc
 from foliant.session import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(read_table(spark, sf_dir, "documents"))
+    return licence_rules.scan_licences(read_table(spark, sf_dir, "documents"))
 
 
 def op2_licence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_licences": licences.scan_sql(),
+    "op2_licences": licence_rules.scan_sql(),
     "op2_licence_texts": licences.scan_texts_sql(),
 }

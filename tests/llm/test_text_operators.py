@@ -12,8 +12,8 @@ import pytest
 import tiktoken
 import xxhash
 
-from foliant.llm import bpe, iblt, licences, quality, simhash
-from foliant.llm.queries import RANKS, op2_licence_texts
+from foliant.llm import bpe, iblt, licence_rules, licences, quality, simhash
+from foliant.llm.queries import RANKS, op2_licence_texts, op2_licences
 from foliant.session import read_table
 from tests.compare import differences, duck
 from tests.llm.helpers import EDGES, PROSE, WORD, collect, doc, frame
@@ -206,7 +206,7 @@ def test_licences(spark):
         doc(4, "The software is provided \"as is\", without warranty of any kind! Permission is hereby granted, free of charge, to any person obtaining a copy."),
         doc(5, None), doc(6, ""), doc(7, "licensed under cc by-nc 4.0"),
     ]
-    got = {r.doc_id: (r.n_sentences, r.licences) for r in licences.scan_licences(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_sentences, r.licences) for r in licence_rules.scan_licences(frame(spark, rows)).collect()}
     assert got == {1: (2, "MIT,all-rights-reserved"), 2: (1, "Apache-2.0"), 3: (2, "MIT-text"), 4: (2, ""), 5: (0, ""),
                    6: (0, ""), 7: (1, "CC-BY-NC-4.0")}
 
@@ -242,6 +242,81 @@ def test_licence_texts_equal_their_sql(spark, sf):
     assert differences(spark, duck(sf), sf, op2_licence_texts, licences.scan_texts_sql()) == ""
 
 
+# Whole texts and headers as their licences print them (the copyright line and links included).
+WHOLE = {
+    "MIT-text": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "Apache-2.0-header": """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1-or-later-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+}
+WHOLE["BSD-3-Clause"] = WHOLE["BSD-2-Clause"].replace("THIS SOFTWARE IS", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS""", 1)
+WHOLE["GPL-2.0-or-later-header"] = WHOLE["LGPL-2.1-or-later-header"].replace("library", "program").replace("Lesser ", "").replace("2.1", "2")
+
+
+def test_whole_licences_wrapped_and_in_comments(spark):
+    rows, want = [], {}
+    for name, text in WHOLE.items():
+        for width in (60, 72, 80, 10_000):
+            for start, end in (("", ""), (" * ", ""), ("# ", ""), ("// ", ""), ("", " ")):
+                lines = [y + end for x in text.split("\n") for y in textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False) or [""]]
+                want[len(rows)] = name
+                rows.append(doc(len(rows), "Some title and words before it\n\n" + "\n".join(start + x for x in lines) + "\n\nmore words"))
+    tags = {
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": "spdx:Apache-2.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This file is released under the MIT License\nand has more lines": "MIT", "We like the MIT License and all rights reserved here": "",
+        "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.": "CC-BY-4.0", "All rights reserved\r\nx": "all-rights-reserved", "É. All rights reserved!": "all-rights-reserved",
+    }
+    for text, name in tags.items():
+        want[len(rows)] = name
+        rows.append(doc(len(rows), text))
+    got = {r.doc_id: r.licences for r in licence_rules.scan_licences(frame(spark, rows)).collect()}
+    assert {k: (v, got[k]) for k, v in want.items() if got[k] != v} == {}
+
+
+def test_licence_rules_on_odd_rows_equal_their_sql(spark, sf, tmp_path):
+    two = WHOLE["MIT-text"] + "\n\n" + WHOLE["MIT-text"] + " Licensed under the MIT License. " * 3
+    rows = EDGES + [doc(20, two), doc(20, two), doc(21, "All rights reserved. " * 20_000), doc(22, "\n\n;;..\n"), doc(23, WHOLE["BSD-3-Clause"])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck(sf)
+    con.execute(f"create or replace view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert differences(spark, con, str(tmp_path), op2_licences, licence_rules.scan_sql()) == ""
+    assert licence_rules.scan_licences(frame(spark, [])).count() == 0
+    assert differences(spark, duck(sf), sf, op2_licences, licence_rules.scan_sql()) == ""
+
+
 def pieces(text):
     found = []
     for line in (text or "").split("\n"):
