@@ -66,26 +66,27 @@ def placed(key: Column, sign: Column, salt: int = 0) -> Column:
     )
 
 
-def hits(entry: Column, cell: Column) -> Column:
-    return (entry["p0"] == cell) | (entry["p1"] == cell) | (entry["p2"] == cell)
-
-
 def cell(n: Column, x: Column) -> Column:
     return F.struct(n.alias("n"), x.alias("x"))
 
 
 def put(cells: Column, entries: Column, sign: int = 1) -> Column:
-    """The cells with each entry added ``sign`` times its own sign."""
-    return F.aggregate(
-        entries,
-        cells,
-        lambda acc, e: F.transform(
-            acc,
-            lambda c, i: F.when(hits(e, i), cell(c["n"] + sign * e["s"], c["x"].bitwiseXOR(e["k"]))).otherwise(
-                cell(c["n"], c["x"])
-            ),
-        ),
-    )
+    """The cells with each entry added ``sign`` times its own sign; each row of cells looks at one place of a key."""
+
+    def filled(row: int) -> Column:
+        def add(c: Column, i: Column) -> Column:
+            mine = i + WIDTH * row
+            return F.aggregate(
+                entries,
+                c,
+                lambda acc, e: F.when(
+                    e[f"p{row}"] == mine, cell(acc["n"] + sign * e["s"], acc["x"].bitwiseXOR(e["k"]))
+                ).otherwise(acc),
+            )
+
+        return F.transform(F.slice(cells, WIDTH * row + 1, WIDTH), add)
+
+    return F.concat(*[filled(row) for row in range(ROWS)])
 
 
 def empty_cells() -> Column:
@@ -110,26 +111,24 @@ def peel(cells: Column, salt: int = 0) -> Column:
     """array of struct(k, s): the keys left in a difference of sketches, s 1 or -1 by side; null if peeling stuck."""
     none = F.array().cast("array<struct<k:bigint,s:int,p0:int,p1:int,p2:int>>")
 
+    def alone(c: Column, i: Column) -> Column:
+        spot = F.xxhash64(c["x"], F.lit(salt)) if salt else c["x"]
+        row = F.floor(i / WIDTH)
+        at = F.call_function("shiftrightunsigned", spot, (17 + 9 * row).cast("int")).bitwiseAND(F.lit(WIDTH - 1).cast("long")).cast("int") + WIDTH * row
+        return F.when((F.abs(c["n"]) == 1) & is_key(c["x"]), at == i).otherwise(False)
+
     def round_(state: Column, _: Column) -> Column:
-        alone = F.filter(
-            state["cells"],
-            lambda c, i: F.when((F.abs(c["n"]) == 1) & is_key(c["x"]), hits(placed(c["x"], c["n"], salt), i)).otherwise(False),
-        )
-        fresh = F.array_distinct(F.transform(alone, lambda c: placed(c["x"], c["n"], salt)))
-        return F.when(F.size(alone) == 0, state).otherwise(
-            F.element_at(
-                F.transform(
-                    F.array(fresh),
-                    lambda f: F.struct(
-                        put(state["cells"], f, -1).alias("cells"), F.concat(state["taken"], f).alias("taken")
-                    ),
-                ),
-                1,
-            )
-        )
+        fresh = F.array_distinct(F.transform(F.filter(state["cells"], alone), lambda c: placed(c["x"], c["n"], salt)))
+        next_ = lambda f: F.struct(
+            F.when(F.size(f) == 0, state["cells"]).otherwise(put(state["cells"], f, -1)).alias("cells"),
+            F.concat(state["taken"], f).alias("taken"), (F.size(f) == 0).alias("done"),
+        )
+        return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(fresh), next_), 1))
 
     end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("taken")), round_
+        F.sequence(F.lit(1), F.lit(ROUNDS)),
+        F.struct(cells.alias("cells"), none.alias("taken"), F.lit(False).alias("done")),
+        round_,
     )
     return F.element_at(
         F.transform(
@@ -151,15 +150,21 @@ def fingerprint(cells: Column) -> Column:
 def differences(pairs: DataFrame) -> DataFrame:
     """pair, n_differing: how many keys only one of ``keys_a`` and ``keys_b`` holds.
 
-    ``pairs``: pair (unique), cells_a, cells_b (base sketches), keys_a, keys_b. Base sketches first; the pairs, then the
-    parts, on which peeling sticks are dealt to larger sketches until none is left.
+    ``pairs``: pair (unique), cells_a, cells_b (base sketches), keys_a, keys_b. Base sketches first; the pairs on which
+    peeling sticks are dealt to larger ones.
     """
     tried = materialize(
         pairs.select("pair", "keys_a", "keys_b", peel(subtract(F.col("cells_a"), F.col("cells_b"))).alias("left")),
         "iblt-base",
     )
-    found = [tried.where("left is not null").select("pair", F.size("left").alias("n"))]
-    stuck, k = tried.where("left is null"), 0
+    found = tried.where("left is not null").select("pair", F.size("left").cast("long").alias("n_differing"))
+    return found.unionByName(retried(tried.where("left is null")))
+
+
+def retried(stuck: DataFrame) -> DataFrame:
+    """pair, n_differing of pairs (pair, keys_a, keys_b) on which the base sketch stuck: the pairs, then the parts, are
+    dealt to larger sketches until none is left."""
+    found, k = [], 0
     both = F.size("keys_a") + F.size("keys_b")
     parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(both / PER_PART, F.lit(2.0))))).cast("int")
     entries = stuck.select(
@@ -171,9 +176,14 @@ def differences(pairs: DataFrame) -> DataFrame:
         )
         salt = k + 1
         sketched = put(empty_cells(), F.transform("es", lambda e: placed(e["k"], e["s"], salt)))
-        peeled = materialize(dealt.select("pair", "parts", "es", peel(sketched, salt).alias("left")), "iblt-parts")
-        found.append(peeled.where("left is not null").select("pair", F.size("left").alias("n")))
-        stuck, k = peeled.where("left is null"), k + 1
+        left = F.transform(F.array(sketched), lambda cells: peel(cells, salt))[0]
+        again = dealt.select("pair", "parts", "es", left.alias("left"))
+        n = F.when(F.col("left").isNotNull(), F.size("left"))
+        peeled = materialize(
+            again.select("pair", "parts", n.alias("n"), F.when(F.col("left").isNull(), F.col("es")).alias("es")), "iblt-parts"
+        )
+        found.append(peeled.where("n is not null").groupBy("pair").agg(F.sum("n").alias("n")))
+        stuck, k = peeled.where("n is null"), k + 1
         if stuck.isEmpty():
             break
         if k > MOST_RETRIES:
@@ -196,48 +206,47 @@ def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text, next_text: each document with the text of the next one in descending order of doc_id.
+    """doc_id, text, keys, cells and the same of the next document (next_text, next_keys, next_cells), in descending
+    order of doc_id; null ids come last, in the order of their texts' hashes.
 
-    Rows are dealt to buckets of neighbouring ids; the head of each bucket is also put, as a guest, at the end of the
-    bucket before it, and the first head at the end of the last. So one window per bucket finds all neighbours.
+    Rows are dealt to buckets of neighbouring ids (of hashes, for null ids); the head of each bucket is also put, as a
+    guest, at the end of the bucket before it, and the first head at the end of the last. So one window per bucket finds
+    all neighbours. Only texts are shuffled: keys and cells are made after that, once for each row.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    span = rows.agg(F.count("doc_id").alias("n")).first()["n"]
-    wanted = min(BOUNDS, math.ceil(span / BUCKET_ROWS))
+    counts = rows.agg(F.count("doc_id").alias("n"), F.count("*").alias("all"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    wanted = min(BOUNDS, math.ceil(counts["n"] / BUCKET_ROWS))
     cuts = rows.stat.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.001) if wanted > 1 else []
     cuts = sorted({int(c) for c in cuts})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # -1: rows without an id. Beyond BOUNDS * BUCKET_ROWS rows a bucket is split evenly by id.
-    split = max(1, math.ceil(span / (BOUNDS * BUCKET_ROWS)))
+    # Beyond BOUNDS * BUCKET_ROWS rows each range of ids is split evenly.
+    split = max(1, math.ceil(counts["n"] / (BOUNDS * BUCKET_ROWS)))
     level = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
-    if split > 1:
-        low_high = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-        ends = F.array(*[F.lit(int(x)).cast("long") for x in [low_high["a"] - 1, *cuts, low_high["b"]]])
-        low, high = F.get(ends, level), F.get(ends, level + 1)
-        inner = F.floor((F.col("doc_id") - low - 1) * split / F.greatest(high - low, F.lit(1)))
-        level = level * split + F.least(F.greatest(inner, F.lit(0)), F.lit(split - 1)).cast("int")
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(level).cast("long"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    same = rows["doc_id"].eqNullSafe(F.col("top")) & (rows["bucket"] == F.col("top_bucket"))
-    # One small row for each bucket: at most about one for BUCKET_ROWS documents is broadcast.
-    heads = (
-        rows.join(F.broadcast(tops.withColumnRenamed("bucket", "top_bucket")), same)
-        .select("doc_id", "text", "bucket")
-        .groupBy("bucket", "doc_id")
-        .agg(F.min("text").alias("text"))
-    )
-    # One row for each bucket: the bucket whose rows come before this one's, in descending order.
+    ends = F.array(*[F.lit(int(x)).cast("long") for x in [(counts["a"] or 1) - 1, *cuts, counts["b"] or 0]])
+    low, high = F.get(ends, level), F.get(ends, level + 1)
+    inner = F.floor((F.col("doc_id") - low - 1) * split / F.greatest(high - low, F.lit(1)))
+    level = level * split + F.least(F.greatest(inner, F.lit(0)), F.lit(split - 1)).cast("int")
+    # Null ids: buckets below zero, the more so the larger the hash.
+    without = max(1, math.ceil((counts["all"] - counts["n"]) / BUCKET_ROWS))
+    spot = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    below = -1 - F.floor((spot / F.lit(2.0**64) + 0.5) * without).cast("long")
+    bucket = F.when(F.col("doc_id").isNull(), F.greatest(below, F.lit(-without))).otherwise(level).cast("long")
+    rows = rows.select("doc_id", "text", spot.alias("spot"), bucket.alias("bucket"))
+    # One small row for each bucket.
+    tops = materialize(rows.groupBy("bucket").agg(F.max("doc_id").alias("top"), F.min("spot").alias("top_spot")), "iblt-tops")
+    first = (rows["bucket"] == tops["bucket"]) & rows["doc_id"].eqNullSafe(tops["top"]) & rows["spot"].eqNullSafe(tops["top_spot"])
+    heads = rows.join(tops, first).groupBy(tops["bucket"], "doc_id", "spot").agg(F.min("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())
     ahead = tops.select("bucket", F.lag("bucket").over(down).alias("host"), F.min("bucket").over(Window.partitionBy()).alias("last"))
     guests = heads.join(ahead.select("bucket", F.coalesce("host", "last").alias("host")), "bucket").select(
-        "doc_id", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest")
-    )
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
-    near = Window.partitionBy("bucket").orderBy("guest", *order)
-    return both.select("doc_id", "text", "guest", F.lead("text").over(near).alias("next_text")).where("not guest").drop(
-        "guest"
+        "doc_id", "text", "spot", F.col("host").alias("bucket"), F.lit(True).alias("guest")
     )
+    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition("bucket")
+    keyed = dealt.select("*", keys_of(F.col("text")).alias("keys"))
+    keyed = keyed.select("*", sketch(F.col("keys")).alias("cells"))
+    near = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("spot"), F.col("text"))
+    ahead = [F.lead(c).over(near).alias("next_" + c) for c in ("text", "keys", "cells")]
+    return keyed.select("doc_id", "text", "keys", "cells", "guest", *ahead).where("not guest").drop("guest")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -249,32 +258,32 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    paired = with_next(docs).select("doc_id", "text", "next_text", edited.alias("edited"))
-    keyed = materialize(
-        paired.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"), keys_of(F.col("text")).alias("keys"),
-            keys_of(F.col("edited")).alias("edited_keys"), keys_of(F.col("next_text")).alias("next_keys"),
-        ),
-        "iblt-keys",
-    )
-    sketched = materialize(
-        keyed.select("*", sketch(F.col("keys")).alias("cells"), sketch(F.col("edited_keys")).alias("edited_cells"),
-                     sketch(F.col("next_keys")).alias("next_cells")),
-        "iblt-cells",
+    paired = with_next(docs).select("*", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    keyed = paired.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells",
+        keys_of(F.col("edited")).alias("edited_keys"),
     )
-    pair = lambda kind, name: sketched.select(
-        F.struct("row", F.lit(kind).alias("kind")).alias("pair"), F.col("keys").alias("keys_a"), F.col("cells").alias("cells_a"),
-        F.col(f"{name}_keys").alias("keys_b"), F.col(f"{name}_cells").alias("cells_b"),
+    left = lambda other: F.size(peel(subtract(F.col("cells"), F.col(other))))
+    differ = lambda other: F.transform(F.array(left(other)), lambda n: F.when(n >= 0, n).cast("long"))[0]
+    sketched = keyed.select("*", sketch(F.col("edited_keys")).alias("edited_cells"))
+    tried = materialize(
+        sketched.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256",
+            fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+            "keys", "edited_keys", "next_keys", differ("edited_cells").alias("d_edited"), differ("next_cells").alias("d_next"),
+        ),
+        "iblt-tried",
     )
-    found = differences(pair(0, "edited").unionByName(pair(1, "next")))
+    pair = lambda kind, name: tried.where(f"d_{name} is null").select(
+        F.struct("row", F.lit(kind).alias("kind")).alias("pair"), F.col("keys").alias("keys_a"), F.col(f"{name}_keys").alias("keys_b")
+    )
+    found = materialize(retried(pair(0, "edited").unionByName(pair(1, "next"))), "iblt-found")
     by_row = found.groupBy("pair.row").agg(
-        F.max(F.when(F.col("pair.kind") == 0, F.col("n_differing"))).alias("d_edited"),
-        F.max(F.when(F.col("pair.kind") == 1, F.col("n_differing"))).alias("d_next"),
+        F.max(F.when(F.col("pair.kind") == 0, F.col("n_differing"))).alias("r_edited"),
+        F.max(F.when(F.col("pair.kind") == 1, F.col("n_differing"))).alias("r_next"),
     )
-    return sketched.join(by_row, "row").select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(F.size("keys"), F.size("edited_keys"), F.col("d_edited")).alias("near_edited"),
-        likeness(F.size("keys"), F.size("next_keys"), F.col("d_next")).alias("near_next"),
+    return tried.join(by_row, "row", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.size("keys"), F.size("edited_keys"), F.coalesce("d_edited", "r_edited")).alias("near_edited"),
+        likeness(F.size("keys"), F.size("next_keys"), F.coalesce("d_next", "r_next")).alias("near_next"),
     )
