@@ -45,7 +45,10 @@ SENTENCE_WORDS = (
     "est|sont|était|étaient|sera|seront|a été|ont été|permet|permettent|doit|doivent|peut|peuvent|nous|vous|il|elle|ils|elles|ce|cette|ces"
 )
 AGAINST_WORDS = "est|sont|était|étaient|a été|ont été|permet|permettent|doit|doivent|nous|nous avons"
-REFERENCE = r"(?:^|[^\p{L}\p{N}_])((?i:figure|tableau|annexe|planche)\s+(?:\d+|[A-Z]))(?:[^a-zA-Z\p{L}'’\d]|$)"
+# A reference to a caption; what follows it isn't part of it, so that it may begin the next.
+REFERENCE_START = r"(?:^|[^\p{L}\p{N}_])((?i:figure|tableau|annexe|planche)\s+(?:\d+|[A-Z]))"
+REFERENCE_AFTER = r"[^a-zA-Z\p{L}'’\d]|$"
+REFERENCE = f"{REFERENCE_START}(?={REFERENCE_AFTER})"
 
 
 def let(value: Column, body) -> Column:
@@ -176,15 +179,44 @@ def list_entry_sql(text: str) -> str:
 
 
 def cross_references(text: Column) -> Column:
-    """array<struct<category, number, matched>> of the references in a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    return F.transform(
-        found,
-        lambda m: F.struct(
+    """array<struct<category, number, matched, position>> of the references in a text, in order; positions from 0."""
+    pattern = F.lit(REFERENCE)
+
+    def located(found: Column) -> Column:
+        whole, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, REFERENCE)
+        both = F.struct(whole.alias("whole"), between.alias("between"))
+        return let(both, lambda b: placed(found, b))
+
+    def placed(found: Column, b: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            end = s["at"] + F.length(F.get(b["between"], i)) + F.length(F.get(b["whole"], i))
+            return F.struct(end.alias("at"), F.array_append(s["out"], end - F.length(F.get(found, i))).alias("out"))
+
+        spots = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+        return F.zip_with(found, spots, lambda m, at: F.struct(
             category_of(F.regexp_extract(m, r"^(\S+)\s", 1)).alias("category"), F.regexp_extract(m, r"(\d+|[A-Z])$", 1).alias("number"),
-            m.alias("matched"),
-        ),
-    )
+            m.alias("matched"), at.alias("position"),
+        ))
+
+    none = F.array().cast("array<struct<category:string,number:string,matched:string,position:int>>")
+    return let(F.regexp_extract_all(text, pattern, F.lit(1)), lambda found: F.when(F.size(found) > 0, located(found)).otherwise(none))
+
+
+def references_sql(source: str) -> str:
+    """T12 as SQL over rows (doc_id, pos, text). The dialect has no lookahead: each mark between words is doubled, so that
+    a reference may take one and leave one, and counted as half."""
+    mark, pattern = quoted(r"[^\p{L}\p{N}_]"), quoted(f"{REFERENCE_START}(?:{REFERENCE_AFTER})")
+    words = " ".join(f"when '{w}' then '{c}'" for w, c in CAPTION_WORDS)
+    single = "replace(replace(replace(m, '  ', ' '), chr(9) || chr(9), chr(9)), chr(10) || chr(10), chr(10))"
+    return f"""with d as (select doc_id, pos, regexp_replace(text, {quoted(r"([^\p{L}\p{N}_])")}, '\\1\\1', 'g') as t from {source}),
+      f as (select doc_id, pos, regexp_extract_all(t, {pattern}, 1) as found, regexp_extract_all(t, {pattern}, 0) as whole, string_split_regex(t, {pattern}) as parts from d),
+      u as (select *, unnest(found) as m, generate_subscripts(found, 1) as i from f),
+      b as (select *, array_to_string(list_transform(range(1, i), lambda j: parts[j] || whole[j]), '') || parts[i]
+        || case when regexp_matches(whole[i], {quoted(r"^[^\p{L}\p{N}_]")}) then left(whole[i], 1) else '' end as before from u)
+      select doc_id, pos, (i - 1)::int as ref_no, case lower(regexp_extract(m, '^(\\S+)\\s', 1)) {words} end as category, regexp_extract(m, '(\\d+|[A-Z])$', 1) as number,
+        {single} as matched, (length(regexp_replace(before, {mark}, '', 'g')) + (length(before) - length(regexp_replace(before, {mark}, '', 'g'))) // 2)::int as position from b"""
 
 
 def ends_with_page(text: Column) -> Column:

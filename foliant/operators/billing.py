@@ -194,19 +194,22 @@ def payment_link_summary(links: DataFrame, now: str) -> DataFrame:
 
 
 def invoice_numbers(invoices: DataFrame) -> DataFrame:
-    """INV-YYYY-000001: numbered without gaps within each year, by (created_at, id).
+    """INV-YYYY-000001: numbered without gaps within each year, by (created_at, id); six digits at least, null
+    without a date.
 
-    Numbers are offsets of months plus a rank within the month, so that no year is ordered in one task.
+    Numbers are offsets of hours plus a rank within the hour, so that no year is ordered in one task.
     """
-    month = F.trunc("created_at", "month")
-    rows = invoices.select("id", "created_at", F.year("created_at").alias("year"), month.alias("month"))
-    run = Window.partitionBy("year").orderBy("month")
+    hour = F.date_trunc("hour", "created_at")
+    rows = invoices.select("id", "created_at", F.year("created_at").alias("year"), hour.alias("hour"))
+    run = Window.partitionBy("year").orderBy("hour")
     before = (
-        rows.groupBy("year", "month").agg(F.count("*").alias("n")).select("month", (F.sum("n").over(run) - F.col("n")).alias("before"))
+        rows.where("hour is not null").groupBy("year", "hour").agg(F.count("*").alias("n")).select("hour", (F.sum("n").over(run) - F.col("n")).alias("before"))
     )
-    rank = F.row_number().over(Window.partitionBy("month").orderBy("created_at", "id"))
-    number = F.lpad((F.col("before") + F.col("rank")).cast("string"), 6, "0")
-    ranked = rows.withColumn("rank", rank).join(before, "month")
+    rank = F.row_number().over(Window.partitionBy("hour").orderBy("created_at", "id"))
+    number = (F.col("before") + F.col("rank")).cast("string")
+    number = F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0"))
+    ranked = rows.where("hour is not null").withColumn("rank", rank).join(before, "hour")
+    ranked = ranked.unionByName(rows.where("hour is null"), allowMissingColumns=True)
     return ranked.select("id", F.concat(F.lit("INV-"), F.col("year"), F.lit("-"), number).alias("number"))
 
 

@@ -19,8 +19,9 @@ CONFIRM_OVER = 5
 def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     """doc_id, pos (new), block_id, text. Edits: edit_id, doc_id, tool, pos, end_pos, text.
 
-    The last rewrite of a block wins; deleted blocks and replaced ranges go; inserts follow their block in the order of
-    edit_id; a range is replaced by one block at its start. Edits of other tools or unknown blocks do nothing.
+    The last rewrite of a block wins; deleted blocks and replaced ranges go; a range is replaced by one block at its
+    start. Each insert goes right after its block, so of several the last stands first; inserts after an unknown block
+    go to the end, in the order of edit_id. Edits of other tools do nothing, nor do rewrites and ranges of unknown blocks.
     """
     rewrites = edits.where("tool = 'rewrite'").groupBy("doc_id", "pos").agg(F.max_by("text", "edit_id").alias("new_text"))
     ranges = edits.where("tool = 'replace_range' and end_pos >= pos")
@@ -28,14 +29,20 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
         edits.where("tool = 'delete'").select("doc_id", "pos")
         .unionByName(ranges.select("doc_id", F.explode(F.sequence("pos", "end_pos")).alias("pos"))).distinct()
     )
+    none = F.lit(0).cast("long")
     kept = blocks.join(gone, ["doc_id", "pos"], "left_anti").join(rewrites, ["doc_id", "pos"], "left").select(
-        "doc_id", F.col("pos").alias("anchor"), F.lit(0).cast("long").alias("seq"), "block_id", F.coalesce("new_text", "text").alias("text")
+        "doc_id", F.lit(0).alias("part"), F.col("pos").alias("anchor"), F.lit(0).alias("added"), none.alias("seq"), "block_id", F.coalesce("new_text", "text").alias("text")
     )
-    known = blocks.select("doc_id", "pos")
-    fresh = edits.where("tool = 'insert'").unionByName(ranges).join(known, ["doc_id", "pos"]).select(
-        "doc_id", F.col("pos").alias("anchor"), (F.col("edit_id") + 1).alias("seq"), F.concat(F.lit("new-"), "edit_id").alias("block_id"), "text"
-    )
-    order = Window.partitionBy("doc_id").orderBy("anchor", "seq")
+    known = blocks.select("doc_id", "pos", F.lit(True).alias("known"))
+    fresh = edits.where("tool = 'insert'").unionByName(ranges).join(known, ["doc_id", "pos"], "left").where("known or tool = 'insert'")
+    documents = blocks.select("doc_id").distinct()
+    insert = F.col("tool") == "insert"
+    fresh = fresh.join(documents, "doc_id", "left_semi").select(
+        "doc_id", F.when(F.col("known"), 0).otherwise(1).alias("part"), F.when(F.col("known"), F.col("pos")).alias("anchor"), F.lit(1).alias("added"),
+        F.when(F.col("known") & insert, -F.col("edit_id")).when(F.col("known"), F.lit(-(1 << 62))).otherwise(F.col("edit_id")).alias("seq"),
+        F.concat(F.lit("new-"), "edit_id").alias("block_id"), "text",
+    )
+    order = Window.partitionBy("doc_id").orderBy("part", "anchor", "added", "seq")
     return kept.unionByName(fresh).select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "block_id", "text")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import patterns as P
+from foliant.session import materialize
 
 CARRIERS = ("figure", "table", "annexe", "planche")
 # Keyword of each category.
@@ -124,10 +125,10 @@ def number_anomalies(numbered: DataFrame) -> DataFrame:
 
 
 def references(blocks: DataFrame) -> DataFrame:
-    """T12 over blocks that may refer: doc_id, pos, ref_no, category, number, matched."""
+    """T12 over blocks that may refer: doc_id, pos, ref_no, category, number, matched, position."""
     rows = blocks.where(F.col("type").isin("paragraph", "heading", "cross_ref"))
     refs = rows.select("doc_id", "pos", F.posexplode(P.cross_references(F.col("text"))).alias("ref_no", "r"))
-    return refs.select("doc_id", "pos", "ref_no", "r.category", "r.number", "r.matched")
+    return refs.select("doc_id", "pos", "ref_no", "r.category", "r.number", "r.matched", "r.position")
 
 
 def resolve_refs(numbered: DataFrame) -> DataFrame:
@@ -142,34 +143,34 @@ def resolve_refs(numbered: DataFrame) -> DataFrame:
     numbers = F.col("original_number")
 
     def nearest(keys: list[str], candidates: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-        both = candidates.select(*keys, "pos", F.lit(0).alias("ref_no"), F.lit(False).alias("is_ref")).unionByName(
-            wanted.select(*keys, "pos", "ref_no", "is_ref")
+        both = candidates.select(*keys, "pos", "block_id", F.lit(0).alias("ref_no"), F.lit(False).alias("is_ref")).unionByName(
+            wanted.select(*keys, "pos", F.lit(None).cast("string").alias("block_id"), "ref_no", "is_ref")
         )
         order = Window.partitionBy(*keys).orderBy("pos", F.col("is_ref"))
-        spot = F.when(~F.col("is_ref"), F.col("pos"))
+        spot = F.when(~F.col("is_ref"), F.struct("pos", "block_id"))
         before = F.last(spot, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
         after = F.first(spot, True).over(order.rowsBetween(0, Window.unboundedFollowing))
         n = F.sum((~F.col("is_ref")).cast("int")).over(Window.partitionBy(*keys))
         rows = both.withColumns({"before": before, "after": after, "n": n}).where("is_ref")
-        a, b = F.col("pos") - F.col("before"), F.col("after") - F.col("pos")
-        target = F.when(F.col("after").isNull() | (a <= b), F.col("before")).otherwise(F.col("after"))
-        return rows.select("doc_id", "pos", "ref_no", target.alias(f"{name}_pos"), (F.coalesce(a == b, F.lit(False)) & (F.col("before") != F.col("after"))).alias(f"{name}_tie"), F.col("n").alias(f"{name}_n"))
+        a, b = F.col("pos") - F.col("before.pos"), F.col("after.pos") - F.col("pos")
+        target = F.when(F.col("after").isNull() | (a <= b), F.col("before.block_id")).otherwise(F.col("after.block_id"))
+        tie = F.coalesce(a == b, F.lit(False)) & (F.col("before.pos") != F.col("after.pos"))
+        return rows.select("doc_id", "pos", "ref_no", target.alias(f"{name}_id"), tie.alias(f"{name}_tie"), F.col("n").alias(f"{name}_n"))
 
-    exact = targets.where(numbers.isNotNull()).select("doc_id", F.col("cat").alias("category"), numbers.alias("number"), "pos")
-    shown = targets.where("final_number is not null or original_number is not null").select("doc_id", F.col("cat").alias("category"), "pos")
+    exact = targets.where(numbers.isNotNull()).select("doc_id", F.col("cat").alias("category"), numbers.alias("number"), "pos", "block_id")
+    shown = targets.where("final_number is not null or original_number is not null").select("doc_id", F.col("cat").alias("category"), "pos", "block_id")
     keys = ["doc_id", "pos", "ref_no"]
     rows = refs.join(nearest(["doc_id", "category", "number"], exact, refs, "exact"), keys).join(nearest(["doc_id", "category"], shown, refs, "any"), keys)
     found = (
-        F.when(F.col("exact_n") == 1, F.struct(F.col("exact_pos").alias("p"), F.lit(1.0).alias("c")))
-        .when(F.col("exact_n") > 1, F.struct(F.col("exact_pos").alias("p"), F.when(F.col("exact_tie"), 0.55).otherwise(0.75).alias("c")))
-        .when(F.col("any_n") > 0, F.struct(F.col("any_pos").alias("p"), F.lit(0.55).alias("c")))
+        F.when(F.col("exact_n") == 1, F.struct(F.col("exact_id").alias("id"), F.lit(1.0).alias("c")))
+        .when(F.col("exact_n") > 1, F.struct(F.col("exact_id").alias("id"), F.when(F.col("exact_tie"), 0.55).otherwise(0.75).alias("c")))
+        .when(F.col("any_n") > 0, F.struct(F.col("any_id").alias("id"), F.lit(0.55).alias("c")))
     )
     rows = rows.withColumn("f", found)
     first = F.min(F.when(F.col("f").isNotNull(), F.col("ref_no"))).over(Window.partitionBy("doc_id", "pos"))
     return rows.withColumn("first", first).where("first is null or ref_no <= first").select(
-        "doc_id", "pos", "ref_no", "category", "number", "matched",
-        F.when(F.col("f").isNotNull(), F.concat("doc_id", F.lit("-"), F.col("f.p"))).alias("target_id"), F.col("f.c").alias("confidence"),
-    )
+        "doc_id", "pos", "ref_no", "category", "number", "matched", F.col("f.id").alias("target_id"), F.col("f.c").alias("confidence")
+    )
 
 
 def rewrite_refs(numbered: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -195,17 +196,21 @@ def low_confidence_report(resolved: DataFrame, below: float = 0.7, shown: int =
     )
 
 
-def numbering_pipeline(blocks: DataFrame) -> dict[str, DataFrame]:
-    """Link, renumber, resolve, rewrite and report, in this order; the numbered blocks are written in between."""
-    from foliant.session import materialize
+def numbering_pipeline(blocks: DataFrame, wanted: str = "texts") -> DataFrame:
+    """Link, renumber, resolve, rewrite and report, in this order; ``wanted`` names the step whose table is returned.
 
-    links = materialize(link_captions(blocks), "links")
-    numbered = materialize(renumber(blocks, links), "numbered")
-    resolved = materialize(resolve_refs(numbered), "references")
-    return {
-        "links": links, "numbered": numbered, "references": resolved, "texts": rewrite_refs(numbered, resolved),
-        "anomalies": number_anomalies(numbered), "report": low_confidence_report(resolved),
-    }
+    Only the numbered blocks are written in between: links lead to them alone, and references are read twice at most.
+    """
+    links = link_captions(blocks)
+    if wanted == "links":
+        return links
+    numbered = materialize(renumber(blocks, materialize(links, "links")), "numbered")
+    if wanted == "numbered":
+        return numbered
+    if wanted == "anomalies":
+        return number_anomalies(numbered)
+    resolved = resolve_refs(numbered)
+    return {"references": lambda: resolved, "texts": lambda: rewrite_refs(numbered, resolved), "report": lambda: low_confidence_report(resolved)}[wanted]()
 
 
 # Headings that a table of contents leaves out.

@@ -217,8 +217,8 @@ ORACLE_SQL = {
     "L18_settle_link_decision": with_views("users", f"""select l.id, case when status = 'paid' then 'already_paid' when status = 'cancelled' then 'cancelled'
       when expires_at < timestamp '{NOW}' then 'expired' when l.user_id is not null and u.id is null then 'recipient_missing'
       when l.user_id is null then 'pay_without_credit' else 'pay' end as decision from {LINKS} l left join users u on u.id = l.user_id"""),
-    "L20_invoice_numbers": with_views("invoices", """select id, 'INV-' || year(created_at) || '-' || lpad((row_number() over (partition by year(created_at)
-      order by created_at, id))::varchar, 6, '0') as number from invoices"""),
+    "L20_invoice_numbers": with_views("invoices", """select id, 'INV-' || year(created_at) || '-' || lpad(n::varchar, greatest(6, length(n::varchar))::int, '0') as number
+      from (select id, created_at, row_number() over (partition by year(created_at) order by created_at, id) as n from invoices)"""),
     "G24_payment_link_summary": f"""select count(*) filter (where status = 'pending' and coalesce(expires_at >= timestamp '{NOW}', true)) as usable,
       count(*) filter (where status = 'paid') as paid, coalesce(sum(amount) filter (where status = 'paid'), 0)::bigint as paid_amount,
       count(*) filter (where status = 'pending' and expires_at < timestamp '{NOW}') as expired from {LINKS} l""",

@@ -81,7 +81,7 @@ def table_edits(s, d):
 
 def violations_input(s, d):
     return raw_blocks(s, d).selectExpr(
-        "doc_id", "pos", "if(pos % 17 = 0, '', if(pos % 19 = 1, concat(doc_id, '-0'), block_id)) as block_id", "if(pos % 23 = 0, 'odd', type) as type",
+        "doc_id", "pos", "if(pos % 17 = 0, '', if(pos % 19 = 1, concat('b0x', doc_id), block_id)) as block_id", "if(pos % 23 = 0, 'odd', type) as type",
         "confidence + if(pos % 29 = 0, 1, 0) as confidence", "if(pos % 31 = 0, 'guess', 'exact') as fidelity", "heading_level", "category",
         "pos % 2 = 0 as has_table", "false as has_ref", "pos % 3 = 0 as has_image")
 
@@ -231,11 +231,12 @@ ORACLE_SQL = {
       f"select user_id, count(*) as n, '{n}' as name from {t} where user_id not in (select c_custkey from customer where c_custkey % 10 = 0) group by 1"
       for n, t in (("ledger", "usage_ledger"), ("invoices", "invoices"), ("payments", "payments"), ("subscriptions", "subscriptions")))),
     "E1_apply_edits": with_views("blocks", f"""with {KEPT}, rw as (select doc_id, pos, max_by(text, edit_id) as new_text from {EDITS} e where tool = 'rewrite' group by 1, 2),
-      k as (select b.doc_id, b.pos as anchor, 0 as seq, b.block_id, coalesce(new_text, text) as text from blocks b left join rw on rw.doc_id = b.doc_id and rw.pos = b.pos
+      k as (select b.doc_id, 0 as part, b.pos as anchor, 0 as added, 0 as seq, b.block_id, coalesce(new_text, text) as text from blocks b left join rw on rw.doc_id = b.doc_id and rw.pos = b.pos
         where not exists (select 1 from gone g where g.doc_id = b.doc_id and g.pos = b.pos)),
-      f as (select e.doc_id, e.pos as anchor, edit_id + 1 as seq, 'new-' || edit_id as block_id, e.text from {EDITS} e join blocks b on b.doc_id = e.doc_id and b.pos = e.pos
-        where tool = 'insert' or (tool = 'replace_range' and end_pos >= e.pos))
-      select doc_id, row_number() over (partition by doc_id order by anchor, seq) - 1 as pos, block_id, text from (select * from k union all select * from f)"""),
+      f as (select e.doc_id, case when b.pos is null then 1 else 0 end as part, b.pos as anchor, 1 as added, case when b.pos is null then edit_id when tool = 'insert' then -edit_id else -4611686018427387904 end as seq,
+        'new-' || edit_id as block_id, e.text from {EDITS} e left join blocks b on b.doc_id = e.doc_id and b.pos = e.pos
+        where tool = 'insert' or (tool = 'replace_range' and end_pos >= e.pos and b.pos is not null))
+      select doc_id, row_number() over (partition by doc_id order by part, anchor, added, seq) - 1 as pos, block_id, text from (select * from k union all select * from f)"""),
     "E3_confirmation_required": with_views("blocks", f"""select doc_id, touched, touched > 5 as confirm from (select doc_id,
       sum(case when tool = 'delete' then 1 when tool = 'replace_range' then greatest(0, end_pos - pos + 1) else 0 end)::bigint as touched from {EDITS} e group by 1)"""),
     "E6_validate_edits": with_views("blocks", f"""select edit_id, 'unknown_tool' as fault from {EDITS} e where tool = 'odd'

@@ -16,10 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder is made and set.
+    Only in a local session (as in tests) a temporary folder is made and set where the setting is absent; on a cluster
+    that is an error, since executors don't see the driver's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         found = "file://" + tempfile.mkdtemp(prefix="spark-foliant-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -92,6 +92,13 @@ def test_invoice_numbers_have_no_gaps(spark):
         assert mine == list(range(1, len(mine) + 1))
 
 
+def test_invoice_numbers_beyond_six_digits_and_without_a_date(spark):
+    many = spark.range(1_000_003).selectExpr("id", "timestamp_ntz'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as created_at")
+    got = billing.invoice_numbers(many.unionByName(spark.createDataFrame([(-1, None)], many.schema)))
+    row = got.selectExpr("count(*) as n", "count(distinct number) as different", "max_by(number, id) as last", "count_if(number is null) as without").first()
+    assert (row.n, row.different, row.last, row.without) == (1_000_004, 1_000_003, "INV-2024-1000003", 1)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, user_id long, kind string, amount long, created_at timestamp_ntz")
     assert ledger.replay_requests(empty).count() == 0

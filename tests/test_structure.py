@@ -42,6 +42,31 @@ def test_cross_references(spark):
     assert [(r.category, r.number) for r in v] == [("figure", "2"), ("table", "10"), ("annexe", "B")]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("voir Figure 1 Figure 2 et Tableau 3", [("1", 5), ("2", 14), ("3", 26)]), ("Figure 1/Figure 2", [("1", 0), ("2", 9)]), ("Figure 1;Tableau 2", [("1", 0), ("2", 9)]),
+    ("", []), (None, []), ("xFigure 1 Figure 2", [("2", 10)]), ("Figure 12a Figure 3", [("3", 11)]), ("é Annexe B\nfigure  7", [("B", 2), ("7", 11)]),
+])
+def test_cross_reference_positions(spark, text, want):
+    v = one(spark, P.cross_references, text)
+    assert (v and [(r.number, r.position) for r in v]) == want
+    assert not v or all(text[r.position :].startswith(r.matched) for r in v)
+
+
+def test_references_resolve_to_block_ids(spark):
+    """With ids that say nothing of document or position; the text follows the new number."""
+    rows = [
+        (7, 0, "fig-a", "figure", "", "figure", None, None), (7, 1, "b-b", "caption", "Figure 3 : Vue", "figure", "3", None),
+        (7, 2, "p-1", "paragraph", "voir Figure 3 et la suite", None, None, None), (7, 3, "p-2", "paragraph", "voir Figure 9", None, None, None),
+        (8, 0, "q", "paragraph", "voir Tableau 1", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, BLOCKS)
+    numbered = N.numbering_pipeline(df, "numbered")
+    got = {(r.doc_id, r.pos): (r.target_id, r.confidence) for r in N.resolve_refs(numbered).collect()}
+    assert got == {(7, 2): ("b-b", 1.0), (7, 3): ("b-b", 0.55), (8, 0): (None, None)}
+    texts = {r.pos: r.text for r in N.numbering_pipeline(df, "texts").collect()}
+    assert texts == {2: "voir Figure 1 et la suite", 3: "voir Figure 1"}
+
+
 def blocks(spark, *kinds):
     """'F' figure, 'T' table, 'f3' caption of a figure with number 3, 'p:text' paragraph, 'h:text' heading."""
     rows = []
@@ -138,7 +163,10 @@ def test_edits(spark):
     assert [(r.pos, r.block_id, r.text) for r in same.orderBy("pos").collect()] == [(i, f"1-{i}", f"t{i}") for i in range(5)]
     edits = [(1, 1, "rewrite", 0, None, "a"), (2, 1, "rewrite", 0, None, "b"), (3, 1, "insert", 0, None, "in"), (4, 1, "delete", 1, None, None), (5, 1, "replace_range", 2, 3, "r"), (6, 1, "insert", 99, None, "lost")]
     got = E.apply_edits(df, spark.createDataFrame(edits, schema)).orderBy("pos").collect()
-    assert [r.text for r in got] == ["b", "in", "r", "t4"] and [r.pos for r in got] == [0, 1, 2, 3]
+    assert [r.text for r in got] == ["b", "in", "r", "t4", "lost"] and [r.pos for r in got] == [0, 1, 2, 3, 4]
+    twice = [(1, 1, "insert", 0, None, "first"), (2, 1, "insert", 0, None, "second"), (3, 1, "insert", 50, None, "x"), (4, 1, "insert", 60, None, "y"), (5, 9, "insert", 0, None, "z")]
+    got = E.apply_edits(df, spark.createDataFrame(twice, schema)).orderBy("pos").collect()
+    assert [r.text for r in got] == ["t0", "second", "first", "t1", "t2", "t3", "t4", "x", "y"]
 
 
 def test_table_edits(spark):
