@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.llm.quality import let
 from foliant.session import materialize
 
 PIECE = 32
@@ -73,11 +74,11 @@ def cell(n: Column, x: Column) -> Column:
 def put(cells: Column, entries: Column, sign: int = 1) -> Column:
     """The cells with each entry added ``sign`` times its own sign; each row of cells looks at one place of a key."""
 
-    def filled(row: int) -> Column:
+    def filled(row: int, bound: Column) -> Column:
         def add(c: Column, i: Column) -> Column:
             mine = i + WIDTH * row
             return F.aggregate(
-                entries,
+                bound,
                 c,
                 lambda acc, e: F.when(
                     e[f"p{row}"] == mine, cell(acc["n"] + sign * e["s"], acc["x"].bitwiseXOR(e["k"]))
@@ -86,7 +87,7 @@ def put(cells: Column, entries: Column, sign: int = 1) -> Column:
 
         return F.transform(F.slice(cells, WIDTH * row + 1, WIDTH), add)
 
-    return F.concat(*[filled(row) for row in range(ROWS)])
+    return let(entries, lambda bound: F.concat(*[filled(row, bound) for row in range(ROWS)]))
 
 
 def empty_cells() -> Column:
