@@ -267,15 +267,16 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_links(docs: DataFrame, entries: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """a, b: links between entries (entry, first, sketch) that make the components of all similar pairs the keys bring.
 
-    Every member of a bucket is compared with the bucket's smallest and largest entry; what these links leave apart in
-    a bucket is then compared in all pairs across components. A pair within a component would change nothing, so a
-    crowd of near copies costs a few comparisons a member and loses no link.
+    Every member of a bucket is compared with a pivot: the member that shares most keys with other entries, which in a
+    crowd of edited copies is the text they were made from. What is still apart then in a bucket is compared in all
+    pairs across components; a pair within a component would change nothing. So a crowd around one text costs one
+    comparison a member and no link is lost; a crowd of texts that share keys but are not similar costs all its pairs.
     """
-    index = materialize(entries.select("entry", "sketch", F.explode(lane_keys(F.col("sketch"))).alias("key")).select("key", "entry"), "near-index")
-    heads = index.groupBy("key").agg(F.min("entry").alias("low"), F.max("entry").alias("high")).where("low < high")
-    members = materialize(index.join(heads, "key"), "near-members")
-    known = entries.join(members.select("entry").distinct(), "entry", "left_semi")
-    known = materialize(known, "near-known")
+    index = materialize(entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("key")).select("key", "entry"), "near-index")
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(index.join(shared, "key"), "near-members")
+    known = members.groupBy("entry").agg(F.sum("n").alias("degree"))
+    known = materialize(entries.join(known, "entry"), "near-known")
     sets = materialize(sets_of(docs, known.select(F.col("first").alias("doc_id"), "entry"), shingle), "near-sets")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -283,20 +284,22 @@ def similar_links(docs: DataFrame, entries: DataFrame, shingle: int = 5, similar
         near = pairs.join(one, "a").join(two, "b").where(lanes_apart(F.col("of_a"), F.col("of_b")) <= MOST_LANES)
         return materialize(near.select("a", "b"), "near-pairs")
 
-    star = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("entry").alias("b")).where("a <> b")
-    star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-star")
-    found = materialize(similar(close(star), sets, similarity), "near-links")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    members = materialize(members.join(known.select("entry", "degree"), "entry").select("key", "entry", "degree"), "near-degrees")
+    first = members.groupBy("key").agg(F.max(F.struct("degree", "entry")).alias("p")).select("key", F.col("p.entry").alias("a"))
+    tried = materialize(ordered(members.join(first, "key").select("a", F.col("entry").alias("b"))), "near-star")
+    found = materialize(similar(close(tried), sets, similarity), "near-links")
     groups = materialize(components(found), "near-groups").withColumnRenamed("node", "entry")
-    rooted = members.join(groups, "entry", "left").select("key", "entry", F.coalesce("root", "entry").alias("root"))
-    rooted = materialize(rooted, "near-rooted")
-    main = rooted.groupBy("key", "root").count().groupBy("key").agg(
+    rows = materialize(members.join(groups, "entry", "left").select("key", "entry", F.coalesce("root", "entry").alias("root")), "near-rooted")
+    main = rows.groupBy("key", "root").count().groupBy("key").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")
     )
-    mixed = materialize(rooted.join(main.where("roots > 1").select("key", "main"), "key"), "near-mixed")
+    mixed = materialize(rows.join(main.where("roots > 1").select("key", "main"), "key"), "near-mixed")
     a = mixed.where("root <> main").select("key", F.col("entry").alias("a"), F.col("root").alias("root_a"))
     b = mixed.select("key", F.col("entry").alias("b"), F.col("root").alias("root_b"))
-    rest = a.join(b, "key").where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.distinct().join(star, ["a", "b"], "left_anti")
+    rest = ordered(a.join(b, "key").where("root_a <> root_b").select("a", "b")).join(tried, ["a", "b"], "left_anti")
     return found.unionByName(similar(close(rest), sets, similarity))
 
 
