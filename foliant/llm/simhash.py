@@ -264,17 +264,56 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.where(F.col("both") / (F.col("all") - F.col("both")) >= similarity).select("a", "b")
 
 
-def similar_links(docs: DataFrame, entries: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def compared_with(tried: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (pivot, entry): linked, size, both, reach, and what only the entry (extra) or the pivot (missing) has.
+
+    ``reach`` is the largest set that shares nothing with the entry but what the pivot has, and may be similar to it.
+    """
+    one = sets.select(F.col("entry").alias("pivot"), F.col("hashes").alias("of_pivot"))
+    rows = tried.join(one, "pivot").join(sets, "entry").select(
+        "pivot", "entry", F.size("hashes").alias("size"), F.size("of_pivot").alias("whole"),
+        F.array_except("hashes", "of_pivot").alias("extra"), F.array_except("of_pivot", "hashes").alias("missing"),
+    ).withColumn("both", F.col("size") - F.size("extra"))
+    union = F.col("whole") + F.size("extra")
+    return rows.select(
+        "pivot", "entry", "size", "both", "extra", "missing", (F.col("both") / union >= similarity).alias("linked"),
+        (F.col("both") * F.lit(1 + 1 / similarity) - F.col("size")).alias("reach"),
+    )
+
+
+def dealt_by_difference(compared: DataFrame) -> DataFrame:
+    """grp, entry, and the columns of ``compared``: members that may be similar though the pivot does not link them.
+
+    Let x be unlike the pivot and similar to y. If x and y share nothing that the pivot lacks, their common part lies in
+    that of x and the pivot, so y must be no larger than x's reach; and if they lack nothing together either, they are
+    no more alike than x and the pivot. So they share a shingle that the pivot lacks, or lack one together and y is
+    small enough. Only groups with such an x and another member stay.
+    """
+    bounds = compared.groupBy("pivot").agg(F.min("size").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most"))
+    rows = compared.join(bounds, "pivot")
+    about = ["pivot", "entry", "linked", "size", "both", "reach"]
+    small = (F.col("reach") >= F.col("least")) & (~F.col("linked") | (F.col("size") <= F.col("most")))
+    shared = rows.select(*about, F.lit(False).alias("lacks"), F.explode("extra").alias("shingle"))
+    shared = shared.unionByName(rows.where(small).select(*about, F.lit(True).alias("lacks"), F.explode("missing").alias("shingle")))
+    named = shared.withColumn("grp", F.xxhash64("pivot", "shingle", F.col("lacks").cast("int")))
+    heads = named.groupBy("grp").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("open")).where("n > 1 and open")
+    return named.join(heads.select("grp", "n"), "grp").drop("pivot", "shingle")
+
+
+def similar_links(
+    docs: DataFrame, entries: DataFrame, shingle: int = 5, similarity: float = 0.8, group_most: int = 32, rounds: int = 6
+) -> DataFrame:
     """a, b: links between entries (entry, first, sketch) that make the components of all similar pairs the keys bring.
 
     Every member of a bucket is compared with a pivot: the member that shares most keys with other entries, which in a
-    crowd of edited copies is the text they were made from. What is still apart then in a bucket is compared in all
-    pairs across components; a pair within a component would change nothing. So a crowd around one text costs one
-    comparison a member and no link is lost; a crowd of texts that share keys but are not similar costs all its pairs.
+    crowd of edited copies is the text they were made from. Members it links need no comparison with each other. The
+    others are dealt anew by the shingles in which they differ from the pivot; new groups of up to ``group_most`` are
+    compared in pairs, larger ones get a pivot again, and after ``rounds`` of this all that are left are compared. So
+    neither a crowd around one text nor one around a common passage costs its pairs, and no link is lost.
     """
-    index = materialize(entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("key")).select("key", "entry"), "near-index")
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(index.join(shared, "key"), "near-members")
+    index = materialize(entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry"), "near-index")
+    shared = index.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(index.join(shared, "grp"), "near-members")
     known = members.groupBy("entry").agg(F.sum("n").alias("degree"))
     known = materialize(entries.join(known, "entry"), "near-known")
     sets = materialize(sets_of(docs, known.select(F.col("first").alias("doc_id"), "entry"), shingle), "near-sets")
@@ -284,23 +323,28 @@ def similar_links(docs: DataFrame, entries: DataFrame, shingle: int = 5, similar
         near = pairs.join(one, "a").join(two, "b").where(lanes_apart(F.col("of_a"), F.col("of_b")) <= MOST_LANES)
         return materialize(near.select("a", "b"), "near-pairs")
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    members = materialize(members.join(known.select("entry", "degree"), "entry").select("key", "entry", "degree"), "near-degrees")
-    first = members.groupBy("key").agg(F.max(F.struct("degree", "entry")).alias("p")).select("key", F.col("p.entry").alias("a"))
-    tried = materialize(ordered(members.join(first, "key").select("a", F.col("entry").alias("b"))), "near-star")
-    found = materialize(similar(close(tried), sets, similarity), "near-links")
-    groups = materialize(components(found), "near-groups").withColumnRenamed("node", "entry")
-    rows = materialize(members.join(groups, "entry", "left").select("key", "entry", F.coalesce("root", "entry").alias("root")), "near-rooted")
-    main = rows.groupBy("key", "root").count().groupBy("key").agg(
-        F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")
-    )
-    mixed = materialize(rows.join(main.where("roots > 1").select("key", "main"), "key"), "near-mixed")
-    a = mixed.where("root <> main").select("key", F.col("entry").alias("a"), F.col("root").alias("root_a"))
-    b = mixed.select("key", F.col("entry").alias("b"), F.col("root").alias("root_b"))
-    rest = ordered(a.join(b, "key").where("root_a <> root_b").select("a", "b")).join(tried, ["a", "b"], "left_anti")
-    return found.unionByName(similar(close(rest), sets, similarity))
+    groups, found = members.select("grp", "entry"), []
+    for left in range(rounds - 1, -1, -1):
+        ranked = groups.join(known.select("entry", "degree"), "entry")
+        pivots = ranked.groupBy("grp").agg(F.max(F.struct("degree", "entry")).alias("p")).select("grp", F.col("p.entry").alias("pivot"))
+        tried = groups.join(pivots, "grp").where("entry <> pivot").select("pivot", "entry").distinct()
+        compared = materialize(compared_with(materialize(tried, "near-tried"), sets, similarity), "near-compared")
+        found.append(compared.where("linked").select(F.least("pivot", "entry").alias("a"), F.greatest("pivot", "entry").alias("b")))
+        dealt = materialize(dealt_by_difference(compared), "near-dealt")
+        cold = dealt.where(F.col("n") <= group_most) if left else dealt
+        a, b = (cold.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "linked", "size", "both", "lacks")]) for x in "ab")
+        once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
+        room = (F.least("both_a", "both_b") * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")) | ~F.col("lacks_a")
+        pairs = a.where("not linked_a").join(b, "grp").where((F.col("entry_a") != F.col("entry_b")) & once & room)
+        pairs = pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b")).distinct()
+        found.append(similar(close(pairs), sets, similarity))
+        groups = dealt.where(F.col("n") > group_most).select("grp", "entry")
+        if groups.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

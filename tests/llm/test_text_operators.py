@@ -367,3 +367,51 @@ def test_larger_sketches_until_peeled(spark):
     got = {r.pair: r.n_differing for r in iblt.differences(pairs).collect()}
     odd = {k: (v, got.get(k)) for k, v in want.items() if got.get(k) != v}
     assert not odd
+
+
+@pytest.mark.parametrize(("group_most", "rounds"), [(2, 3), (4, 1), (32, 6)])
+def test_crowds_lose_no_link(spark, group_most, rounds):
+    """All texts share every key, so the components must be those of all pairs at 0.8."""
+    rng = random.Random(11)
+
+    def changed(words, most):
+        words = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(most + 1)):
+            words[at] = f"own{rng.randrange(10**6)}"
+        return words
+
+    base = [f"c{k}" for k in range(150)]
+    other = base[:110] + [f"d{k}" for k in range(40)]  # as far from the base that neither links the other's copies
+    crowd = [base, other]
+    crowd += [changed(base, 6) for _ in range(25)] + [changed(other, 6) for _ in range(20)]
+    crowd += [base[: rng.randrange(60, 150)] for _ in range(15)]  # cut copies: they only lack something
+    crowd += [base[:90] + [f"e{i}x{k}" for k in range(60)] for i in range(15)]  # a passage in common, else nothing
+    texts = sorted({" ".join(words) for words in crowd})
+    sets = [simhash.shingle_set(t) for t in texts]
+    names = [simhash.set_name(h) for h in sets]
+    docs = frame(spark, [doc(i, t) for i, t in enumerate(texts)])
+    entries = spark.createDataFrame(
+        [(n, i, [0] * 8) for i, n in enumerate(names)], "entry long, first long, sketch array<long>"
+    )
+    links = simhash.similar_links(docs, entries, group_most=group_most, rounds=rounds).collect()
+
+    def roots(pairs):
+        root = {n: n for n in names}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {n: find(n) for n in names}
+
+    similar = [
+        (names[i], names[j]) for i, j in itertools.combinations(range(len(sets)), 2)
+        if len(both := set(sets[i]) & set(sets[j])) / (len(sets[i]) + len(sets[j]) - len(both)) >= 0.8
+    ]
+    assert {tuple(sorted(r)) for r in links} <= {tuple(sorted(p)) for p in similar}
+    assert roots(links) == roots(similar)
+    assert 5 < len(set(roots(similar).values())) < len(names) - 20
