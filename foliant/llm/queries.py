@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, chat, iblt, licence_rules, licences, mixing, quality, simhash, toxicity, url_filter, warc
+from foliant.llm import bpe, chat, iblt, licence_rules, licences, mixing, negatives, pieces, quality, simhash, toxicity, url_filter, warc, whitening
 from foliant.session import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.contract_rows(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
@@ -69,6 +82,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_pieces": op11_pieces,
+    "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE_SQL = {
