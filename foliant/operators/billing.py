@@ -117,8 +117,8 @@ def purchase_references(transactions: DataFrame) -> DataFrame:
     return transactions.where("type = 'purchase'").select(F.col("reference").alias("known_reference")).distinct()
 
 
-def webhook_outcome(events: DataFrame, users: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
-    """What becomes of each payment event (external_id, payment_id, status, purpose, user_id, link_id)."""
+def with_outcome(events: DataFrame, users: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Payment events (external_id, payment_id, status, purpose, user_id, link_id) with ``payer`` and ``outcome``."""
     status = F.lower("status")
     rows = (
         events.join(links.select(F.col("id").alias("link_id"), F.col("user_id").alias("link_user"), F.lit(True).alias("has_link")), "link_id", "left")
@@ -137,7 +137,12 @@ def webhook_outcome(events: DataFrame, users: DataFrame, links: DataFrame, trans
         .when(F.col("known_reference").isNotNull(), "already_processed")
         .otherwise("credited")
     )
-    return rows.select("external_id", "payment_id", outcome.alias("outcome"))
+    return rows.select(*events.columns, "payer", outcome.alias("outcome"))
+
+
+def webhook_outcome(events: DataFrame, users: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
+    """What becomes of each payment event (external_id, payment_id, status, purpose, user_id, link_id)."""
+    return with_outcome(events, users, links, transactions).select("external_id", "payment_id", "outcome")
 
 
 def reconcile_payments(payments: DataFrame, provider: DataFrame, users: DataFrame, transactions: DataFrame) -> DataFrame:

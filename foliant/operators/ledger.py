@@ -84,6 +84,16 @@ def replay_requests(requests: DataFrame) -> DataFrame:
     return ordered.sortWithinPartitions("user_id", "created_at", "id").drop("created_at").mapInPandas(run, REPLAYED)
 
 
+def balances_after(replayed: DataFrame) -> DataFrame:
+    """user_id, balance: what a replay has left each user with.
+
+    Balances change by applied requests only, so they are a sum and need no order.
+    """
+    signed = F.when(F.col("kind") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    applied = F.when(F.col("outcome") == "applied", signed).otherwise(F.lit(0))
+    return replayed.groupBy("user_id").agg(F.sum(applied).alias("balance"))
+
+
 def idempotent_credits(requests: DataFrame) -> DataFrame:
     """L3: credits by outcome: only the first with a reference counts; a blank reference or amount is refused."""
     valid = (F.coalesce("reference", F.lit("")) != "") & (F.col("amount") > 0)

@@ -60,8 +60,12 @@ TX = "(select distinct payment_id::varchar as known from payments where external
 
 
 def hooks(s, d):
-    rows = fx.payments(s, d)
+    return hooks_of(fx.payments(s, d))
+
+
+def hooks_of(rows, *more):
     return rows.select(
+        *more,
         "external_id", "payment_id", "status", "purpose", F.get_json_object("metadata", "$.user_id").cast("long").alias("user_id"),
         F.get_json_object("metadata", "$.payment_link_id").cast("long").alias("link_id"),
     )

@@ -5,14 +5,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from foliant.operators import monitoring, scoring
+from foliant.operators import ledger, monitoring, scoring
 from foliant.plans import billing_plans as BP
 from foliant.plans import structure_plans as SP
 from foliant.session import read_table
 from foliant.sources import documents as S
 from foliant.sources import fixtures as fx
 from foliant.sources.fixtures import with_views
+from foliant.streaming import credits as C
+from foliant.streaming import ordered as O
 from foliant.streaming import streams as R
+from foliant.streaming import windows as W
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
@@ -44,30 +47,90 @@ def stale(s, d):
 
 
 def rates(s, d):
-    e = stream_of(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    rows = R.latest(R.run_to_table(R.rate_counts(e, "user_id", "1 hour"), "update"), ["start", "user_id"])
-    return R.rate_limit_violations(rows, 2).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "calls")
+    """Calls of a user in an hour, over two of them."""
+    e = stream_of(s, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.lit("any").alias("kind"), F.col("user_id").alias("who"))
+    rule = s.createDataFrame([("any", 2, 3600)], "kind string, allowed bigint, seconds bigint")
+    found = W.rate_limit_violations(W.grow_windows(e, W.rate_counts(rule), W.RATE_KEYS).counts)
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("who").alias("user_id"), "calls")
+
+
+def requests_of(e):
+    """Requests of all kinds; a day's are moved together into its first minute, so that limits are passed."""
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    user = lambda n: F.concat(F.lit("user-"), F.col("user_id") % n)
+    address = F.concat(F.lit("10.0.0."), F.col("user_id") % 3)
+    mail = F.concat(user(5), F.lit("@example.org|"), address)
+    kind = fx.pick([k for k, _, _ in W.LIMITS], F.col("event_id") % 6)
+    who = F.when(kind.isin("login", "register", "reset"), mail).when(kind == "feedback", address).otherwise(user(2))
+    at = (second - second % 86400 + F.expr("cast(unix_seconds(cast(ts as timestamp)) % 86400 div 1440 as bigint)")).cast("timestamp")
+    return e.select("event_id", at.alias("created_at"), kind.alias("kind"), who.alias("who"))
+
+
+def rate_limits(s, d):
+    """Windows over the limit of their kind, and under the kind ``refused`` the number of late rows."""
+    run = W.grow_windows(requests_of(stream_of(s, d, "events")), W.rate_counts(W.limits(s)), W.RATE_KEYS, delay_seconds=100 * 86400)
+    found = W.rate_limit_violations(run.counts).select("kind", "who", F.col("start").cast("timestamp_ntz").alias("start"), "calls", "allowed")
+    refused = run.refused.agg(F.count("*").alias("calls")).select(
+        F.lit("refused").alias("kind"), F.lit(None).cast("string").alias("who"), F.lit(None).cast("timestamp_ntz").alias("start"), "calls", F.lit(0).cast("bigint").alias("allowed")
+    )
+    return found.unionByName(refused)
 
 
 def live_daily(s, d):
     e = stream_of(s, d, "events")
-    ledger = e.select(F.col("ts").cast("timestamp").alias("created_at"), F.floor("value").cast("long").alias("cost_credits"), (F.col("event_type") != "error").alias("succeeded"))
-    return R.latest(R.run_to_table(R.live_usage_daily(ledger), "update"), ["day"])
+    rows = e.select(F.col("ts").cast("timestamp").alias("created_at"), F.floor("value").cast("long").alias("cost_credits"), (F.col("event_type") != "error").alias("succeeded"))
+    return W.grow_windows(rows, W.usage_of_days, ["day"]).counts
 
 
-def quota_events(s, d):
-    e = stream_of(s, d, "events")
-    from foliant.operators.ledger import quotas
+def credit_hooks(o):
+    """Payment events of orders, of which eight may share a payment."""
+    rows = BP.hooks_of(fx.payments_of(o), "amount", F.col("created_at").cast("timestamp").alias("created_at"))
+    return rows.withColumn("payment_id", F.col("external_id") - F.col("external_id") % 8)
+
+
+def credits(s, d):
+    """By payment: rows of the ledger, repeated credits, other outcomes."""
+    users, links = fx.users(s, d).where("id % 5 <> 0"), BP.links(s, d).where("id % 6 <> 0")
+    return credit_report(C.credit_stream(credit_hooks(stream_of(s, d, "orders")), users, links, BP.transactions(s, d)))
+
 
+def credit_report(run):
+    written = run.ledger.groupBy(F.col("reference").cast("bigint").alias("payment_id")).agg(F.count("*").alias("credited"))
+    again = F.col("outcome") == "already_processed"
+    events = run.outcomes.groupBy("payment_id").agg(F.count(F.when(again, 1)).alias("repeated"), F.count(F.when(~again & (F.col("outcome") != "credited"), 1)).alias("other"))
+    return events.join(written, "payment_id", "left").select("payment_id", F.coalesce("credited", F.lit(0)).alias("credited"), "repeated", "other")
+
+
+def quota_events(s, d, e=None):
+    e = stream_of(s, d, "events") if e is None else e
     uses = e.select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("created_at"), F.when(F.col("event_id") % 2 == 0, "deterministic").otherwise("ai").alias("kind"),
         F.when(F.col("event_id") % 10 == 3, "refund").otherwise("use").alias("event"), F.date_format("ts", "yyyy-MM").alias("month"),
     )
-    return uses.join(quotas(BP.user_plans(s, d)), ["user_id", "kind"])
+    return uses.join(ledger.quotas(BP.user_plans(s, d)), ["user_id", "kind"])
+
 
+def quotas_in_order(s, d):
+    clock = O.Clock(s)
+    return R.run_to_table(O.quota_stream(quota_events(s, d), "4000 days", clock), clock=clock).drop("batch")
 
-def balance_requests(s, d):
-    e = stream_of(s, d, "events").where("event_type <> 'error'")
+
+def balances_in_order(s, d):
+    clock = O.Clock(s)
+    return R.run_to_table(O.balance_stream(balance_requests(s, d), "4000 days", clock), clock=clock).drop("batch")
+
+
+def balances_handed_over(s, d):
+    """Requests before a day by the batch replay, the others by a stream that starts from the balances it left."""
+    day = F.col("created_at") < F.lit("2024-01-16").cast("timestamp")
+    first = ledger.replay_requests(balance_requests(s, d, read_table(s, d, "events")).where(day))
+    clock = O.Clock(s)
+    rest = O.balance_stream(balance_requests(s, d).where(~day), "4000 days", clock, ledger.balances_after(first))
+    return first.unionByName(R.run_to_table(rest, clock=clock).drop("batch").select(first.columns))
+
+
+def balance_requests(s, d, e=None):
+    e = (stream_of(s, d, "events") if e is None else e).where("event_type <> 'error'")
     credit = F.col("event_type").isin("purchase", "signup")
     return e.select(
         F.col("event_id").alias("id"), "user_id", F.when(credit, "credit").otherwise("debit").alias("kind"), F.floor("value").cast("long").alias("amount"),
@@ -111,11 +174,14 @@ QUERIES = {
     "U2_rule_table": lambda s, d: SP.D.rule_detect(SP.detailed(s, d), SP.D.RULES[:4]),
     "U3_score_in_batches": lambda s, d: scoring.score_in_batches(SP.assessed(s, d), by_length),
     "R1_webhook_stream": webhooks,
+    "R1_credit_stream": credits,
     "R2_stale_events": stale,
     "R3_rate_limit_violations": rates,
+    "R3_rate_limits": rate_limits,
     "R4_live_usage_daily": live_daily,
-    "R5_quota_stream": lambda s, d: R.run_to_table(R.quota_stream(quota_events(s, d))).drop("batch"),
-    "R6_balance_stream": lambda s, d: R.run_to_table(R.balance_stream(balance_requests(s, d))).drop("batch"),
+    "R5_quota_stream": quotas_in_order,
+    "R6_balance_stream": balances_in_order,
+    "R6_balance_handover": balances_handed_over,
 }
 
 ORACLE_SQL = {
@@ -135,4 +201,27 @@ ORACLE_SQL = {
     "R2_stale_events": """with e as (select event_id as id, floor(epoch(ts))::bigint as seconds from events) select id, seconds from e where abs(1705000000 - seconds) > 36000""",
     "R3_rate_limit_violations": """select date_trunc('hour', ts) as start, user_id, count(*) as calls from events group by 1, 2 having count(*) > 2""",
     "R4_live_usage_daily": """select ts::date as day, sum(floor(value)::bigint)::bigint as credits, count(*) as calls, count(*) filter (where event_type = 'error') as failures from events group by 1""",
+    "R1_credit_stream": with_views("payments users", f"""with r as (select h.*, h.external_id - h.external_id % 8 as payment, l.id is not null as has_link, coalesce(h.user_id, l.user_id) as payer
+      from {BP.HOOKS} h left join {BP.LINKS} l on l.id = h.link_id and l.id % 6 <> 0), p as (select r.*, u.id is not null as has_user, t.known from r
+      left join users u on u.id = payer and u.id % 5 <> 0 left join {BP.TX} t on t.known = r.payment::varchar),
+      o as (select payment, lower(status) = 'completed' and (has_user or purpose = 'link' and link_id is not null) and purpose = 'credits' as pays, known is not null as before from p),
+      g as (select payment as payment_id, count(*) filter (where pays and not before) as fresh, count(*) filter (where pays and before) as old, count(*) filter (where not pays) as other from o group by 1)
+      select payment_id, least(fresh, 1) as credited, old + greatest(fresh - 1, 0) as repeated, other from g"""),
+    "R3_rate_limits": """with l(i, kind, allowed, seconds) as (values (0, 'chat', 20, 60), (1, 'login', 5, 60), (2, 'register', 3, 60), (3, 'purchase', 5, 60), (4, 'reset', 3, 60), (5, 'feedback', 3, 3600)),
+      q as (select event_id % 6 as i, user_id, floor(epoch(ts))::bigint as s from events),
+      r as (select l.*, s - s % 86400 + (s % 86400) // 1440 as sec, case when kind in ('login', 'register', 'reset') then 'user-' || user_id % 5 || '@example.org|10.0.0.' || user_id % 3
+        when kind = 'feedback' then '10.0.0.' || user_id % 3 else 'user-' || user_id % 2 end as who from q join l using (i))
+      select kind, who, make_timestamp((sec - sec % seconds) * 1000000) as start, count(*) as calls, allowed::bigint as allowed from r group by 1, 2, 3, 5 having count(*) > allowed
+      union all select 'refused', null, null, 0, 0""",
+    "R6_balance_handover": """with recursive q as (select event_id as id, user_id, case when event_type in ('purchase', 'signup') then 'credit' else 'debit' end as kind, floor(value)::bigint as amount,
+        row_number() over (partition by user_id order by ts, event_id) as n from events where event_type <> 'error'),
+      f as (select *, case when amount <= 0 then 'invalid_amount' when kind = 'debit' and amount > 0 then 'insufficient_balance' else 'applied' end as outcome,
+        case when amount > 0 and kind = 'credit' then amount else 0 end as balance_after from q where n = 1
+        union all select q.*, case when q.amount <= 0 then 'invalid_amount' when q.kind = 'debit' and q.amount > f.balance_after then 'insufficient_balance' else 'applied' end,
+        case when q.amount <= 0 or q.kind = 'debit' and q.amount > f.balance_after then f.balance_after when q.kind = 'credit' then f.balance_after + q.amount else f.balance_after - q.amount end
+        from f join q on q.user_id = f.user_id and q.n = f.n + 1)
+      select id, user_id, kind, amount, outcome, balance_after from f""",
 }
+
+# The replays of balances, in batch and as streams, have one result.
+ORACLE_SQL["R6_balance_stream"] = ORACLE_SQL["R6_balance_handover"]

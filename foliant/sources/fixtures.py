@@ -129,7 +129,11 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return payments_of(read_table(spark, sf_dir, "orders"))
+
+
+def payments_of(o: DataFrame) -> DataFrame:
+    """Payments of orders, which may be a stream."""
     status = F.create_map(*[F.lit(x) for kv in PAYMENT_STATUS.items() for x in kv])
     key = F.col("o_orderkey")
     return o.select(

@@ -1,21 +1,18 @@
-"""Streams: payment events, rate limits, live usage, quotas and balances.
+"""Streams: reading and running them, payment events and stale events.
 
 Each operator takes a streaming DataFrame and returns one; ``run_to_table`` runs a stream over what there is and returns
-what came out, so that a stream can be compared with its batch form.
+what came out, so that a stream can be compared with its batch form. Quotas and balances are in ``ordered``, rate limits
+and live usage in ``windows``, credits in ``credits``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.operators.ledger import fold_quota, replay_user
 from foliant.session import shared_path
+from foliant.streaming.ordered import Clock
 
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -30,20 +27,24 @@ def read_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream until its input is used up; rows with the number of their batch (column batch)."""
+def run_to_table(stream: DataFrame, mode: str = "append", clock: Clock | None = None) -> DataFrame:
+    """Runs a stream until its input is used up; rows with the number of their batch (column batch).
+
+    With the clock that the stream was made with, what still waits for the watermark comes out as well.
+    """
     spark = stream.sparkSession
     out = shared_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/rows/{number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/{number}")
 
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     spark.createDataFrame([], schema).write.parquet(f"{out}/rows/none")  # a stream without input has a result, too
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep)
+    writer.start().awaitTermination()
+    if clock is not None:
+        clock.strike()
+        writer.start().awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
@@ -67,58 +68,3 @@ def stale_split(events: DataFrame, now_epoch: int, ttl: int = 600) -> tuple[Data
     rows = events.withColumn("seconds", seconds)
     fresh = F.abs(F.lit(now_epoch) - F.col("seconds")) <= ttl
     return rows.where(fresh), rows.where(~fresh)
-
-
-def rate_counts(events: DataFrame, key: str, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Calls of a key in each tumbling window."""
-    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", window), key).agg(F.count("*").alias("calls"))
-    return counted.select(F.col("window.start").alias("start"), key, "calls")
-
-
-# Calls allowed of each kind, and the window.
-LIMITS = (("chat", 20, "1 minute"), ("login", 5, "1 minute"), ("register", 3, "1 minute"), ("purchase", 5, "1 minute"), ("reset", 3, "1 minute"), ("feedback", 3, "1 hour"))
-
-
-def rate_limit_violations(counts: DataFrame, limit: int) -> DataFrame:
-    return counts.where(F.col("calls") > limit)
-
-
-def live_usage_daily(ledger: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Credits, calls and failures by day, as the ledger grows (update mode)."""
-    return (
-        ledger.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day"))
-        .agg(F.sum("cost_credits").alias("credits"), F.count("*").alias("calls"), F.count(F.when(~F.col("succeeded"), 1)).alias("failures"))
-        .select(F.to_date("window.start").alias("day"), "credits", "calls", "failures")
-    )
-
-
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["created_at", "id"], kind="stable")
-
-
-def quota_stream(events: DataFrame) -> DataFrame:
-    """Uses and refunds (id, user_id, kind, event, created_at, month, quota) against a monthly counter in state."""
-
-    def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        month, used = state.get if state.exists else (None, 0)
-        out = fold_quota(in_order(rows), month, used)
-        state.update((out["month"].iloc[-1], int(out["used"].iloc[-1])))
-        yield out[["id", "user_id", "kind", "event", "month", "outcome", "used"]]
-
-    return events.groupBy("user_id", "kind").applyInPandasWithState(
-        fold, "id long, user_id long, kind string, event string, month string, outcome string, used long", "month string, used long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def balance_stream(requests: DataFrame) -> DataFrame:
-    """Credits and debits (id, user_id, kind, amount, created_at) against a balance in state."""
-
-    def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = replay_user(in_order(rows), state.get[0] if state.exists else 0)
-        state.update((int(out["balance_after"].iloc[-1]),))
-        yield out[["id", "user_id", "kind", "amount", "outcome", "balance_after"]]
-
-    return requests.groupBy("user_id").applyInPandasWithState(
-        fold, "id long, user_id long, kind string, amount long, outcome string, balance_after long", "balance long", "append", GroupStateTimeout.NoTimeout
-    )
