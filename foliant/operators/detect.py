@@ -373,14 +373,14 @@ def rule_detect(typed: DataFrame, rules=RULES) -> DataFrame:
 
 LEGEND = r"(?i)^(figure|tableau|image|schéma|graphique|carte|photo)\s*(?:(\d+(?:\.\d+)*)|\{\s*SEQ\s+(figure|tableau|image|schéma|graphique|carte|photo)[^}]*\})\s*:\s*(.+)$"
 LEGEND_ZONE = r"(?i)^LISTE\s+DES\s+(?:figure|tableau|image|schéma|graphique|carte|photo)s?$"
-ZONE_END = r"(?i)^(?:SOMMAIRE|INTRODUCTION|LISTE\s+DES|RESUME|ABSTRACT|DEDICACE|REMERCIEMENTS|SIGLE|CHAPITRE)"
+ZONE_END = r"(?i)^(?:SOMMAIRE|INTRODUCTION|LISTE\s+DES|RESUME|ABSTRACT|DEDICACE|REMERCIEMENTS|SIGLE|CHAPITRE|SECTION\s*\d|PARTIE\s*\d)"
 
 
 def legends(blocks: DataFrame) -> DataFrame:
     """T5: captions of the form ``Type n : label``, outside the lists at the front, the first of equal ones.
 
     A list zone goes from its title to the next section title or a gap of over two blank lines; {SEQ Type} fields are
-    counted per type.
+    counted by the type that they name, whatever word stands before them.
     """
     t = P.trimmed(F.col("text"))
     rows = blocks.select("doc_id", "pos", t.alias("t"))
@@ -393,8 +393,11 @@ def legends(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("in_zone", in_zone).where(~F.col("in_zone") & F.col("t").rlike(LEGEND))
     kind = F.initcap(F.regexp_extract("t", LEGEND, 1))
     label = F.regexp_replace(F.regexp_replace(P.trimmed(F.regexp_extract("t", LEGEND, 4)), r"\t+\s*\d+\s*$", ""), r"[.…]{3,}\s*\d+\s*$", "")
-    rows = rows.select("doc_id", "pos", kind.alias("type"), F.regexp_extract("t", LEGEND, 2).alias("written"), P.trimmed(label).alias("label"))
-    seq = Window.partitionBy("doc_id", "type").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counter = F.initcap(F.regexp_extract("t", LEGEND, 3))
+    rows = rows.select(
+        "doc_id", "pos", kind.alias("type"), F.regexp_extract("t", LEGEND, 2).alias("written"), counter.alias("counter"), P.trimmed(label).alias("label")
+    )
+    seq = Window.partitionBy("doc_id", "counter").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     counted = F.sum((F.col("written") == "").cast("int")).over(seq).cast("string")
     rows = rows.where("label <> ''").withColumn("number", F.when(F.col("written") != "", F.col("written")).otherwise(counted))
     key = F.regexp_replace(P.folded(F.concat_ws("|", "type", "number", "label")), r"['’`\s]+", "")

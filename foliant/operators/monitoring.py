@@ -116,6 +116,26 @@ def detection_eval(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def detection_curve(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Precision and recall by confidence: of predictions (doc_id, pos, confidence) at or above each one there is.
+
+    Numbers are added up by confidence, then within thousandths of it, and thousandths are added up among themselves: at
+    most 1,001 of them for confidences from 0 to 1, so no order goes over all rows. Percents have one decimal.
+    """
+    right = predicted.join(truth.select("doc_id", "pos").distinct().withColumn("true", F.lit(True)), ["doc_id", "pos"], "left")
+    by = right.groupBy("confidence").agg(F.count("*").alias("n"), F.count("true").alias("r")).withColumn("part", F.floor(F.col("confidence") * 1000))
+    parts = by.groupBy("part").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    higher = F.sort_array(F.collect_list(F.struct("part", "n", "r")), asc=False)
+    add = lambda at, name: F.aggregate(F.slice("every", 1, at), F.lit(0).cast("long"), lambda total, x: total + x[name])
+    above = parts.agg(higher.alias("every")).select("every", F.posexplode("every")).select(F.col("col.part").alias("part"), add(F.col("pos"), "n").alias("n_above"), add(F.col("pos"), "r").alias("r_above"))
+    within = Window.partitionBy("part").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.join(above, "part").select(
+        "confidence", (F.col("n_above") + F.sum("n").over(within)).alias("found"), (F.col("r_above") + F.sum("r").over(within)).alias("right")
+    )
+    total = truth.select("doc_id", "pos").distinct().count()
+    return run.select("confidence", "found", "right", percent(F.col("right"), F.col("found")).alias("precision"), percent(F.col("right"), F.lit(total)).alias("recall"))
+
+
 def document_report(blocks: DataFrame, changes: DataFrame, references: DataFrame, covers: DataFrame) -> DataFrame:
     """Twelve counters per document."""
     kind = lambda *k: count_where(F.col("type").isin(*k))

@@ -276,16 +276,37 @@ def figure_plan(blocks: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of the pieces by which texts are looked up.
+GRAM = 8
+
+
 def page_lookup(blocks: DataFrame, positions: DataFrame) -> DataFrame:
     """Page of each block with text: of the first position (doc_id, ord, page, text) with the same normalised text,
-    else of the first that contains it. Positions and blocks of a document are paired only for the misses."""
+    else of the first that contains it.
+
+    A text that no position equals is looked for only in positions that hold its rarest piece: texts are cut into pieces
+    of eight characters (one of all its characters, if it is shorter), and positions are indexed by the pieces at each of
+    their places. So a miss costs as many comparisons as there are positions with that piece, not all of its document.
+    """
     norm = lambda c: F.lower(P.trimmed(F.regexp_replace(c, r"\s+", " ")))
     rows = blocks.select("doc_id", "pos", norm(F.col("text")).alias("key")).where("key <> ''")
     spots = positions.select("doc_id", "ord", "page", norm(F.col("text")).alias("key")).where("key <> ''")
     same = spots.groupBy("doc_id", "key").agg(F.min_by("page", "ord").alias("same_page"))
-    exact = rows.join(same, ["doc_id", "key"], "left")
-    misses = exact.where("same_page is null").select("doc_id", "pos", "key")
+    exact = materialize(rows.join(same, ["doc_id", "key"], "left"), "pages-exact")
+    misses = exact.where("same_page is null").select("doc_id", "key").distinct().withColumn("size", F.least(F.length("key"), F.lit(GRAM)))
+    ends = F.sequence(F.lit(1), F.length("key") - F.col("size") + 1, F.col("size"))
+    cut = misses.select("doc_id", "key", "size", F.explode(F.transform(ends, lambda at: F.col("key").substr(at, F.col("size")))).alias("gram"))
+    sizes = misses.select("doc_id", "size").distinct()
+    places = F.when(F.length("key") >= F.col("size"), F.sequence(F.lit(1), F.length("key") - F.col("size") + 1))
+    index = spots.join(sizes, "doc_id").select(
+        "doc_id", "ord", "size", F.explode(F.array_distinct(F.transform(places, lambda at: F.col("key").substr(at, F.col("size"))))).alias("gram")
+    )
+    index = materialize(index.join(cut.select("doc_id", "size", "gram").distinct(), ["doc_id", "size", "gram"], "left_semi"), "pages-index")
+    known = index.groupBy("doc_id", "size", "gram").agg(F.count("*").alias("n"))
+    rarest = cut.join(known, ["doc_id", "size", "gram"], "left").groupBy("doc_id", "key", "size").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    )
     holders = spots.select("doc_id", "ord", "page", F.col("key").alias("holder"))
-    inside = misses.join(holders, "doc_id").where(F.col("holder").contains(F.col("key"))).groupBy("doc_id", "pos").agg(F.min_by("page", "ord").alias("inside_page"))
-    return exact.join(inside, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("same_page", "inside_page").alias("page"))
-
+    tried = rarest.join(index, ["doc_id", "size", "gram"]).select("doc_id", "key", "ord").join(holders, ["doc_id", "ord"])
+    inside = tried.where(F.col("holder").contains(F.col("key"))).groupBy("doc_id", "key").agg(F.min_by("page", "ord").alias("inside_page"))
+    return exact.join(inside, ["doc_id", "key"], "left").select("doc_id", "pos", F.coalesce("same_page", "inside_page").alias("page"))

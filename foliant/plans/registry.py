@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import billing_plans, operations_plans, stream_plans, structure_plans, usage_plans
+from foliant.plans import billing_plans, operations_plans, record_plans, stream_plans, structure_plans, usage_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (usage_plans, billing_plans, structure_plans, operations_plans, stream_plans)
+MODULES = (usage_plans, billing_plans, structure_plans, operations_plans, record_plans, stream_plans)
 
 
 def queries() -> dict[str, Query]:

@@ -281,6 +281,11 @@ ORACLE_SQL = {
       p as (select doc_id, len(parts) as n, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as text from l)
       select doc_id, pos, case when starts_with(text, '#') and pos = 0 then 'header' when starts_with(text, '#') and pos = n - 1 then 'footer' else 'body' end as parent, text from p""",
     "T2_regex_titles": with_views("blocks", f"select * from {TITLES} t"),
+    "J10_page_lookup": with_views("blocks", """with k as (select doc_id, pos, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as key from blocks where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+      h as (select doc_id, pos as ord, 1 + pos // 10 as page, lower(trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g'))) as holder from blocks where pos % 3 <> 1 and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+      s as (select doc_id, holder, min_by(page, ord) as page from h group by 1, 2), m as (select k.* from k where not exists (select 1 from s where s.doc_id = k.doc_id and s.holder = k.key)),
+      i as (select m.doc_id, m.pos, min_by(h.page, h.ord) as page from m join h on h.doc_id = m.doc_id and contains(h.holder, m.key) group by 1, 2)
+      select k.doc_id, k.pos, coalesce(s.page, i.page)::int as page from k left join s on s.doc_id = k.doc_id and s.holder = k.key left join i on i.doc_id = k.doc_id and i.pos = k.pos"""),
     "T3_numbering_ambiguities": with_views("blocks", f"""select * from (select doc_id, pos, title, 1 + pos % 2 as level, (case when regexp_matches(title, '^[IVXLC]+\\.\\s+') then 1
       when regexp_matches(title, '^\\d+(?:\\.\\d+)+\\s+') then length(regexp_extract(title, '^(\\d+(?:\\.\\d+)+)\\s+', 1)) - length(replace(regexp_extract(title, '^(\\d+(?:\\.\\d+)+)\\s+', 1), '.', '')) + 1 end)::int as suggested
       from {TITLES} t) where suggested is not null and suggested <> level"""),
