@@ -168,17 +168,68 @@ def fold_quota(rows: pd.DataFrame, month: str | None = None, used: int = 0) -> p
 QUOTED = "id long, user_id long, kind string, event string, month string, outcome string, used long"
 
 
-def quota_with_refunds(events: DataFrame, user_plans: DataFrame) -> DataFrame:
-    """Uses and refunds (column ``event``) in order: refunds make room, so no row number can say it."""
+#: More than any counter reaches: the upper bound where there is no quota.
+UNBOUNDED = 1 << 60
+STEPS = "user_id long, kind string, month string, chunk long, add long, low long, high long"
+
+
+def step_of(rows: pd.DataFrame, step: tuple[int, int, int] = (0, 0, UNBOUNDED)) -> tuple[int, int, int]:
+    """What uses and refunds in order make of a counter x: min(max(x + add, low), high), as (add, low, high).
+
+    A use is min(x + 1, quota) and a refund max(x - 1, 0); put after such a step, each gives such a step again.
+    """
+    add, low, high = step
+    for event, quota in zip(rows["event"], rows["quota"]):
+        if event == "refund":
+            add, low, high = add - 1, max(low - 1, 0), max(high - 1, 0)
+        else:
+            most = UNBOUNDED if pd.isna(quota) else int(quota)
+            add, low, high = add + 1, min(low + 1, most), min(high + 1, most)
+    return add, low, high
+
+
+def quota_with_refunds(events: DataFrame, user_plans: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """Uses and refunds (column ``event``) in order: refunds make room, so no row number can say it.
+
+    A user's month is cut into chunks of time. Each chunk, read as an ordered stream, comes down to three numbers
+    (``step_of``); following the counter over a month's chunks (at most 745 of an hour) says where each begins, and then
+    each is folded from there. So a user with a large part of all rows is spread over tasks. Quotas don't fall below 0.
+    """
+    at = F.col("created_at").cast("timestamp")
+    chunk = F.coalesce(F.floor(F.unix_seconds(at) / chunk_seconds), F.lit(-(1 << 40)))
+    rows = events.select("id", "user_id", "kind", "event", "created_at", F.date_format("created_at", "yyyy-MM").alias("month"), chunk.alias("chunk"))
+    rows = rows.join(quotas(user_plans), ["user_id", "kind"]).withColumn("of_month", F.coalesce("month", F.lit("")))
+    keys = ["user_id", "kind", "of_month", "chunk"]
+
+    def in_chunks(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, "created_at", "id")
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, step = None, None
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False):
+                if key != last and last is not None:
+                    yield pd.DataFrame([(*last, *step)], columns=[*keys, "add", "low", "high"])
+                step = step_of(part, step) if key == last else step_of(part)
+                last = key
+        if last is not None:
+            yield pd.DataFrame([(*last, *step)], columns=[*keys, "add", "low", "high"])
+
+    made = in_chunks(rows).select(*keys, "event", "quota").mapInPandas(steps, STEPS.replace("month", "of_month"))
+    after = lambda x, s: F.least(F.greatest(x + s["add"], s["low"]), s["high"])
+    none = F.struct(F.lit(0).cast("long").alias("x"), F.array().cast("array<struct<chunk:bigint,start:bigint>>").alias("starts"))
+    passed = lambda so_far, s: F.struct(
+        after(so_far["x"], s).alias("x"), F.concat(so_far["starts"], F.array(F.struct(s["chunk"].alias("chunk"), so_far["x"].alias("start")))).alias("starts")
+    )
+    ordered = made.groupBy("user_id", "kind", "of_month").agg(F.sort_array(F.collect_list(F.struct("chunk", "add", "low", "high"))).alias("steps"))
+    starts = ordered.select("user_id", "kind", "of_month", F.explode(F.aggregate("steps", none, passed, lambda x: x["starts"])).alias("s")).select("user_id", "kind", "of_month", "s.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, month, used = None, None, 0
+        last, used = None, 0
         for batch in batches:
-            for key, rows in batch.groupby(["user_id", "kind"], sort=False):
-                out = fold_quota(rows, *((month, used) if key == last else (None, 0)))
-                last, month, used = key, out["month"].iloc[-1], int(out["used"].iloc[-1])
-                yield out[["id", "user_id", "kind", "event", "month", "outcome", "used"]]
-
-    rows = events.withColumn("month", F.date_format("created_at", "yyyy-MM")).join(quotas(user_plans), ["user_id", "kind"])
-    ordered = rows.select("id", "user_id", "kind", "event", "month", "quota", "created_at").repartition("user_id", "kind")
-    return ordered.sortWithinPartitions("user_id", "kind", "created_at", "id").drop("created_at").mapInPandas(run, QUOTED)
+            for key, part in batch.groupby(keys, sort=False):
+                out = fold_quota(part.assign(month=part["of_month"]), key[2], used if key == last else int(part["start"].iloc[0]))
+                last, used = key, int(out["used"].iloc[-1])
+                yield out.assign(month=part["month"])[["id", "user_id", "kind", "event", "month", "outcome", "used"]]
+
+    return in_chunks(rows.join(starts, keys)).drop("created_at").mapInPandas(run, QUOTED)

@@ -225,6 +225,29 @@ def multi_turn_cost(ledger: DataFrame) -> DataFrame:
     )
 
 
+def turn_costs(ledger: DataFrame) -> DataFrame:
+    """G16 by rows: each call of a session with its turn and what the session has cost up to it.
+
+    Days of a session are added up first and its rows are ordered within a day, so that a session of any length is
+    spread over tasks. A call without a time belongs to a day before all.
+    """
+    day = F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date"))
+    rows = ledger.select("session_id", "id", "created_at", "cost_micro", day.alias("day"))
+    days = rows.groupBy("session_id", "day").agg(F.count("*").alias("n"), total("cost_micro").alias("micro"))
+    earlier = Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("session_id", "day", F.coalesce(F.sum("n").over(earlier), zero()).alias("n_before"), F.coalesce(F.sum("micro").over(earlier), zero()).alias("micro_before"))
+    in_day = Window.partitionBy("session_id", "day").orderBy("created_at", "id")
+    so_far = F.sum(F.coalesce("cost_micro", zero())).over(in_day.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(before, ["session_id", "day"]).select(
+        "session_id", "id", (F.col("n_before") + F.row_number().over(in_day)).alias("turn"), "cost_micro", (F.col("micro_before") + so_far).alias("micro_so_far")
+    )
+
+
+def session_totals(ledger: DataFrame) -> DataFrame:
+    """Turns and dollars of each session."""
+    return ledger.groupBy("session_id").agg(F.count("*").alias("turns"), (total("cost_micro") / 1_000_000).alias("usd"))
+
+
 def session_cost(messages: DataFrame) -> DataFrame:
     """Credits of a session's messages and one for each attachment, and the model last used."""
     return messages.groupBy("session_id").agg(

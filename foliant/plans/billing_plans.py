@@ -143,6 +143,18 @@ QUERIES = {
 }
 
 STATUS_ROWS = fx.values_sql(billing.PROVIDER_STATUS, "provider, raw_key, common")
+#: Uses and refunds one after the other; streams that take them in order have the same result.
+QUOTAS_SQL = with_views("users subscriptions plans", f"""with q as (select e.event_id as id, e.user_id, z.kind, case when event_id % 10 = 3 then 'refund' else 'use' end as event,
+      strftime(ts, '%Y-%m') as month, quota, row_number() over (partition by e.user_id, z.kind order by ts, event_id) as n from events e
+      join {QUOTAS} z on z.user_id = e.user_id and z.kind = case when event_id % 2 = 0 then 'deterministic' else 'ai' end),
+    f as (select *, case when event = 'refund' then 'refunded' when quota <= 0 then 'quota_exhausted' else 'accepted' end as outcome,
+      (case when event = 'refund' or quota <= 0 then 0 else 1 end)::bigint as used from q where n = 1
+      union all select q.*, case when q.event = 'refund' then 'refunded' when case when q.month = f.month then f.used else 0 end >= q.quota then 'quota_exhausted' else 'accepted' end,
+      case when q.event = 'refund' then greatest(0, case when q.month = f.month then f.used else 0 end - 1)
+        when case when q.month = f.month then f.used else 0 end >= q.quota then case when q.month = f.month then f.used else 0 end
+        else case when q.month = f.month then f.used else 0 end + 1 end from f join q on q.user_id = f.user_id and q.kind = f.kind and q.n = f.n + 1)
+    select id, user_id, kind, event, month, outcome, used from f""")
+QUOTAS_SQL = QUOTAS_SQL.replace("with ", "with recursive ", 1)
 ORACLE_SQL = {
     "P2_search_users": with_views("users", "select * from users where (name ilike '%00012%' or id::varchar = '00012') and credits_balance > 0 order by credits_balance desc, id"),
     "P3_documents_by_bucket": with_views("documents_ops", """select id, filename, status from documents_ops
@@ -170,6 +182,15 @@ ORACLE_SQL = {
       rows unbounded preceding))::bigint as balance from credit_requests"""),
     "L1_balance_audit": with_views("credit_requests", """select user_id, count(*) as rows, count(*) filter (where id % 41 = 0) as wrong,
       min(id) filter (where id % 41 = 0) as first_wrong from credit_requests group by 1"""),
+    "L2_replay_requests": """with recursive q as (select event_id as id, user_id, case when event_type in ('purchase', 'signup') then 'credit' else 'debit' end as kind, floor(value)::bigint as amount,
+        row_number() over (partition by user_id order by ts, event_id) as n from events where event_type <> 'error'),
+      f as (select q.*, case when amount <= 0 then 'invalid_amount' when kind = 'debit' then 'insufficient_balance' else 'applied' end as outcome,
+        case when amount > 0 and kind = 'credit' then amount else 0 end as balance_after from q where n = 1
+        union all select q.*, case when q.amount <= 0 then 'invalid_amount' when q.kind = 'debit' and q.amount > f.balance_after then 'insufficient_balance' else 'applied' end,
+        case when q.amount <= 0 or q.kind = 'debit' and q.amount > f.balance_after then f.balance_after when q.kind = 'credit' then f.balance_after + q.amount else f.balance_after - q.amount end
+        from f join q on q.user_id = f.user_id and q.n = f.n + 1)
+      select id, user_id, kind, amount, outcome, balance_after from f""",
+    "L7_quota_with_refunds": QUOTAS_SQL,
     "L3_idempotent_credits": with_views("credit_requests", """with c as (select *, reference <> '' and amount > 0 as valid from credit_requests where kind = 'credit')
       select id, user_id, reference, amount, case when not valid then 'refused' when row_number() over (partition by user_id, reference, valid order by created_at, id) = 1
       then 'credited' else 'already_processed' end as outcome from c"""),

@@ -166,6 +166,7 @@ QUERIES = {
     "S1_read_table": lambda s, d: S.read_source(s, CUSTOMER, f"{d}/customer.parquet"),
     "S2_clean_text": lambda s, d: raw_texts(s, d).select("doc_id", S.clean_text(F.col("text")).alias("text")).where("text is not null"),
     "S3_ingest_docx": lambda s, d: S.ingest_docx(S.make_packages(read_table(s, d, "documents"))).select("path", "pos", "type", "text", "style_level", F.to_json("cells").alias("cells"), "error"),
+    "S3_ingest_styled": lambda s, d: S.ingest_styled(S.make_styled_packages(read_table(s, d, "documents"))).select("path", "pos", "type", "text", "style_level", "is_bold", "error"),
     "S5_blocks_round_trip": lambda s, d: S.blocks_from_json(S.blocks_to_json(json_blocks(s, d))),
     "S6_legacy_round_trip": lambda s, d: S.legacy_to_blocks(S.blocks_to_legacy(json_blocks(s, d))),
     "S7_restore_reading_order": lambda s, d: S.restore_reading_order(placed(s, d)),
@@ -187,6 +188,11 @@ QUERIES = {
 ORACLE_SQL = {
     "S1_read_table": "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
     "S2_clean_text": "select doc_id, text from documents where doc_id % 9 <> 0",
+    "S3_ingest_styled": """with l as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) - 1 as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+      b as (select doc_id, i, 0 as k, 'paragraph' as type, case when i % 6 = 5 then 'box' else line end as text from l union all
+        select doc_id, i, 1, 'shape', line from l where i % 6 = 5 and trim(line, ' ' || chr(9) || chr(13)) <> '')
+      select 'doc-' || doc_id || '.docx' as path, row_number() over (partition by doc_id order by i, k) - 1 as pos, type, text, case i % 7 when 0 then 2 when 3 then 1 when 5 then 3 end as style_level,
+        i % 5 <> 4 and i % 7 in (0, 4) as is_bold, null::varchar as error from b""",
     "S5_blocks_round_trip": with_views("blocks numbered typed", "select doc_id, pos, block_id, type, text, heading_level, confidence, category, original_number from typed"),
     "S6_legacy_round_trip": with_views("blocks numbered typed", """with p as (select *, case type when 'heading' then 0 when 'table' then 4 when 'caption' then 7 end as part from typed
       where type in ('heading', 'table', 'caption'))
@@ -213,15 +219,8 @@ ORACLE_SQL = {
         when kind = 'feedback' then '10.0.0.' || user_id % 3 else 'user-' || user_id % 2 end as who from q join l using (i))
       select kind, who, make_timestamp((sec - sec % seconds) * 1000000) as start, count(*) as calls, allowed::bigint as allowed from r group by 1, 2, 3, 5 having count(*) > allowed
       union all select 'refused', null, null, 0, 0""",
-    "R6_balance_handover": """with recursive q as (select event_id as id, user_id, case when event_type in ('purchase', 'signup') then 'credit' else 'debit' end as kind, floor(value)::bigint as amount,
-        row_number() over (partition by user_id order by ts, event_id) as n from events where event_type <> 'error'),
-      f as (select *, case when amount <= 0 then 'invalid_amount' when kind = 'debit' and amount > 0 then 'insufficient_balance' else 'applied' end as outcome,
-        case when amount > 0 and kind = 'credit' then amount else 0 end as balance_after from q where n = 1
-        union all select q.*, case when q.amount <= 0 then 'invalid_amount' when q.kind = 'debit' and q.amount > f.balance_after then 'insufficient_balance' else 'applied' end,
-        case when q.amount <= 0 or q.kind = 'debit' and q.amount > f.balance_after then f.balance_after when q.kind = 'credit' then f.balance_after + q.amount else f.balance_after - q.amount end
-        from f join q on q.user_id = f.user_id and q.n = f.n + 1)
-      select id, user_id, kind, amount, outcome, balance_after from f""",
 }
 
-# The replays of balances, in batch and as streams, have one result.
-ORACLE_SQL["R6_balance_stream"] = ORACLE_SQL["R6_balance_handover"]
+# Replays in batch and as streams have one result.
+ORACLE_SQL |= {name: BP.ORACLE_SQL["L2_replay_requests"] for name in ("R6_balance_stream", "R6_balance_handover")}
+ORACLE_SQL["R5_quota_stream"] = BP.QUOTAS_SQL

@@ -51,6 +51,11 @@ RAW_SQL = """(select id, case when id % 3 <> 0 then provider end as provider, ca
   model as fallback_from, case when id % 10 = 0 then repeat('error ', 100) end as error from usage_ledger)"""
 
 U, CU = units_sql(), f"coalesce({units_sql()}, 0)"
+def sessions_of_ten(s, d):
+    """The ledger with a session for every ten calls: there are more of them as it grows."""
+    return ledger(s, d).withColumn("session_id", F.expr("id div 10"))
+
+
 QUERIES = {
     "S9_normalize_usage_row": lambda s, d: usage.normalize_usage_row(raw_calls(s, d)),
     "P1_usage_log": lambda s, d: usage.usage_log(ledger(s, d), model="gpt-4o", failures=True, page=2),
@@ -77,6 +82,8 @@ QUERIES = {
     "G14_cost_audit_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s), 5000),
     "G15_cost_per_million_tokens": lambda s, d: usage.cost_per_million_tokens(ledger(s, d)),
     "G16_multi_turn_cost": lambda s, d: usage.multi_turn_cost(ledger(s, d)),
+    "G16_turn_costs": lambda s, d: usage.turn_costs(sessions_of_ten(s, d)),
+    "G16_session_totals": lambda s, d: usage.session_totals(sessions_of_ten(s, d)),
     "G32_session_cost": lambda s, d: usage.session_cost(fx.chat_messages(s, d)),
     "G32_message_precharge": lambda s, d: usage.message_precharge(fx.chat_messages(s, d)),
     "M1_cost_usd": lambda s, d: pricing.cost_usd(ledger(s, d), fx.prices(s)),
@@ -193,6 +200,9 @@ ORACLE_SQL = {
       floor((cost_micro * 20000 + input_tokens + output_tokens)::double / ((input_tokens + output_tokens) * 2)::double) / 10000 end as usd_per_million from usage_ledger"""),
     "G16_multi_turn_cost": with_views("usage_ledger", """select session_id, count(*) as turns, sum(cost_micro) / 1000000 as usd,
       string_agg(cost_micro::varchar, ',' order by id) as turn_micro from usage_ledger group by 1"""),
+    "G16_turn_costs": with_views("usage_ledger", """select id // 10 as session_id, id, row_number() over (partition by id // 10 order by created_at, id) as turn, cost_micro,
+      (sum(cost_micro) over (partition by id // 10 order by created_at, id rows unbounded preceding))::bigint as micro_so_far from usage_ledger"""),
+    "G16_session_totals": with_views("usage_ledger", "select id // 10 as session_id, count(*) as turns, sum(cost_micro) / 1000000 as usd from usage_ledger group by 1"),
     "G32_session_cost": with_views("chat_messages", """select session_id, (sum(cost_credits) + sum(attachments))::bigint as credits, count(*) as messages,
       max_by(model_used, turn) as last_model from chat_messages group by 1"""),
     "G32_message_precharge": with_views("chat_messages", "select session_id, turn, greatest(1, cost_credits) + attachments as precharge from chat_messages"),
