@@ -106,13 +106,49 @@ def needs_renumbering(before: DataFrame, after: DataFrame, edits: DataFrame) ->
     return rows.select("doc_id", ((F.col("structural") == 1) & changed).alias("renumber"))
 
 
+def links_after_deletes(links: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Links of captions (doc_id, caption_id, carrier_id, …) after blocks (doc_id, block_id) are deleted: a caption of a deleted
+    carrier stands alone, links of deleted captions go."""
+    gone = deleted.select("doc_id", F.col("block_id").alias("gone id")).distinct()
+    kept = links.join(gone, (links["doc_id"] == gone["doc_id"]) & (links["caption_id"] == gone["gone id"]), "left_anti")
+    carriers = gone.select("doc_id", F.col("gone id").alias("carrier_id"), F.lit(True).alias("gone carrier"))
+    rows = kept.join(carriers, ["doc_id", "carrier_id"], "left")
+    return rows.withColumn("carrier_id", F.when(F.col("gone carrier").isNull(), F.col("carrier_id"))).select(*links.columns)
+
+
+# Other names of types that edits may give.
+TYPE_ALIASES = {
+    "paragraphe": "paragraph", "titre": "heading", "tableau": "table", "legende": "caption", "légende": "caption", "renvoi": "cross_ref",
+    "en_tete": "header", "en-tete": "header", "pied": "footer",
+}
+MOST_LEVEL = 3
+
+
+def normal_type(kind: Column) -> Column:
+    """The type that an edit names, by its own name or another, whatever its case; null if there is none."""
+    name = F.lower(P.trimmed(kind))
+    found = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair]), name), name)
+    return F.when(found.isin(*TYPES), found)
+
+
+def normal_block_id(block_id: Column) -> Column:
+    """An id without blanks and quotes around it; null if nothing is left."""
+    bare = P.trimmed(block_id, P.BLANKS + "\"'`")
+    return F.when(bare != "", bare)
+
+
+def normal_level(level: Column) -> Column:
+    """A heading's level within those there are."""
+    return F.when(level.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(MOST_LEVEL), level)))
+
+
 def validate_edits(edits: DataFrame) -> DataFrame:
-    """A row for each fault of an edit: tool, position, text or type."""
+    """A row for each fault of an edit: tool, position, text or type (by any of its names)."""
     text = F.coalesce(P.trimmed(F.col("text")), F.lit(""))
     faults = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False)), "unknown_tool"), F.when(F.col("pos").isNull(), "position_missing"),
         F.when(F.col("tool").isin("rewrite", "insert", "replace_range") & (text == ""), "text_missing"),
-        F.when((F.col("tool") == "insert") & ~F.coalesce(F.col("type").isin(*INSERTABLE), F.lit(False)), "type_not_allowed"),
+        F.when((F.col("tool") == "insert") & ~F.coalesce(normal_type(F.col("type")).isin(*INSERTABLE), F.lit(False)), "type_not_allowed"),
         F.when((F.col("tool") == "replace_range") & F.col("end_pos").isNull(), "end_missing"),
     ))
     return edits.select("edit_id", F.explode(faults).alias("fault"))

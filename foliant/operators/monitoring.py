@@ -72,6 +72,21 @@ def classification_quality(blocks: DataFrame, clarifications: DataFrame, latest:
     return rows.orderBy(F.desc("doc_id")).limit(latest).orderBy("auto_rate", "doc_id")
 
 
+def corpus_quality(blocks: DataFrame, clarifications: DataFrame) -> DataFrame:
+    """One row over all documents: documents, those without headings, blocks, headings, ambiguous ones, questions
+    that wait, and the share decided automatically."""
+    per = blocks.groupBy("doc_id").agg(
+        F.count("*").alias("blocks"), count_where("type = 'heading'").alias("headings"), count_where("confidence < 0.85").alias("ambiguous")
+    )
+    waiting = clarifications.where("answered_at is null").agg(F.count("*").alias("pending")).withColumn("one", F.lit(1))
+    sums = per.agg(
+        F.count("*").alias("documents"), count_where("headings = 0").alias("without_heading"),
+        *[F.coalesce(F.sum(c), zero()).alias(c) for c in ("blocks", "headings", "ambiguous")],
+    ).withColumn("one", F.lit(1))
+    rate = percent(F.col("blocks") - F.col("ambiguous"), F.col("blocks"))
+    return sums.join(waiting, "one").drop("one").withColumn("auto_rate", rate)
+
+
 def user_totals(users: DataFrame) -> DataFrame:
     """G25."""
     return users.agg(

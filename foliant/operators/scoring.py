@@ -18,6 +18,18 @@ def verdicts_by_column(assessed: DataFrame, classifier: Callable[[Column], Colum
     return rows.select("doc_id", "pos", F.col("v.type").alias("verdict_type"), F.col("v.level").alias("verdict_level"), F.col("v.confidence").alias("verdict_confidence"))
 
 
+def full_verdicts(assessed: DataFrame, classifier: Callable[[Column], Column]) -> DataFrame:
+    """Verdicts with all that a classifier says: its function goes from text to struct(is_heading, type, level,
+    confidence, signals array<string>). What is no heading has no level; a confidence outside of 0 to 1 is cut to it."""
+    rows = assessed.where("needs_review").withColumn("v", classifier(F.col("text"))).where("v is not null")
+    heading = F.coalesce(F.col("v.is_heading"), F.lit(False))
+    return rows.select(
+        "doc_id", "pos", heading.alias("is_heading"), F.when(heading, "heading").otherwise(F.coalesce("v.type", F.lit("paragraph"))).alias("verdict_type"),
+        F.when(heading, F.col("v.level")).alias("verdict_level"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v.confidence"))).alias("verdict_confidence"),
+        F.array_join(F.coalesce("v.signals", F.array().cast("array<string>")), ",").alias("signals"),
+    )
+
+
 def score_in_batches(assessed: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], size: int = BATCH) -> DataFrame:
     """Verdicts of blocks that need review by a scorer that takes at most ``size`` rows (doc_id, pos, text) at once and
     returns type, level and confidence for each. Blocks that don't need review never reach it."""

@@ -10,6 +10,8 @@ from foliant.sources import fixtures as fx
 from foliant.sources.fixtures import with_views
 
 NOW = fx.NOW_ORDERS
+#: Three days before subscriptions end.
+BUSY = "1995-03-11 12:00:00"
 
 
 def uses(s, d):
@@ -130,6 +132,7 @@ QUERIES = {
     "L8_due_for_renewal": lambda s, d: billing.due_for_renewal(fx.subscriptions(s, d), fx.users(s, d), fx.plans(s), "2001-07-15 00:00:00"),
     "L9_renewal_decision": lambda s, d: billing.renewal_decision(fx.subscriptions(s, d), fx.plans(s)),
     "L10_expired_past_grace": lambda s, d: billing.expired_past_grace(fx.subscriptions(s, d), NOW),
+    "L11_reminders_of_a_busy_day": lambda s, d: billing.renewal_reminders(fx.subscriptions(s, d), fx.users(s, d), fx.plans(s), BUSY),
     "L11_renewal_reminders": lambda s, d: billing.renewal_reminders(fx.subscriptions(s, d), fx.users(s, d), fx.plans(s), "2001-07-15 12:00:00"),
     "L12_cancel_prorata": lambda s, d: billing.cancel_prorata(fx.subscriptions(s, d), fx.plans(s), "2001-07-15 12:00:00"),
     "L13_activation_dedupe": lambda s, d: billing.activation_dedupe(fx.subscriptions(s, d)),
@@ -210,6 +213,8 @@ ORACLE_SQL = {
       from subscriptions s left join plans p using (plan_id)"""),
     "L10_expired_past_grace": with_views("subscriptions", f"""select id, 'expired' as status, false as auto_renew from subscriptions
       where status in ('active', 'past_due') and ends_at < timestamp '{NOW}' - interval 5 day"""),
+    "L11_reminders_of_a_busy_day": with_views("subscriptions users plans", """select s.id, s.user_id, u.name, p.name as plan from subscriptions s
+      join users u on u.id = s.user_id join plans p on p.plan_id = s.plan_id where s.status = 'active' and not reminded and ends_at::date = date '1995-03-14'"""),
     "L11_renewal_reminders": with_views("subscriptions users plans", """select s.id, s.user_id, u.name, p.name as plan from subscriptions s
       join users u on u.id = s.user_id join plans p on p.plan_id = s.plan_id where s.status = 'active' and not reminded and ends_at::date = date '2001-07-18'"""),
     "L12_cancel_prorata": with_views("subscriptions plans", """with d as (select s.id, price_fcfa, greatest(1, coalesce(floor(epoch(ends_at - starts_at) / 86400), 30))::bigint as total_days,

@@ -66,19 +66,28 @@ def after_edits(s, d):
 
 
 def tables(s, d):
-    """A table for each document with at least two lines: the first words of its lines are the cells."""
+    """A table for each document with at least two lines: a row a line; its first word, its second, and the rest."""
     rows = read_table(s, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0).alias("l")).where("size(l) >= 2")
-    cells = F.transform(F.slice("l", 1, 5), lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(F.split(x, " "), i), F.lit(""))))
+    rest = lambda x: F.regexp_replace(x, "^[^ ]*( [^ ]*)? ?", "")
+    cells = F.transform("l", lambda x: F.array(F.split_part(x, F.lit(" "), F.lit(1)), F.split_part(x, F.lit(" "), F.lit(2)), rest(x)))
     span = F.transform(cells, lambda r, i: F.when((i == 0) & (F.col("doc_id") % 4 == 0), F.array(F.lit(3))).otherwise(F.array(F.lit(1), F.lit(1), F.lit(1))))
     return rows.select("doc_id", cells.alias("cells"), F.size(cells).alias("rows"), F.lit(3).alias("cols"), span.alias("grid_span"))
 
 
+TABLES = """(select doc_id, list_transform(l, lambda x: [split_part(x, ' ', 1), split_part(x, ' ', 2), regexp_replace(x, '^[^ ]*( [^ ]*)? ?', '')]) as cells from
+  (select doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 0) as l from documents) where len(l) >= 2)"""
+
+
 def table_edits(s, d):
     return tables(s, d).selectExpr(
         "doc_id", "element_at(array('add_row', 'add_column', 'remove_row', 'set_cell', 'set_header'), cast(doc_id % 5 + 1 as int)) as tool",
         "cast(doc_id % 7 as int) as row", "cast(doc_id % 4 as int) as col", "array('a', 'b') as values")
 
 
+def deleted(s, d):
+    return SP.BLOCKS(s, d).where("(doc_id + 5 * pos) % 7 = 0").select("doc_id", "block_id")
+
+
 def violations_input(s, d):
     return raw_blocks(s, d).selectExpr(
         "doc_id", "pos", "if(pos % 17 = 0, '', if(pos % 19 = 1, concat('b0x', doc_id), block_id)) as block_id", "if(pos % 23 = 0, 'odd', type) as type",
@@ -146,6 +155,7 @@ QUERIES = {
     "G21_pipeline_share": lambda s, d: M.pipeline_share(fx.documents_ops(s, d)),
     "G22_queue_health": lambda s, d: M.queue_health(jobs(s, d)),
     "G23_classification_quality": lambda s, d: M.classification_quality(raw_blocks(s, d), clarifications(s, d)),
+    "G23_corpus_quality": lambda s, d: M.corpus_quality(raw_blocks(s, d), clarifications(s, d)),
     "G25_user_totals": lambda s, d: M.user_totals(fx.users(s, d)),
     "G26_document_diagnostics": lambda s, d: M.document_diagnostics(raw_blocks(s, d)),
     "G27_detection_compare": lambda s, d: M.detection_compare(raw_blocks(s, d)),
@@ -168,6 +178,7 @@ QUERIES = {
     "J9_merge_detections": lambda s, d: E.merge_detections(legacy_elements(s, d).where("element_index % 3 = 0 or element_index is null"), legacy_elements(s, d)),
     "E1_apply_edits": lambda s, d: E.apply_edits(simple_blocks(s, d), edits(s, d)),
     "E2_edit_guards": guards,
+    "E2_links_after_deletes": lambda s, d: E.links_after_deletes(SP.linked(s, d)[1], deleted(s, d)),
     "E3_confirmation_required": lambda s, d: E.confirmation_required(edits(s, d)),
     "E4_edit_table_cells": lambda s, d: E.edit_table_cells(tables(s, d).select("doc_id", "cells"), table_edits(s, d)),
     "E5_needs_renumbering": lambda s, d: E.needs_renumbering(raw_blocks(s, d), after_edits(s, d), edits(s, d)),
@@ -198,6 +209,15 @@ ORACLE_SQL = {
       coalesce(pending, 0) as pending from q left join p on p.doc_id = q.doc_id"""),
     "G25_user_totals": with_views("users", """select count(*) as users, count(*) filter (where is_admin) as admins, count(*) filter (where is_suspended) as suspended,
       coalesce(sum(credits_balance), 0)::bigint as credits from users"""),
+    "G23_corpus_quality": with_views(TYPED_VIEWS, f"""with p as (select doc_id, count(*) as blocks, count(*) filter (where type = 'heading') as headings, count(*) filter (where confidence < 0.85) as ambiguous from typed group by 1)
+      select count(*) as documents, count(*) filter (where headings = 0) as without_heading, sum(blocks)::bigint as blocks, sum(headings)::bigint as headings, sum(ambiguous)::bigint as ambiguous,
+      (select count(*) from {CLAR} c where answered_at is null) as pending, floor(((sum(blocks) - sum(ambiguous)) * 2000 + sum(blocks))::double / (sum(blocks) * 2)::double) / 10 as auto_rate from p"""),
+    "G26_document_diagnostics": with_views(TYPED_VIEWS, f"""with e as (select *, type = 'paragraph' and {SP.TRIM} = '' as empty from typed),
+      r as (select *, case when empty then pos - coalesce(max(case when not empty then pos end) over (partition by doc_id order by pos), -1) else 0 end as run from e),
+      g as (select doc_id, count(*) filter (where type = 'paragraph') as paragraphs, count(*) filter (where type = 'paragraph' and not empty) as filled, count(*) filter (where empty) as empty,
+        max(run)::bigint as longest_empty_run, count(*) filter (where type = 'table') as tables, count(*) filter (where style_level is not null) as styled,
+        count(*) filter (where type = 'toc_entry') as toc_entries, count(*) filter (where type = 'caption' and style_level is not null) as s from r group by 1)
+      select * exclude (s), concat_ws(',', case when longest_empty_run >= 3 then 'empty_run' end, case when s > 0 then 'styled_caption' end) as warnings from g"""),
     "G27_detection_compare": with_views(TYPED_VIEWS, """select doc_id, count(*) filter (where type = 'heading') as headings, count(*) filter (where type = 'caption') as captions,
       count(*) filter (where type = 'table') as tables, count(*) filter (where type = 'figure') as figures from typed group by 1"""),
     "G28_detection_eval": with_views(TYPED_VIEWS, """with p as (select doc_id, pos, case when style_level is not null then 'style' else 'number' end as rule from typed where type = 'heading'),
@@ -239,6 +259,28 @@ ORACLE_SQL = {
       select doc_id, row_number() over (partition by doc_id order by part, anchor, added, seq) - 1 as pos, block_id, text from (select * from k union all select * from f)"""),
     "E3_confirmation_required": with_views("blocks", f"""select doc_id, touched, touched > 5 as confirm from (select doc_id,
       sum(case when tool = 'delete' then 1 when tool = 'replace_range' then greatest(0, end_pos - pos + 1) else 0 end)::bigint as touched from {EDITS} e group by 1)"""),
+    "E2_links_after_deletes": with_views("blocks numbered typed linked", """with g as (select doc_id, block_id from blocks where (doc_id + 5 * pos) % 7 = 0)
+      select l.* replace (case when exists (select 1 from g where g.doc_id = l.doc_id and g.block_id = l.carrier_id) then null else carrier_id end as carrier_id) from linked l
+      where not exists (select 1 from g where g.doc_id = l.doc_id and g.block_id = l.caption_id)"""),
+    "E4_edit_table_cells": f"""with t as (select doc_id, cells, len(cells) as n, (doc_id % 7)::int as r, (doc_id % 4)::int as c, doc_id % 5 as k from {TABLES} t),
+      o as (select *, case k when 0 then r <= n when 1 then c <= 3 when 2 then r < n and n > 1 when 3 then r < n and c < 3 else false end as ok from t)
+      select doc_id, case k when 0 then 'add_row' when 1 then 'add_column' when 2 then 'remove_row' when 3 then 'set_cell' else 'set_header' end as tool, ok,
+      to_json(case when not ok then cells when k = 0 then list_concat(list_concat(cells[1:r], [['a', 'b', '']]), cells[r + 1:])
+        when k = 1 then list_transform(cells, lambda x, i: list_concat(list_concat(x[1:c], [case i when 1 then 'a' when 2 then 'b' else '' end]), x[c + 1:]))
+        when k = 2 then list_filter(cells, lambda x, i: i <> r + 1) else list_transform(cells, lambda x, i: list_transform(x, lambda y, j: case when i = r + 1 and j = c + 1 then 'a' else y end)) end)::varchar as cells from o""",
+    "E5_needs_renumbering": with_views(TYPED_VIEWS, f"""with {KEPT}, b as (select doc_id, count(*) filter (where type in ('figure', 'table', 'annexe', 'planche')) as x, count(*) filter (where type = 'caption') as y from typed group by 1),
+      a as (select doc_id, count(*) filter (where type in ('figure', 'table', 'annexe', 'planche')) as x, count(*) filter (where type = 'caption') as y from typed t
+        where not exists (select 1 from gone g where g.doc_id = t.doc_id and g.pos = t.pos) group by 1), e as (select doc_id, bool_or(tool <> 'rewrite') as s from {EDITS} e group by 1)
+      select e.doc_id, s and (b.x is distinct from a.x or b.y is distinct from a.y) as renumber from e left join b using (doc_id) left join a using (doc_id)"""),
+    "P7_structural_violations": with_views(TYPED_VIEWS, """with v as (select doc_id, pos, case when pos % 17 = 0 then '' when pos % 19 = 1 then 'b0x' || doc_id else block_id end as block_id,
+        case when pos % 23 = 0 then 'odd' else type end as type, confidence + case when pos % 29 = 0 then 1 else 0 end as confidence, case when pos % 31 = 0 then 'guess' else 'exact' end as fidelity,
+        heading_level, category, pos % 2 = 0 as has_table, pos % 3 = 0 as has_image from typed),
+      k as (select *, type <> 'odd' as known, row_number() over (partition by doc_id, block_id order by pos) > 1 as twice, coalesce(category in ('figure', 'table', 'annexe', 'planche'), false) as cat from v)
+      select doc_id, pos, fault from (select doc_id, pos, unnest([case when block_id = '' then 'block_id_missing' when twice then 'block_id_twice' end, case when not known then 'unknown_type' end,
+        case when known and (confidence < 0 or confidence > 1) then 'confidence_out_of_range' end, case when known and fidelity = 'guess' then 'bad_fidelity' end,
+        case when type = 'table' and not has_table then 'table_without_data' end, case when type = 'heading' and not coalesce(heading_level >= 1, false) then 'heading_without_level' end,
+        case when type in ('caption', 'annexe', 'planche') and not cat then 'category_missing' end, case when type = 'cross_ref' then 'reference_without_payload' end,
+        case when type = 'figure' and not has_image then 'figure_without_image' end]) as fault from k) where fault is not null"""),
     "E6_validate_edits": with_views("blocks", f"""select edit_id, 'unknown_tool' as fault from {EDITS} e where tool = 'odd'
       union all select edit_id, 'text_missing' from {EDITS} e where tool in ('rewrite', 'insert', 'replace_range') and text = ''
       union all select edit_id, 'type_not_allowed' from {EDITS} e where tool = 'insert' and type = 'toc_entry'

@@ -144,6 +144,16 @@ def shouted(text):
     return F.when(F.length(text) < 60, v)
 
 
+def judged(text):
+    """A classifier that says all there is to say: short lines are headings, the shorter the surer."""
+    short = F.length(text) < 60
+    signals = F.array_compact(F.array(F.when(short, "short"), F.when(text.rlike(r"\d"), "digit")))
+    v = F.struct(
+        short.alias("is_heading"), F.when(text.startswith("Figure"), "caption").alias("type"), F.lit(2).alias("level"), (1.25 - F.length(text) / 64).alias("confidence"), signals.alias("signals")
+    )
+    return F.when(F.length(text) > 0, v)
+
+
 def by_length(rows: pd.DataFrame) -> pd.DataFrame:
     short = rows["text"].str.len() < 60
     return pd.DataFrame({"type": short.map({True: "heading", False: "paragraph"}), "level": short.map({True: 2, False: 0}), "confidence": 0.9})
@@ -172,6 +182,7 @@ QUERIES = {
     "S7_restore_reading_order": lambda s, d: S.restore_reading_order(placed(s, d)),
     "S8_report_sink": lambda s, d: s.read.schema("status string, n bigint, total bigint").json(S.write_report(monitoring.status_histogram(fx.documents_ops(s, d)))),
     "U1_verdicts_by_column": lambda s, d: scoring.verdicts_by_column(SP.assessed(s, d), shouted),
+    "U1_full_verdicts": lambda s, d: scoring.full_verdicts(SP.assessed(s, d), judged),
     "U2_rule_table": lambda s, d: SP.D.rule_detect(SP.detailed(s, d), SP.D.RULES[:4]),
     "U3_score_in_batches": lambda s, d: scoring.score_in_batches(SP.assessed(s, d), by_length),
     "R1_webhook_stream": webhooks,
@@ -185,6 +196,7 @@ QUERIES = {
     "R6_balance_handover": balances_handed_over,
 }
 
+ASSESSED = "blocks numbered typed listed capped passes assessed"
 ORACLE_SQL = {
     "S1_read_table": "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
     "S2_clean_text": "select doc_id, text from documents where doc_id % 9 <> 0",
@@ -203,6 +215,15 @@ ORACLE_SQL = {
       select doc_id, block_id, row_number() over (partition by doc_id order by case when known = 1 then coalesce(y, 0) else 0 end, pos) - 1 as ord,
       captions > 1 and placed = 0 as legend_order_gap from k"""),
     "S8_report_sink": with_views("documents_ops", "select status, count(*) as n, (sum(count(*)) over ())::bigint as total from documents_ops group by 1"),
+    "U1_verdicts_by_column": with_views(ASSESSED, "select doc_id, pos, 'heading' as verdict_type, 2 as verdict_level, 0.9::double as verdict_confidence from assessed where needs_review and length(text) < 60"),
+    "U1_full_verdicts": with_views(ASSESSED, """select doc_id, pos, length(text) < 60 as is_heading, case when length(text) < 60 then 'heading' when starts_with(text, 'Figure') then 'caption' else 'paragraph' end as verdict_type,
+      case when length(text) < 60 then 2 end as verdict_level, greatest(0.0::double, least(1.0::double, 1.25::double - length(text) / 64.0::double)) as verdict_confidence,
+      concat_ws(',', case when length(text) < 60 then 'short' end, case when regexp_matches(text, '\\d') then 'digit' end) as signals from assessed where needs_review and length(text) > 0"""),
+    "U3_score_in_batches": with_views(ASSESSED, """select doc_id, pos, case when length(text) < 60 then 'heading' else 'paragraph' end as verdict_type,
+      case when length(text) < 60 then 2 else 0 end as verdict_level, 0.9::double as verdict_confidence from assessed where needs_review"""),
+    "U2_rule_table": with_views("blocks numbered typed", f"""select doc_id, pos, rule, case when rule in ('heading1_style', 'title_caps') then 'titles' else 'subtitles' end as category
+      from (select doc_id, pos, case when type = 'heading' and style_level = 1 then 'heading1_style' when type = 'heading' and style_level = 2 then 'heading2_style'
+        when type = 'heading' and style_level = 3 then 'heading3_style' when type = 'paragraph' and pos <> 0 and regexp_matches(text, {SP.P.quoted(SP.D.TITLE_CAPS)}) then 'title_caps' end as rule from typed) where rule is not null"""),
     "R1_webhook_stream": with_views("payments", "select payment_id, 1::bigint as events from payments where status in ('COMPLETED', 'FAILED', 'CANCELLED') group by 1"),
     "R2_stale_events": """with e as (select event_id as id, floor(epoch(ts))::bigint as seconds from events) select id, seconds from e where abs(1705000000 - seconds) > 36000""",
     "R3_rate_limit_violations": """select date_trunc('hour', ts) as start, user_id, count(*) as calls from events group by 1, 2 having count(*) > 2""",

@@ -62,6 +62,16 @@ def corrections(s, d):
     return BLOCKS(s, d).where("pos % 7 = 0").selectExpr("doc_id", "pos", "pos % 14 = 0 as remove", "cast(1 + pos % 3 as int) as new_level")
 
 
+#: Numbers put before lines, by position (fixed values).
+LINE_NUMBERS = ("IV. ", "1.2 ", "2.3.4 ", "II. ", "", "3. ", "1.1.1.1 ")
+
+
+def numbered_lines(s, d):
+    """Lines with numbers before them as titles of alternating levels."""
+    number = F.element_at(F.array(*[F.lit(x) for x in LINE_NUMBERS]), (F.col("pos") % 7 + 1).cast("int"))
+    return BLOCKS(s, d).select("doc_id", "pos", F.concat(number, "text").alias("title"), (1 + F.col("pos") % 2).alias("level"))
+
+
 def kinds(s, d):
     rows = BLOCKS(s, d).where("pos % 4 = 0")
     return rows.selectExpr("doc_id", "pos", "explode(array(1, 2)) as at").selectExpr(
@@ -86,6 +96,7 @@ QUERIES = {
     "T1_rule_detect": lambda s, d: D.rule_detect(detailed(s, d)),
     "T2_regex_titles": lambda s, d: D.regex_titles(BLOCKS(s, d)),
     "T3_numbering_ambiguities": lambda s, d: D.numbering_ambiguities(D.regex_titles(BLOCKS(s, d)).selectExpr("doc_id", "pos", "title", "1 + pos % 2 as level")),
+    "T3_ambiguities_of_numbered_lines": lambda s, d: D.numbering_ambiguities(numbered_lines(s, d)),
     "T4_apply_level_corrections": lambda s, d: D.apply_level_corrections(D.regex_titles(BLOCKS(s, d)), corrections(s, d)),
     "T5_legends": lambda s, d: D.legends(BLOCKS(s, d)),
     "T6_review_candidates": lambda s, d: D.review_candidates(passes(s, d), D.numbering_ambiguities(
@@ -281,6 +292,25 @@ ORACLE_SQL = {
       p as (select doc_id, len(parts) as n, generate_subscripts(parts, 1) - 1 as pos, unnest(parts) as text from l)
       select doc_id, pos, case when starts_with(text, '#') and pos = 0 then 'header' when starts_with(text, '#') and pos = n - 1 then 'footer' else 'body' end as parent, text from p""",
     "T2_regex_titles": with_views("blocks", f"select * from {TITLES} t"),
+    "T1_rule_detect": with_views("blocks numbered typed", f"""select doc_id, pos, rule, case rule when 'heading1_style' then 'titles' when 'title_caps' then 'titles' when 'header' then 'headers' when 'table' then 'tables'
+        when 'figure' then 'images' when 'mention' then 'other' else 'subtitles' end as category from (select doc_id, pos, case when type = 'heading' and style_level = 1 then 'heading1_style'
+        when type = 'heading' and style_level = 2 then 'heading2_style' when type = 'heading' and style_level = 3 then 'heading3_style'
+        when type = 'paragraph' and pos <> 0 and regexp_matches(text, {P.quoted(D.TITLE_CAPS)}) then 'title_caps' when is_bold then 'bold_line' when pos = 0 then 'header'
+        when type = 'table' then 'table' when type = 'figure' then 'figure' when contains(text, 'voir Figure') then 'mention' end as rule from typed) where rule is not null"""),
+    "T3_ambiguities_of_numbered_lines": with_views("blocks", """select doc_id, pos, title, level, suggested from (select doc_id, pos, 1 + pos % 2 as level, pos % 7 as k,
+        case pos % 7 when 0 then 'IV. ' when 1 then '1.2 ' when 2 then '2.3.4 ' when 3 then 'II. ' when 4 then '' when 5 then '3. ' else '1.1.1.1 ' end || text as title,
+        (case when pos % 7 in (0, 3) then 1 when pos % 7 = 1 then 2 when pos % 7 = 2 then 3 when pos % 7 = 6 then 4 when regexp_matches(text, '^[IVXLC]+\\.\\s+') and pos % 7 = 4 then 1
+          when pos % 7 = 4 and regexp_matches(text, '^\\d+(?:\\.\\d+)+\\s+') then len(string_split(regexp_extract(text, '^(\\d+(?:\\.\\d+)+)\\s+', 1), '.')) end)::int as suggested from blocks)
+      where suggested is not null and suggested <> level"""),
+    "T6_review_candidates": with_views("blocks numbered typed listed capped passes", f"""with a as (select doc_id, pos from (select doc_id, pos, title, 1 + pos % 2 as level, (case when regexp_matches(title, '^[IVXLC]+\\.\\s+') then 1
+        when regexp_matches(title, '^\\d+(?:\\.\\d+)+\\s+') then len(string_split(regexp_extract(title, '^(\\d+(?:\\.\\d+)+)\\s+', 1), '.')) end)::int as suggested from {TITLES} t) where suggested is not null and suggested <> level),
+      w as (select *, string_agg(substr(text, 1, 40), ' / ') over (partition by doc_id order by pos rows between 2 preceding and 2 following) as context,
+        pos - max(case when type = 'heading' then pos end) over (partition by doc_id order by pos) as distance, type = 'paragraph' and {TRIM} <> '' as plain from passes),
+      r as (select w.doc_id, w.pos, context, case when a.pos is not null then 'ambiguous' when plain and regexp_matches(text, {P.quoted(D.LIST_MARK)}) then 'list_marker' when plain and distance <= 5 then 'near_title' end as reason
+        from w left join a on a.doc_id = w.doc_id and a.pos = w.pos)
+      select * from (select doc_id, pos, reason, row_number() over (partition by doc_id order by reason <> 'ambiguous', pos) as rank, context from r where reason is not null) where rank <= 60"""),
+    "T7_apply_kind_corrections": with_views("blocks numbered typed listed capped passes", """select doc_id, pos, case when pos > 0 and pos % 4 = 0 then 'heading' else type end as type,
+      (case when pos > 0 and pos % 4 = 0 then 2 when type = 'heading' then heading_level end)::int as heading_level from passes"""),
     "J10_page_lookup": with_views("blocks", """with k as (select doc_id, pos, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as key from blocks where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
       h as (select doc_id, pos as ord, 1 + pos // 10 as page, lower(trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g'))) as holder from blocks where pos % 3 <> 1 and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
       s as (select doc_id, holder, min_by(page, ord) as page from h group by 1, 2), m as (select k.* from k where not exists (select 1 from s where s.doc_id = k.doc_id and s.holder = k.key)),
