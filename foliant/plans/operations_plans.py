@@ -259,6 +259,11 @@ ORACLE_SQL = {
       select doc_id, row_number() over (partition by doc_id order by part, anchor, added, seq) - 1 as pos, block_id, text from (select * from k union all select * from f)"""),
     "E3_confirmation_required": with_views("blocks", f"""select doc_id, touched, touched > 5 as confirm from (select doc_id,
       sum(case when tool = 'delete' then 1 when tool = 'replace_range' then greatest(0, end_pos - pos + 1) else 0 end)::bigint as touched from {EDITS} e group by 1)"""),
+    "E2_edit_guards": with_views("blocks resolved linked", f"""with z as (select doc_id, count(*) as n from blocks group by 1)
+      select edit_id, case when b.block_id is null then 'unknown_block' when tool = 'replace_range' and (e.end_pos < e.pos or e.end_pos >= n) then 'invalid_range'
+        when tool = 'delete' and exists (select 1 from resolved r where r.doc_id = e.doc_id and r.target_id = b.block_id) then 'referred_to'
+        when tool = 'delete' and exists (select 1 from linked l where l.doc_id = e.doc_id and l.carrier_id = b.block_id) then 'described_by_caption'
+        when tool = 'delete' and n <= 1 then 'last_block' end as refused from {EDITS} e left join blocks b on b.doc_id = e.doc_id and b.pos = e.pos left join z on z.doc_id = e.doc_id"""),
     "E2_links_after_deletes": with_views("blocks numbered typed linked", """with g as (select doc_id, block_id from blocks where (doc_id + 5 * pos) % 7 = 0)
       select l.* replace (case when exists (select 1 from g where g.doc_id = l.doc_id and g.block_id = l.carrier_id) then null else carrier_id end as carrier_id) from linked l
       where not exists (select 1 from g where g.doc_id = l.doc_id and g.block_id = l.caption_id)"""),
