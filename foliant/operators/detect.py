@@ -67,8 +67,45 @@ def is_list_title(text: Column) -> Column:
     return P.let(folded, lambda t: any_of([(t == x) | t.startswith(x + " ") for x in LIST_TITLES]))
 
 
-def type_blocks(blocks: DataFrame) -> DataFrame:
-    """The first typing: type, heading_level, confidence, category, original_number."""
+# Fixed value: what an image without a file of its own is called.
+EMBEDDED = "embedded-object"
+MARKER = r"\[image:[^\]]*\]"
+MOST_BOLD_RUNS = 3
+
+
+def type_signals(blocks: DataFrame) -> DataFrame:
+    """T28 with all signals of a paragraph: has_shape (a drawn shape), images (names of its images), toc_level (of its
+    contents style) and run_count, beside those of ``type_blocks``; any may be null.
+
+    A shape without text, or whose only image is the shape itself, is a ``shape`` and keeps no text. A paragraph with
+    images is an image without text, else a figure, numbered if its text is a caption; its text is read without the
+    marks of images. A contents style makes an entry before any heading does; a bold line of many runs is no candidate.
+    """
+    t = P.trimmed(F.regexp_replace(F.col("text"), MARKER, ""))
+    rows = blocks.withColumn("around", t).withColumn("marked", F.col("text")).withColumn("text", t)
+    images = F.coalesce("images", F.array().cast("array<string>"))
+    c, pictured = F.col("cap"), F.size(images) > 0
+    shape = F.coalesce("has_shape", F.lit(False)) & ((F.col("around") == "") | (images == F.array(F.lit(EMBEDDED))))
+    many = F.coalesce("run_count", F.lit(1)) > MOST_BOLD_RUNS
+    typed = type_blocks(rows.withColumn("is_bold", F.col("is_bold") & ~many), ("around", "marked", "images", "has_shape", "toc_level", "run_count")).withColumn(
+        "cap", P.caption(F.col("around"))
+    )
+    plain = F.col("base") == "paragraph"
+    entry = c.isNull() & F.col("toc_level").isNotNull()
+    kind = F.when(plain & shape, "shape").when(plain & pictured, F.when(c.isNull() & (F.col("around") == ""), "image").otherwise("figure")).when(plain & entry, "toc_entry")
+    sure = F.when(kind == "shape", 1.0).when(kind == "image", 0.9).when(kind == "figure", F.when(c.isNotNull(), 0.95).otherwise(0.8)).when(kind == "toc_entry", 0.95)
+    text = F.when(kind == "shape", "").when(kind == "toc_entry", P.without_page(F.col("around"))).when(kind.isNotNull(), F.col("marked")).otherwise(F.col("text"))
+    figure = kind == "figure"
+    return typed.withColumn("kind", kind).select(
+        "doc_id", "pos", "block_id", text.alias("text"), F.coalesce("kind", "type").alias("type"),
+        F.when(F.col("kind") == "toc_entry", F.col("toc_level")).when(F.col("kind").isNull(), F.col("heading_level")).cast("int").alias("heading_level"),
+        F.coalesce(sure, "confidence").alias("confidence"), F.when(figure, F.coalesce(c["category"], F.lit("figure"))).when(F.col("kind").isNull(), F.col("category")).alias("category"),
+        F.when(figure, c["number"]).when(F.col("kind").isNull(), F.col("original_number")).alias("original_number"), F.when(figure | (kind == "image"), F.get(images, F.lit(0))).alias("image_ref"),
+    )
+
+
+def type_blocks(blocks: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The first typing: type, heading_level, confidence, category, original_number; columns in ``more`` stay."""
     n, c = F.col("num"), F.col("cap")
     style, level = F.col("style_level"), F.col("num")["level"]
     kind = F.when(n["kind"] == "keyword", 0.88).when(n["reliable"], 0.8).otherwise(0.7)
@@ -95,7 +132,7 @@ def type_blocks(blocks: DataFrame) -> DataFrame:
     return numbered(blocks).withColumn("v", v).select(
         "doc_id", "pos", "block_id", "base", F.when(listed & (F.col("v.type") == "toc_entry"), P.without_page(F.col("text"))).otherwise(F.col("text")).alias("text"),
         "style_level", "is_bold", "v.type", "v.heading_level", "v.confidence", F.when(is_caption, c["category"]).otherwise(own).alias("category"),
-        F.when(is_caption, c["number"]).alias("original_number"),
+        F.when(is_caption, c["number"]).alias("original_number"), *more,
     )
 
 

@@ -72,6 +72,16 @@ def numbered_lines(s, d):
     return BLOCKS(s, d).select("doc_id", "pos", F.concat(number, "text").alias("title"), (1 + F.col("pos") % 2).alias("level"))
 
 
+def signalled(s, d):
+    """Blocks with signals by position: shapes, images with and without a mark in the text, contents styles, runs."""
+    image = F.when(F.col("pos") % 11 == 3, F.array(F.lit("rId1.img"))).when(F.col("pos") % 11 == 5, F.array(F.lit("embedded-object")))
+    text = F.when(F.col("pos") % 22 == 3, "[image:rId1.img]").when(F.col("pos") % 11 == 3, F.concat(F.lit("[image:rId1.img] "), "text")).otherwise(F.col("text"))
+    return BLOCKS(s, d).select(
+        "doc_id", "pos", "block_id", "base", text.alias("text"), "style_level", (F.col("is_bold") | (F.col("pos") % 6 == 1)).alias("is_bold"), ((F.col("doc_id") + F.col("pos")) % 5 == 0).alias("has_shape"),
+        image.alias("images"), F.when(F.col("pos") % 9 == 4, 1 + F.col("pos") % 3).alias("toc_level"), (1 + F.col("pos") % 5).alias("run_count"),
+    )
+
+
 def kinds(s, d):
     rows = BLOCKS(s, d).where("pos % 4 = 0")
     return rows.selectExpr("doc_id", "pos", "explode(array(1, 2)) as at").selectExpr(
@@ -128,6 +138,7 @@ QUERIES = {
     "T27_strip_field_codes": lambda s, d: BLOCKS(s, d).select("doc_id", "pos", D.strip_field_codes(F.col(T)).alias("plain")),
     "T27_resolve_seq_fields": lambda s, d: D.resolve_seq_fields(BLOCKS(s, d).withColumn("text", F.regexp_replace("text", r"^(Figure|Tableau) \d+", "$1 {SEQ $1}"))),
     "T28_type_blocks": lambda s, d: typed(s, d).drop("base", "is_bold", "style_level"),
+    "T28_type_signals": lambda s, d: D.type_signals(signalled(s, d)),
     "D_detect_structure": lambda s, d: D.detect_structure(BLOCKS(s, d), verdicts(s, d)).select("doc_id", "pos", "type", "heading_level", "confidence", "root"),
     "J10_page_lookup": lambda s, d: N.page_lookup(BLOCKS(s, d), positions(s, d)),
     "N1_link_captions": lambda s, d: linked(s, d)[1],
@@ -311,6 +322,25 @@ ORACLE_SQL = {
       select * from (select doc_id, pos, reason, row_number() over (partition by doc_id order by reason <> 'ambiguous', pos) as rank, context from r where reason is not null) where rank <= 60"""),
     "T7_apply_kind_corrections": with_views("blocks numbered typed listed capped passes", """select doc_id, pos, case when pos > 0 and pos % 4 = 0 then 'heading' else type end as type,
       (case when pos > 0 and pos % 4 = 0 then 2 when type = 'heading' then heading_level end)::int as heading_level from passes"""),
+    "T28_type_signals": with_views("blocks", f"""with s as (select doc_id, pos, block_id, base, style_level, is_bold or pos % 6 = 1 as is_bold, (doc_id + pos) % 5 = 0 as has_shape,
+        case when pos % 11 = 3 then 'rId1.img' when pos % 11 = 5 then 'embedded-object' end as image, case when pos % 9 = 4 then 1 + pos % 3 end as toc_level, 1 + pos % 5 as run_count,
+        case when pos % 22 = 3 then '[image:rId1.img]' when pos % 11 = 3 then '[image:rId1.img] ' || text else text end as marked from blocks),
+      n as (select *, trim(regexp_replace(marked, '\\[image:[^\\]]*\\]', '', 'g'), {P.quoted(P.BLANKS)}) as text from s),
+      c as (select *, {P.heading_number_sql('text', 'level')} as num_level, {P.heading_number_sql('text', 'kind')} as num_kind, {P.heading_number_sql('text', 'reliable')} as num_reliable,
+        {P.caption_sql('text', 'category')} as cap_category, {P.caption_sql('text', 'number')} as cap_number, {P.list_entry_sql('text')} as list_entry,
+        translate(upper(trim(text, {P.quoted(P.BLANKS)})), '{D.UP_ACCENTS}', '{D.UP_PLAIN}') as up from n),
+      k as (select *, case when base <> 'paragraph' then base when has_shape and (text = '' or image = 'embedded-object') then 'shape' when image is not null and cap_category is null and text = '' then 'image'
+        when image is not null then 'picture' when cap_category is not null and list_entry then 'list' when cap_category is not null then 'caption' when toc_level is not null then 'contents'
+        when {LIST_TITLE} then 'title' when style_level is not null or num_level is not null then 'heading' else 'paragraph' end as k from c)
+      select doc_id, pos, block_id, case k when 'shape' then '' when 'image' then marked when 'picture' then marked when 'contents' then {PAGELESS('text')} when 'list' then {PAGELESS('text')} else text end as text,
+        case k when 'picture' then 'figure' when 'list' then 'toc_entry' when 'contents' then 'toc_entry' when 'title' then 'toc_entry' else k end as type,
+        (case k when 'heading' then coalesce(num_level, style_level) when 'contents' then toc_level when 'list' then 1 when 'title' then 1 end)::int as heading_level,
+        case k when 'figure' then 0.98 when 'table' then 0.98 when 'shape' then 1.0 when 'image' then 0.9 when 'picture' then case when cap_category is null then 0.8 else 0.95 end
+          when 'paragraph' then case when is_bold and run_count <= 3 and text <> '' and length(text) <= 80 then 0.6 else 0.85 end
+          when 'heading' then case when style_level is not null and num_level is not null then case when style_level = num_level then 0.98 else 0.65 end
+            when style_level is not null then 0.9 when num_kind = 'keyword' then 0.88 when num_reliable then 0.8 else 0.7 end else 0.95 end::double as confidence,
+        case k when 'picture' then coalesce(cap_category, 'figure') when 'caption' then cap_category when 'figure' then base when 'table' then base end as category,
+        case when k in ('picture', 'caption') then cap_number end as original_number, case when k in ('picture', 'image') then image end as image_ref from k"""),
     "J10_page_lookup": with_views("blocks", """with k as (select doc_id, pos, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as key from blocks where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
       h as (select doc_id, pos as ord, 1 + pos // 10 as page, lower(trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '\\s+', ' ', 'g'))) as holder from blocks where pos % 3 <> 1 and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
       s as (select doc_id, holder, min_by(page, ord) as page from h group by 1, 2), m as (select k.* from k where not exists (select 1 from s where s.doc_id = k.doc_id and s.holder = k.key)),

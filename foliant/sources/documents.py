@@ -60,6 +60,8 @@ def ingest_text(spark: SparkSession, path: str) -> DataFrame:
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+SHAPE = "{http://schemas.microsoft.com/office/word/2010/wordprocessingShape}wsp"
+GROUP = "{http://schemas.microsoft.com/office/word/2010/wordprocessingGroup}wgp"
 ALTERNATIVES = "{http://schemas.openxmlformats.org/markup-compatibility/2006}AlternateContent"
 EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
 MOST_BYTES, MOST_ENTRIES = 500 << 20, 5000
@@ -176,10 +178,19 @@ def paragraph_block(element: ElementTree.Element) -> dict:
     return {
         "type": "image" if blip is not None else "paragraph", "text": text, "style_level": int(level[1]) if level else None,
         "is_bold": bool(said) and all(said), "numbering_level": int(number.get(W + "val")) if number is not None else None,
-        "image_ref": blip.get(EMBED) if blip is not None else None, "style_id": style_id, "runs_bold": [*said],
+        "image_ref": blip.get(EMBED) if blip is not None else None, "style_id": style_id, "runs_bold": [*said], "run_count": len(runs),
+        "has_shape": has_diagram(element), "images": [b.get(EMBED) or "embedded-object" for b in element.iter(BLIP)],
     }
 
 
+def has_diagram(element: ElementTree.Element) -> bool:
+    """Whether drawn shapes make a diagram: a group, several in a drawing, or one that is no frame around text."""
+    if next(element.iter(GROUP), None) is not None:
+        return True
+    shapes = [list(drawing.iter(SHAPE)) for drawing in element.iter(W + "drawing")]
+    return any(len(found) > 1 or (found and next(found[0].iter(W + "txbxContent"), None) is None) for found in shapes)
+
+
 def own_text(element: ElementTree.Element) -> str:
     """A paragraph's text without what its text boxes hold."""
     if element.tag == W + "txbxContent":
@@ -233,6 +244,19 @@ def ingest_styles(packages: DataFrame, most_bytes: int = MOST_BYTES, most_entrie
     return rows.groupBy("path", "style_id").agg(F.min(F.struct(*others)).alias("s")).select("path", "style_id", "s.*")
 
 
+# Names of styles of contents lists; others have their level behind the name.
+CONTENTS_NAMES = (
+    "table of contents", "table of figures", "tabledesillustrations", "table des matieres", "table des matières", "liste des figures", "liste des tableaux", "liste des annexes",
+)
+CONTENTS_LEVEL = r"^(?:toc|sommaire|table\s+of\s+contents|table\s+des\s+mati[eè]res)\s*(\d+)$"
+
+
+def contents_level(name: Column) -> Column:
+    """The level of the contents entries that a style of this name makes, null for other styles."""
+    level = F.regexp_extract(F.lower(name), CONTENTS_LEVEL, 1)
+    return F.when(F.lower(name).isin(*CONTENTS_NAMES), 1).when(level != "", F.greatest(F.lit(1), level.cast("int")))
+
+
 INHERITED = ("bold", "italic", "size")
 
 
@@ -258,14 +282,24 @@ def resolve_styles(styles: DataFrame) -> DataFrame:
     return rows.drop("above").withColumn("level", F.coalesce(F.col("outline_level") + 1, known, numbered))
 
 
-def ingest_styled(packages: DataFrame, most_bytes: int = MOST_BYTES, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """S3: block rows whose heading levels and bold come from the package's styles, inherited or said by the runs."""
-    blocks = from_packages(packages, package_blocks, BLOCK_ROWS + ", style_id string, runs_bold array<boolean>", most_bytes, most_entries)
-    styles = resolve_styles(ingest_styles(packages, most_bytes, most_entries)).select("path", "style_id", "level", F.col("bold").alias("style_bold"))
+SIGNALS = ", style_id string, runs_bold array<boolean>, run_count int, has_shape boolean, images array<string>"
+
+
+def ingest_signals(packages: DataFrame, most_bytes: int = MOST_BYTES, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """S3: block rows with all that typing reads: levels and bold from the package's styles, inherited or said by the
+    runs, the level of contents styles, numbers of runs, shapes and images."""
+    blocks = from_packages(packages, package_blocks, BLOCK_ROWS + SIGNALS, most_bytes, most_entries)
+    styles = resolve_styles(ingest_styles(packages, most_bytes, most_entries)).select("path", "style_id", "level", F.col("bold").alias("style_bold"), contents_level(F.col("name")).alias("toc_level"))
     rows = blocks.join(styles, ["path", "style_id"], "left")
     runs = F.transform("runs_bold", lambda b: F.coalesce(b, "style_bold", F.lit(False)))
     bold = F.coalesce((F.size(runs) > 0) & F.forall(runs, lambda b: b), F.lit(False))
-    return rows.withColumn("style_level", F.col("level")).withColumn("is_bold", bold).select(*[f.split()[0] for f in BLOCK_ROWS.split(", ")])
+    names = [f.split()[0] for f in BLOCK_ROWS.split(", ")]
+    return rows.withColumn("style_level", F.col("level")).withColumn("is_bold", bold).select(*names, "toc_level", "run_count", "has_shape", "images")
+
+
+def ingest_styled(packages: DataFrame, most_bytes: int = MOST_BYTES, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """S3: block rows whose heading levels and bold come from the package's styles, inherited or said by the runs."""
+    return ingest_signals(packages, most_bytes, most_entries).select(*[f.split()[0] for f in BLOCK_ROWS.split(", ")])
 
 
 def rejects(blocks: DataFrame) -> DataFrame:

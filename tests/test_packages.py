@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.operators import detect as D
 from foliant.operators import fields as L
 from foliant.sources import documents as S
 
@@ -103,3 +104,32 @@ def test_a_table_over_jdbc_without_parts(spark, derby):
     whole = S.read_source(spark, "KEY_ int, KIND long", jdbc={"url": derby, "dbtable": "ITEMS"})
     assert [t for _, t in whole.dtypes] == ["int", "bigint"] and whole.count() == 1000
     assert S.read_source(spark, "KEY_ bigint", jdbc={"url": derby, "dbtable": "NOTHING"}, split_on="KEY_").count() == 0
+
+
+def test_signals_of_packages_are_typed(spark):
+    more = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    more += ' xmlns:wps="http://schemas.microsoft.com/office/word/2010/wordprocessingShape" xmlns:wpg="http://schemas.microsoft.com/office/word/2010/wordprocessingGroup"'
+    drawn = lambda inner: f"<w:r {more}><w:drawing>{inner}</w:drawing></w:r>"
+    frame = drawn(f'<wps:wsp><w:txbxContent>{p("CADRE DE TEXTE")}</w:txbxContent></wps:wsp>')
+    image = drawn('<a:blip r:embed="rId7"/>')
+    styles = style("T1", "toc 2") + style("Liste", "Liste des figures") + style("H", "heading 1") + style("LP", "list paragraph")
+    body = (
+        f"<w:p>{drawn('<wpg:wgp/>')}</w:p><w:p>{drawn('<wps:wsp/><wps:wsp/>')}</w:p><w:p>{frame}</w:p><w:p>{image}</w:p><w:p>{image}<w:r><w:t>Figure 3 : plan</w:t></w:r></w:p>"
+        f"<w:p>{image}<w:r><w:t>seen from above</w:t></w:r></w:p>" + p("CHAPITRE I : debut\t4".replace("\t", "</w:t><w:tab/><w:t>"), "T1") + p("Figure 4 : vue", "Liste") + p("Un titre", "H") + p("puce", "LP")
+        + "<w:p>" + '<w:r><w:rPr><w:b/></w:rPr><w:t>ab </w:t></w:r>' * 4 + "</w:p><w:p>" + '<w:r><w:rPr><w:b/></w:rPr><w:t>ab </w:t></w:r>' * 3 + "</w:p>"
+    )
+    signals = S.ingest_signals(packages(spark, a=package(body, styles)))
+    rows = signals.select(F.lit(1).alias("doc_id"), "pos", F.concat(F.lit("b"), "pos").alias("block_id"), F.when(F.col("type").isin("image", "shape"), "paragraph").otherwise(F.col("type")).alias("base"),
+                          "text", "style_level", "is_bold", "has_shape", "images", "toc_level", "run_count")
+    got = {r["pos"]: (r["type"], r["text"], r["heading_level"], r["confidence"], r["original_number"], r["image_ref"]) for r in D.type_signals(rows).collect()}
+    assert [got[k] for k in sorted(got)] == [
+        ("shape", "", None, 1.0, None, None), ("shape", "", None, 1.0, None, None), ("paragraph", "", None, 0.85, None, None), ("paragraph", "CADRE DE TEXTE", None, 0.85, None, None),
+        ("image", "", None, 0.9, None, "rId7"), ("figure", "Figure 3 : plan", None, 0.95, "3", "rId7"), ("figure", "seen from above", None, 0.8, None, "rId7"),
+        ("toc_entry", "CHAPITRE I : debut", 2, 0.95, None, None), ("caption", "Figure 4 : vue", None, 0.95, "4", None), ("heading", "Un titre", 1, 0.9, None, None), ("paragraph", "puce", None, 0.85, None, None),
+        ("paragraph", "ab ab ab ab", None, 0.85, None, None), ("paragraph", "ab ab ab", None, 0.6, None, None),
+    ]
+
+
+@pytest.mark.parametrize("name,level", [("TOC 3", 3), ("sommaire2", 2), ("Table of contents", 1), ("table des matières 1", 1), ("toc 0", 1), ("list paragraph", None), ("toc heading", None), (None, None)])
+def test_contents_styles(spark, name, level):
+    assert spark.createDataFrame([(name,)], "n string").select(S.contents_level(F.col("n"))).first()[0] == level
