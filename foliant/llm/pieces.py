@@ -22,11 +22,13 @@ unused pieces raises an error.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import re
+import string
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from operator import concat
 
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Stretches a worker remembers, and the characters of the longest one it remembers.
-CACHE_STRETCHES, CACHE_CHARS = 500_000, 48
+#: Stretches a worker remembers (twice as many at most), and the characters of the longest one it remembers.
+CACHE_STRETCHES, CACHE_CHARS = 300_000, 48
 #: Fixed values of the model file: the kinds of pieces and the merge type.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
@@ -92,11 +94,10 @@ class Codec:
         self.places = {t: places[scores[i]] for t, i in self.ids.items()}
         self.bytes_at = [i for i, k in enumerate(kinds) if k == BYTE]
         self.end = trainer.get(42, 2)
+        self.control = frozenset(i for i, k in enumerate(kinds) if k == CONTROL)
         #: Neighbouring characters inside pieces: no merge crosses a place where others meet.
         self.inner = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
-        self.cut = (lambda t: [t]) if any(pair[1] == BLANK != pair[0] for pair in self.inner) else re.compile(
-            f"{BLANK}*[^{BLANK}]+|{BLANK}+" if any("\n" in t for t in self.ids) else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+"
-        ).findall
+        self.cut = self.cutter()
         # Bytes of 128 and more are held as lone surrogates until the whole text is decoded.
         self.surface = [t.replace(BLANK, " ") if k == NORMAL else " ⁇ " if k == UNKNOWN else "" for t, k in zip(texts, kinds)]
         for byte, i in enumerate(self.bytes_at):
@@ -107,6 +108,16 @@ class Codec:
         self.fresh: dict[str, tuple[int, ...]] = {}
         self.wrong: set[str] = set()
 
+    def cutter(self) -> Callable[[str], list[str]]:
+        """Cuts a text before blanks, around line breaks and between letters and marks, as far as no piece goes across."""
+        if any(pair[1] == BLANK != pair[0] for pair in self.inner):
+            return lambda text: [text]
+        whole_lines = any("\n" in piece for piece in self.ids)
+        marks = "".join(m for m in string.punctuation if not any(a + m in self.inner for a in string.ascii_letters))
+        other = f"[^{BLANK}]" if whole_lines else f"[^{BLANK}\n]"
+        word = f"{other[:-1]}{re.escape(marks)}]++(?:(?<=[A-Za-z])|{other}*+)"
+        return re.compile(f"{BLANK}*+(?:{word}|{other}++)|{BLANK}++" + ("" if whole_lines else "|\n++")).findall
+
     def parts(self, stretch: str) -> list[str]:
         """The stretch cut wherever two characters meet that are neighbours in no piece."""
         if self.inner.issuperset(map(concat, stretch, stretch[1:])):
@@ -123,30 +134,36 @@ class Codec:
         n, place = len(stretch), self.places.get
         symbols: list[str | None] = list(stretch)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [*map(place, map(concat, stretch, stretch[1:])), None]  # place of the pair that begins at a symbol
-        agenda = [p * n + i for i, p in enumerate(pair) if p is not None]
+        # By symbol, the place of the pair that begins there and the symbol itself as one number, or None.
+        pair = [p if p is None else p * n + i for i, p in enumerate(map(place, map(concat, stretch, stretch[1:])))]
+        pair.append(None)
+        agenda = [p for p in pair if p is not None]
         heapq.heapify(agenda)
         push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            best, left = divmod(pop(agenda), n)
+            best = pop(agenda)
+            left = best % n
             if pair[left] != best:
                 continue
             right = after[left]
             symbols[left] = joined = symbols[left] + symbols[right]
             symbols[right] = pair[right] = None
             after[left] = stop = after[right]
+            p = None
             if stop < n:
                 before[stop] = left
-                pair[left] = p = place(joined + symbols[stop])
+                p = place(joined + symbols[stop])
                 if p is not None:
-                    push(agenda, p * n + left)
-            else:
-                pair[left] = None
+                    p = p * n + left
+                    push(agenda, p)
+            pair[left] = p
             prior = before[left]
             if prior >= 0:
-                pair[prior] = p = place(symbols[prior] + joined)
+                p = place(symbols[prior] + joined)
                 if p is not None:
-                    push(agenda, p * n + prior)
+                    p = p * n + prior
+                    push(agenda, p)
+                pair[prior] = p
         found: list[int] = []
         for symbol in symbols:
             if symbol is not None:
@@ -167,11 +184,15 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without control pieces and the blank before it; bytes that are no UTF-8 become U+FFFD each."""
-        kinds, parts, start = self.kinds, [], 0
-        for at, i in enumerate(ids):
-            if kinds[i] == CONTROL:  # bytes on both sides of it don't join
-                parts.append(self.whole(ids[start:at]))
-                start = at + 1
+        kinds = self.kinds
+        while ids and kinds[ids[-1]] == CONTROL:
+            ids = ids[:-1]
+        parts, start = [], 0
+        if not self.control.isdisjoint(ids):  # bytes on both sides of a control piece don't join
+            for at, i in enumerate(ids):
+                if kinds[i] == CONTROL:
+                    parts.append(self.whole(ids[start:at]))
+                    start = at + 1
         parts.append(self.whole(ids[start:]))
         first = next((i for i in ids if kinds[i] != CONTROL), None)
         text = "".join(parts)
@@ -190,24 +211,32 @@ codecs.register_error("each-byte", each_byte)
 
 
 class Stretches(dict):
-    """stretch -> its ids; fills itself and notes what has been merged in the codec's ``fresh``."""
+    """stretch -> its ids; fills itself and notes what has been merged in the codec's ``fresh``.
+
+    When it is full it begins anew and keeps the one before to look into: what is met often stays.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
-        parts = self.codec.parts(stretch)
-        if len(parts) > 1:
-            found = tuple(chain.from_iterable(map(self.__getitem__, parts)))
-        else:
-            found = self.codec.fresh[stretch] = self.codec.merge(stretch)
+        found = self.before.get(stretch) or self.found(stretch)
         if len(stretch) <= CACHE_CHARS:
             if len(self) >= CACHE_STRETCHES:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = found
         return found
 
+    def found(self, stretch: str) -> tuple[int, ...]:
+        parts = self.codec.parts(stretch)
+        if len(parts) > 1:
+            return tuple(chain.from_iterable(map(self.__getitem__, parts)))
+        found = self.codec.fresh[stretch] = self.codec.merge(stretch)
+        return found
+
 
 def unlike(library: sentencepiece.SentencePieceProcessor, fresh: dict[str, tuple[int, ...]]) -> set[str]:
     """Of stretches and their ids those for which the library gives other ids.
@@ -266,6 +295,7 @@ def encode_pieces(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, library = codec_of(shared.value)
+        gc.disable()  # nothing here refers to itself, and passes over the cache cost a tenth of the time
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in names[1:]}
             texts = [text or "" for text in batch.column(1).to_pylist()]
