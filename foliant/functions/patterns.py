@@ -87,7 +87,9 @@ def numbering_of(t: Column) -> Column:
     barred = (t == "") | (F.length(t) > MOST_HEADING)
     for prefix in NOT_HEADINGS:
         barred = barred | t.startswith(prefix + " ")
-    return F.when(~barred, found)
+    # One pattern for all: most texts have no number and go no further.
+    numbered = t.rlike("|".join(f"(?:{pattern})" for pattern, *_ in NUMBERINGS))
+    return F.when(~barred & numbered, found)
 
 
 def heading_number_sql(text: str, field: str) -> str:
