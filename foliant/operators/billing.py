@@ -36,7 +36,7 @@ def due_for_renewal(subscriptions: DataFrame, users: DataFrame, plans: DataFrame
     )
     return (
         due.join(users.select(F.col("id").alias("user_id"), "name"), "user_id", "left")
-        .join(F.broadcast(plans.select("plan_id", "slug")), "plan_id", "left")
+        .join(plans.select("plan_id", "slug"), "plan_id", "left")
         .select("id", "user_id", "name", "slug", "ends_at")
     )
 
@@ -50,7 +50,7 @@ def renewal_decision(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
         .when(F.coalesce("price_fcfa", F.lit(0)) <= 0, "free_plan")
         .otherwise("eligible")
     )
-    priced = F.broadcast(plans.select("plan_id", "price_fcfa"))
+    priced = plans.select("plan_id", "price_fcfa")
     return subscriptions.join(priced, "plan_id", "left").select("id", reason.alias("decision"))
 
 
@@ -66,7 +66,7 @@ def renewal_reminders(subscriptions: DataFrame, users: DataFrame, plans: DataFra
     due = subscriptions.where("status = 'active' and not reminded").where(F.to_date("ends_at") == day)
     return (
         due.join(users.select(F.col("id").alias("user_id"), "name"), "user_id")
-        .join(F.broadcast(plans.select("plan_id", F.col("name").alias("plan"))), "plan_id")
+        .join(plans.select("plan_id", F.col("name").alias("plan")), "plan_id")
         .select("id", "user_id", "name", "plan")
     )
 
@@ -75,7 +75,7 @@ def cancel_prorata(subscriptions: DataFrame, plans: DataFrame, now: str) -> Data
     """Refund of the remaining whole days, rounded; only for ends in the future; 30 days without a start."""
     total = F.greatest(F.lit(1).cast("long"), F.coalesce(elapsed_days(F.col("starts_at"), F.col("ends_at")), F.lit(30).cast("long")))
     left = elapsed_days(at(now), F.col("ends_at"))
-    rows = subscriptions.where(F.col("ends_at") > at(now)).join(F.broadcast(plans.select("plan_id", "price_fcfa")), "plan_id")
+    rows = subscriptions.where(F.col("ends_at") > at(now)).join(plans.select("plan_id", "price_fcfa"), "plan_id")
     rows = rows.select("id", "price_fcfa", total.alias("total_days"), left.alias("remaining_days"))
     return rows.select("id", "total_days", "remaining_days", F.expr("(2 * price_fcfa * remaining_days + total_days) div (2 * total_days)").alias("refund"))
 

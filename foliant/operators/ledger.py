@@ -97,9 +97,11 @@ def balances_after(replayed: DataFrame) -> DataFrame:
 def idempotent_credits(requests: DataFrame) -> DataFrame:
     """L3: credits by outcome: only the first with a reference counts; a blank reference or amount is refused."""
     valid = (F.coalesce("reference", F.lit("")) != "") & (F.col("amount") > 0)
-    first = Window.partitionBy("user_id", "reference", valid).orderBy("created_at", "id")
-    outcome = F.when(~valid, "refused").when(F.row_number().over(first) == 1, "credited").otherwise("already_processed")
-    return requests.where("kind = 'credit'").select("id", "user_id", "reference", "amount", outcome.alias("outcome"))
+    first = Window.partitionBy("user_id", "reference").orderBy("created_at", "id")
+    outcome = F.when(F.row_number().over(first) == 1, "credited").otherwise("already_processed")
+    rows, columns = requests.where("kind = 'credit'").withColumn("valid", F.coalesce(valid, F.lit(False))), ["id", "user_id", "reference", "amount"]
+    refused = rows.where("not valid").select(*columns, F.lit("refused").alias("outcome"))  # ranked by nobody
+    return rows.where("valid").select(*columns, outcome.alias("outcome")).unionByName(refused)
 
 
 def active_plan_per_user(users: DataFrame, subscriptions: DataFrame, plans: DataFrame, at: str) -> DataFrame:
@@ -109,7 +111,7 @@ def active_plan_per_user(users: DataFrame, subscriptions: DataFrame, plans: Data
         (F.col("starts_at").isNull() | (F.col("starts_at") <= when)) & (F.col("ends_at").isNull() | (F.col("ends_at") >= when))
     )
     latest = live.groupBy("user_id").agg(F.max_by("plan_id", F.struct("starts_at", "id")).alias("plan_id"))
-    named = latest.join(F.broadcast(plans.select("plan_id", "slug", "quota_deterministic", "quota_ai")), "plan_id", "left")
+    named = latest.join(plans.select("plan_id", "slug", "quota_deterministic", "quota_ai"), "plan_id", "left")
     joined = users.select(F.col("id").alias("user_id")).join(named.withColumn("subscribed", F.lit(True)), "user_id", "left")
     subscribed = F.coalesce("subscribed", F.lit(False))
     return joined.select(

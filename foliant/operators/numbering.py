@@ -189,10 +189,15 @@ def rewrite_refs(numbered: DataFrame, resolved: DataFrame) -> DataFrame:
 def low_confidence_report(resolved: DataFrame, below: float = 0.7, shown: int = 5) -> DataFrame:
     """Per document: references resolved with low confidence, the first of them, whether more follow, unresolved."""
     low = F.coalesce(F.col("confidence") < below, F.lit(False))
-    first = F.slice(F.array_sort(F.collect_list(F.when(low, F.struct("pos", "ref_no", "matched")))), 1, shown)
-    return resolved.groupBy("doc_id").agg(
+    counts = resolved.groupBy("doc_id").agg(
         F.count("*").alias("references"), F.count(F.when(low, 1)).alias("low"), F.count(F.when(F.col("target_id").isNull(), 1)).alias("unresolved"),
-        F.array_join(F.transform(first, lambda x: x["matched"]), "; ").alias("examples"), (F.count(F.when(low, 1)) > shown).alias("truncated"),
+    )
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "ref_no"))
+    shown_rows = resolved.where(low).withColumn("rank", rank).where(F.col("rank") <= shown)  # no more of a document are collected
+    first = shown_rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "matched"))).alias("first"))
+    return counts.join(first, "doc_id", "left").select(
+        "doc_id", "references", "low", "unresolved", F.coalesce(F.array_join(F.transform("first", lambda x: x["matched"]), "; "), F.lit("")).alias("examples"),
+        (F.col("low") > shown).alias("truncated"),
     )
 
 

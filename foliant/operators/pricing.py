@@ -41,7 +41,7 @@ def credits_of_units(units: Column) -> Column:
 
 def priced(calls: DataFrame, price_table: DataFrame) -> DataFrame:
     """Calls with the prices of their model (null where it has none); the price table is a few rows."""
-    return calls.join(F.broadcast(price_table), "model", "left")
+    return calls.join(price_table, "model", "left")
 
 
 def cost_usd(calls: DataFrame, price_table: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def routes(spark) -> DataFrame:
 
 def route_model(requests: DataFrame, route_table: DataFrame) -> DataFrame:
     """M4: requests (id, task, slug) with model and fallbacks (joined by ``|``): the plan's list, else the default's."""
-    own = F.broadcast(route_table.select("task", "slug", F.col("models").alias("own")))
-    base = F.broadcast(route_table.where("slug = 'default'").select("task", F.col("models").alias("base")))
+    own = route_table.select("task", "slug", F.col("models").alias("own"))
+    base = route_table.where("slug = 'default'").select("task", F.col("models").alias("base"))
     models = F.coalesce("own", "base")
     return (
         requests.join(own, ["task", "slug"], "left")
@@ -156,7 +156,7 @@ def price_in_currency(invoices: DataFrame, currency: Column) -> DataFrame:
         F.concat(whole(F.col("minor"), 100), F.lit("."), minor_part, F.lit(" "), F.col("currency"))
     )
     return (
-        rows.join(F.broadcast(table), "currency")
+        rows.join(table, "currency")
         .withColumn("minor", minor)
         .select("id", "currency", "minor", label.alias("label"))
     )
