@@ -76,10 +76,10 @@ QUERIES = {
     "G11_profitability": lambda s, d: usage.profitability(fx.invoices(s, d), ledger(s, d), "2001-08-01", 365),
     "G12_lifetime_totals": lambda s, d: usage.lifetime_totals(fx.invoices(s, d), ledger(s, d), fx.users(s, d), fx.documents_ops(s, d)),
     "G13_billing_report": lambda s, d: usage.billing_report(ledger(s, d), *SPAN),
-    "G14_cost_audit": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s), 5000),
+    "G14_cost_audit": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s)),
     "G14_cost_audit_all": lambda s, d: usage.cost_audit(ledger(s, d), fx.prices(s)),
     "G14_cost_audit_all_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s)),
-    "G14_cost_audit_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s), 5000),
+    "G14_cost_audit_examples": lambda s, d: usage.cost_audit_examples(ledger(s, d), fx.prices(s)),
     "G15_cost_per_million_tokens": lambda s, d: usage.cost_per_million_tokens(ledger(s, d)),
     "G16_multi_turn_cost": lambda s, d: usage.multi_turn_cost(ledger(s, d)),
     "G16_turn_costs": lambda s, d: usage.turn_costs(sessions_of_ten(s, d)),
@@ -180,14 +180,6 @@ ORACLE_SQL = {
       coalesce(sum(cost_credits) filter (where not succeeded), 0)::bigint as leak_credits from usage_ledger where {WHERE})
       select attempts, failures, {pct('failures', 'attempts')} as failure_rate, fallbacks, estimated, tokens, micro / 1000000 as usd, credits, leak_credits,
       {pct('leak_credits', 'credits')} as leak_rate, {CREDITS_SQL.format(u='(micro * 10000)')}::bigint as theoretical_credits, 1.84::double as coefficient from g"""),
-    "G14_cost_audit": with_views("usage_ledger", f"""with n as (select l.*, {CREDITS_SQL.format(u=CU)} as expected from
-      (select * from usage_ledger order by id desc limit 5000) l left join prices using (model)),
-      s as (select count(*) filter (where not estimated) as checked, count(*) filter (where not estimated and expected = cost_credits) as consistent,
-      count(*) filter (where not estimated and expected <> cost_credits) as mismatches, count(*) filter (where estimated) as estimated from n)
-      select *, case when checked > 0 then floor((consistent * 20000 + checked)::double / (checked * 2)) / 10000 else 1.0 end as rate from s"""),
-    "G14_cost_audit_examples": with_views("usage_ledger", f"""select id, model, cost_credits as stored, ({CREDITS_SQL.format(u=CU)})::bigint as expected from
-      (select * from usage_ledger order by id desc limit 5000) l left join prices using (model)
-      where not estimated and {CREDITS_SQL.format(u=CU)} <> cost_credits order by id desc limit 5"""),
     "G14_cost_audit_all": with_views("usage_ledger", f"""with n as (select l.*, {CREDITS_SQL.format(u=CU)} as expected from
       usage_ledger l left join prices using (model)),
       s as (select count(*) filter (where not estimated) as checked, count(*) filter (where not estimated and expected = cost_credits) as consistent,
@@ -236,3 +228,6 @@ ORACLE_SQL = {
     "M11_to_xof": with_views("invoices", "select id, (amount * 655957 + 500) // 1000 as xof from invoices"),
     "M13_invoice_label": with_views("invoices", "select id, label from (" + label_sql("'EUR'") + ")"),
 }
+
+# The audit of all rows under both names.
+ORACLE_SQL |= {name: ORACLE_SQL[f"{name.replace('audit', 'audit_all')}"] for name in ("G14_cost_audit", "G14_cost_audit_examples")}
