@@ -268,6 +268,12 @@ def compared_with(tried: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """Of pairs (pivot, entry): linked, size, both, reach, and what only the entry (extra) or the pivot (missing) has.
 
     ``reach`` is the largest set that shares nothing with the entry but what the pivot has, and may be similar to it.
+
+    Of both differences only as many of the first are kept as a similar text can lack, and one more. Sets are in one
+    order, so these hold the first that two similar texts differ in together: at most (1 - s) of a text's shingles are
+    not in a text of similarity s, so if the first that both have and the pivot hasn't stood further back, too many
+    before it would be missing from the other. In the same way a similar text has at most 1/s - 1 times as many shingles
+    that the text itself lacks.
     """
     one = sets.select(F.col("entry").alias("pivot"), F.col("hashes").alias("of_pivot"))
     rows = tried.join(one, "pivot").join(sets, "entry").select(
@@ -275,9 +281,13 @@ def compared_with(tried: DataFrame, sets: DataFrame, similarity: float) -> DataF
         F.array_except("hashes", "of_pivot").alias("extra"), F.array_except("of_pivot", "hashes").alias("missing"),
     ).withColumn("both", F.col("size") - F.size("extra"))
     union = F.col("whole") + F.size("extra")
+
+    def first(shingles: str, share: float) -> Column:
+        return F.slice(shingles, 1, F.floor(F.col("size") * F.lit(share) + F.lit(1e-6)).cast("int") + 1).alias(shingles)
+
     return rows.select(
-        "pivot", "entry", "size", "both", "extra", "missing", (F.col("both") / union >= similarity).alias("linked"),
-        (F.col("both") * F.lit(1 + 1 / similarity) - F.col("size")).alias("reach"),
+        "pivot", "entry", "size", "both", first("extra", 1 - similarity), first("missing", 1 / similarity - 1),
+        (F.col("both") / union >= similarity).alias("linked"), (F.col("both") * F.lit(1 + 1 / similarity) - F.col("size")).alias("reach"),
     )
 
 
@@ -287,7 +297,7 @@ def dealt_by_difference(compared: DataFrame) -> DataFrame:
     Let x be unlike the pivot and similar to y. If x and y share nothing that the pivot lacks, their common part lies in
     that of x and the pivot, so y must be no larger than x's reach; and if they lack nothing together either, they are
     no more alike than x and the pivot. So they share a shingle that the pivot lacks, or lack one together and y is
-    small enough. Only groups with such an x and another member stay.
+    small enough. Only groups with such an x and another member stay, and of those with the same members one.
     """
     bounds = compared.groupBy("pivot").agg(F.min("size").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most"))
     rows = compared.join(bounds, "pivot")
@@ -296,8 +306,11 @@ def dealt_by_difference(compared: DataFrame) -> DataFrame:
     shared = rows.select(*about, F.lit(False).alias("lacks"), F.explode("extra").alias("shingle"))
     shared = shared.unionByName(rows.where(small).select(*about, F.lit(True).alias("lacks"), F.explode("missing").alias("shingle")))
     named = shared.withColumn("grp", F.xxhash64("pivot", "shingle", F.col("lacks").cast("int")))
-    heads = named.groupBy("grp").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("open")).where("n > 1 and open")
-    return named.join(heads.select("grp", "n"), "grp").drop("pivot", "shingle")
+    heads = named.groupBy("grp", "pivot", "lacks").agg(
+        F.count("*").alias("n"), F.max(~F.col("linked")).alias("open"), F.bit_xor(F.xxhash64("entry")).alias("members")
+    ).where("n > 1 and open")
+    once = heads.groupBy("pivot", "lacks", "n", "members").agg(F.min("grp").alias("grp"))
+    return named.join(once.select("grp", "n"), "grp").drop("pivot", "shingle")
 
 
 def similar_links(
@@ -311,7 +324,7 @@ def similar_links(
     compared in pairs, larger ones get a pivot again, and after ``rounds`` of this all that are left are compared. So
     neither a crowd around one text nor one around a common passage costs its pairs, and no link is lost.
     """
-    index = materialize(entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry"), "near-index")
+    index = entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry")
     shared = index.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(index.join(shared, "grp"), "near-members")
     known = members.groupBy("entry").agg(F.sum("n").alias("degree"))
@@ -334,7 +347,9 @@ def similar_links(
         cold = dealt.where(F.col("n") <= group_most) if left else dealt
         a, b = (cold.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "linked", "size", "both", "lacks")]) for x in "ab")
         once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
-        room = (F.least("both_a", "both_b") * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")) | ~F.col("lacks_a")
+        # What two texts can have in common: of the pivot's shingles, and of others unless they only lack one together.
+        others = F.when(F.col("lacks_a"), 0).otherwise(F.least(F.col("size_a") - F.col("both_a"), F.col("size_b") - F.col("both_b")))
+        room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")
         pairs = a.where("not linked_a").join(b, "grp").where((F.col("entry_a") != F.col("entry_b")) & once & room)
         pairs = pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b")).distinct()
         found.append(similar(close(pairs), sets, similarity))
