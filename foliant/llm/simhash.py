@@ -331,11 +331,6 @@ def similar_links(
     known = materialize(entries.join(known, "entry"), "near-known")
     sets = materialize(sets_of(docs, known.select(F.col("first").alias("doc_id"), "entry"), shingle), "near-sets")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        one, two = (known.select(F.col("entry").alias(x), F.col("sketch").alias("of_" + x)) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b").where(lanes_apart(F.col("of_a"), F.col("of_b")) <= MOST_LANES)
-        return materialize(near.select("a", "b"), "near-pairs")
-
     groups, found = members.select("grp", "entry"), []
     for left in range(rounds - 1, -1, -1):
         ranked = groups.join(known.select("entry", "degree"), "entry")
@@ -344,15 +339,16 @@ def similar_links(
         compared = materialize(compared_with(materialize(tried, "near-tried"), sets, similarity), "near-compared")
         found.append(compared.where("linked").select(F.least("pivot", "entry").alias("a"), F.greatest("pivot", "entry").alias("b")))
         dealt = materialize(dealt_by_difference(compared), "near-dealt")
-        cold = dealt.where(F.col("n") <= group_most) if left else dealt
-        a, b = (cold.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "linked", "size", "both", "lacks")]) for x in "ab")
+        cold = (dealt.where(F.col("n") <= group_most) if left else dealt).join(known.select("entry", "sketch"), "entry")
+        a, b = (cold.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "linked", "size", "both", "lacks", "sketch")]) for x in "ab")
         once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
         # What two texts can have in common: of the pivot's shingles, and of others unless they only lack one together.
         others = F.when(F.col("lacks_a"), 0).otherwise(F.least(F.col("size_a") - F.col("both_a"), F.col("size_b") - F.col("both_b")))
         room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")
-        pairs = a.where("not linked_a").join(b, "grp").where((F.col("entry_a") != F.col("entry_b")) & once & room)
+        close = lanes_apart(F.col("sketch_a"), F.col("sketch_b")) <= MOST_LANES
+        pairs = a.where("not linked_a").join(b, "grp").where((F.col("entry_a") != F.col("entry_b")) & once & room & close)
         pairs = pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b")).distinct()
-        found.append(similar(close(pairs), sets, similarity))
+        found.append(similar(materialize(pairs, "near-pairs"), sets, similarity))
         groups = dealt.where(F.col("n") > group_most).select("grp", "entry")
         if groups.isEmpty():
             break
