@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,21 +150,26 @@ def quota_admission(uses: DataFrame, user_plans: DataFrame) -> DataFrame:
     )
 
 
-def fold_quota(rows: pd.DataFrame, month: str | None = None, used: int = 0) -> pd.DataFrame:
-    """Uses and refunds of one user and kind in order; a new month starts at 0, a refund never goes below."""
-    outcomes, counts, months = [], [], []
-    for event, m, quota in zip(rows["event"], rows["month"], rows["quota"]):
+def count_quota(events: list, months: list, quotas: list, month: str | None = None, used: int = 0) -> tuple[list, list, tuple]:
+    """Outcomes and counters of one user's uses and refunds of a kind, and the month and counter they end with."""
+    outcomes, counts = [], []
+    for event, m, quota in zip(events, months, quotas):
         if m != month:
             month, used = m, 0
         if event == "refund":
             used, outcome = max(0, used - 1), "refunded"
-        elif pd.notna(quota) and used >= quota:
+        elif quota is not None and quota == quota and used >= quota:  # a quota that isn't equal to itself is none
             outcome = "quota_exhausted"
         else:
             used, outcome = used + 1, "accepted"
         outcomes.append(outcome)
         counts.append(used)
-        months.append(month)
+    return outcomes, counts, (month, used)
+
+
+def fold_quota(rows: pd.DataFrame, month: str | None = None, used: int = 0) -> pd.DataFrame:
+    """Uses and refunds of one user and kind in order; a new month starts at 0, a refund never goes below."""
+    outcomes, counts, _ = count_quota(list(rows["event"]), list(rows["month"]), list(rows["quota"]), month, used)
     return rows.assign(outcome=outcomes, used=counts)
 
 
@@ -175,7 +181,7 @@ UNBOUNDED = 1 << 60
 STEPS = "user_id long, kind string, month string, chunk long, add long, low long, high long"
 
 
-def step_of(rows: pd.DataFrame, step: tuple[int, int, int] = (0, 0, UNBOUNDED)) -> tuple[int, int, int]:
+def step_of(rows: pd.DataFrame | dict[str, list], step: tuple[int, int, int] = (0, 0, UNBOUNDED)) -> tuple[int, int, int]:
     """What uses and refunds in order make of a counter x: min(max(x + add, low), high), as (add, low, high).
 
     A use is min(x + 1, quota) and a refund max(x - 1, 0); put after such a step, each gives such a step again.
@@ -190,6 +196,17 @@ def step_of(rows: pd.DataFrame, step: tuple[int, int, int] = (0, 0, UNBOUNDED))
     return add, low, high
 
 
+def spans(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """The stretches of a sorted batch with the same keys (none of them null), each as key, begin and end."""
+    new = np.ones(len(batch), dtype=bool)
+    columns = [batch[k].to_numpy() for k in keys]
+    if len(batch):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begins = np.flatnonzero(new)
+    heads = zip(*[c[begins].tolist() for c in columns])
+    return zip(heads, begins.tolist(), [*begins[1:].tolist(), len(batch)])
+
+
 def quota_with_refunds(events: DataFrame, user_plans: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Uses and refunds (column ``event``) in order: refunds make room, so no row number can say it.
 
@@ -206,14 +223,18 @@ def quota_with_refunds(events: DataFrame, user_plans: DataFrame, chunk_seconds:
     def in_chunks(df: DataFrame) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys, "created_at", "id")
 
+    # Most stretches are a row or two, so rows go through as lists, not as a frame for each stretch.
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, step = None, None
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
+            event, quota, done = batch["event"].tolist(), batch["quota"].tolist(), []
+            for key, begin, end in spans(batch, keys):
                 if key != last and last is not None:
-                    yield pd.DataFrame([(*last, *step)], columns=[*keys, "add", "low", "high"])
+                    done.append((*last, *step))
+                part = {"event": event[begin:end], "quota": quota[begin:end]}
                 step = step_of(part, step) if key == last else step_of(part)
                 last = key
+            yield pd.DataFrame(done, columns=[*keys, "add", "low", "high"])
         if last is not None:
             yield pd.DataFrame([(*last, *step)], columns=[*keys, "add", "low", "high"])
 
@@ -229,9 +250,14 @@ def quota_with_refunds(events: DataFrame, user_plans: DataFrame, chunk_seconds:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, used = None, 0
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                out = fold_quota(part.assign(month=part["of_month"]), key[2], used if key == last else int(part["start"].iloc[0]))
-                last, used = key, int(out["used"].iloc[-1])
-                yield out.assign(month=part["month"])[["id", "user_id", "kind", "event", "month", "outcome", "used"]]
+            columns = [batch[c].tolist() for c in ("event", "of_month", "quota", "start")]
+            outcome, counts = [], []
+            for key, begin, end in spans(batch, keys):
+                event, month, quota, start = (c[begin:end] for c in columns)
+                outcomes, used_after, (_, now) = count_quota(event, month, quota, key[2], used if key == last else start[0])
+                outcome += outcomes
+                counts += used_after
+                last, used = key, now
+            yield batch.assign(outcome=outcome, used=counts)[["id", "user_id", "kind", "event", "month", "outcome", "used"]]
 
     return in_chunks(rows.join(starts, keys)).drop("created_at").mapInPandas(run, QUOTED)

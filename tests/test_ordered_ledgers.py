@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -94,3 +95,15 @@ def test_plans_of_turn_costs_have_no_window_over_all_rows(spark):
     table = spark.createDataFrame([], "id long, session_id long, created_at timestamp, cost_micro long")
     plan = usage.turn_costs(table.where(F.col("id") >= 0))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_quotas_of_many_short_chunks_take_seconds(spark):
+    table = spark.range(40_000).selectExpr(
+        "id", "1 + id % 7 as user_id", "if(id % 2 = 0, 'deterministic', 'ai') as kind", "if(id % 10 = 3, 'refund', 'use') as event",
+        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60) as created_at")
+    plans = spark.createDataFrame([(u, "a", 50 * u, None) for u in range(1, 8)], PLANS)
+    began = time.time()
+    got = ledger.quota_with_refunds(table, plans, 600).select("id", "month", "outcome", "used").collect()
+    assert time.time() - began < 30  # a frame a chunk took several times that
+    quotas = {(u, k): 50 * u if k == "deterministic" else None for u in range(1, 8) for k in ("deterministic", "ai")}
+    assert {r["id"]: tuple(r)[1:] for r in got} == counted([tuple(r) for r in table.select("id", "user_id", "kind", "event", "created_at").collect()], quotas)
