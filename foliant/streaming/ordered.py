@@ -1,10 +1,11 @@
 """Streams whose rows must be taken in order of event time: rows wait in state until the watermark has passed them.
 
-A key's waiting rows lie in a map state by step of event time. A timer at the end of a step takes the rows of all steps
-that the watermark has passed, in order of (created_at, id), and folds them into the key's state. So results depend on
-neither the files nor the triggers the rows came in, as long as they come within the watermark's delay; a row of a step
-that has been folded already comes out with the outcome ``late`` and changes nothing. Only one step of a key is in memory
-at a time.
+A key's waiting rows lie in a map state: up to ``TOGETHER`` of them in one entry, more by step of event time. A timer at
+the end of a step takes the rows of all steps that the watermark has passed, in order of (created_at, id), and folds them
+into the key's state. So results depend on neither the files nor the triggers the rows came in, as long as they come within
+the watermark's delay; a row of a step that has been folded already comes out with the outcome ``late`` and changes
+nothing. Most keys have few rows and cost a few calls of the state store however many steps those are in; of a key with
+many rows only a step's, and up to twice ``TOGETHER`` more, are in memory at a time.
 
 Finite input ends with a clock: a source of its own whose one row, added when all else has been read, moves the watermark
 past everything (``Clock``).
@@ -26,6 +27,9 @@ from foliant.session import shared_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 END_OF_TIME = "9000-01-01 00:00:00"
+#: Rows of a key that wait in one entry of its map, whatever their steps, and the key of that entry.
+TOGETHER = 2000
+LOOSE = (-(1 << 62),)
 #: Rows before and after the fold: what waits, and what comes out, with (created_at, id) and the key beside it.
 Fold = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
@@ -62,35 +66,74 @@ class InOrder(StatefulProcessor):
     def of_key(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return rows.assign(**dict(zip(self.keys, key)))[self.out]
 
+    def step_of(self, row: tuple) -> int:
+        return row[0] // (1000 * self.step_ms)
+
+    def waits(self, at: tuple) -> list[tuple]:
+        found = self.waiting.getValue(at)  # None where there is no entry
+        return [tuple(r) for r in found[0]] if found else []
+
+    def by_step(self, rows: list[tuple]) -> dict[int, list[tuple]]:
+        found: dict[int, list[tuple]] = {}
+        for row in rows:
+            found.setdefault(self.step_of(row), []).append(row)
+        return found
+
+    def call_at_end_of(self, step: int) -> None:
+        self.handle.registerTimer((step + 1) * self.step_ms)
+
+    def let_wait(self, fresh: list[tuple]) -> None:
+        """Puts rows to those that wait; the earliest step of a key's loose rows has a timer, and each step of its own entry."""
+        rows = self.waits(LOOSE) + fresh
+        if len(rows) <= TOGETHER:
+            self.waiting.updateValue(LOOSE, (rows,))
+            self.call_at_end_of(min(map(self.step_of, fresh)))
+            return
+        for step, part in self.by_step(rows).items():
+            self.waiting.updateValue((step,), (self.waits((step,)) + part,))
+            self.call_at_end_of(step)
+        self.waiting.removeKey(LOOSE)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        folded = self.kept.get()[-1] if self.kept.exists() else None
+        kept = self.kept.get()
+        folded = kept[-1] if kept else None
         for batch in rows:
             steps = batch["created_us"] // (1000 * self.step_ms)
             if folded is not None and (steps <= folded).any():
                 late = batch[steps <= folded]
                 yield self.of_key(key, late.reindex(columns=[*late.columns, *[c for c in self.out if c not in late]]).assign(outcome="late"))
-            for step, part in batch.groupby(steps):
-                if folded is None or step > folded:
-                    at = (int(step),)
-                    before = [tuple(r) for r in self.waiting.getValue(at)[0]] if self.waiting.containsKey(at) else []
-                    fresh = list(part[self.columns].astype(object).itertuples(index=False, name=None))
-                    fresh = [tuple(None if pd.isna(x) else plain(x) for x, plain in zip(r, self.plain)) for r in fresh]
-                    self.waiting.updateValue(at, ([*before, *fresh],))
-                    self.handle.registerTimer((int(step) + 1) * self.step_ms)
+                batch = batch[steps > folded]
+            columns = [[None if x is None or x != x else plain(x) for x in batch[c].tolist()] for c, plain in zip(self.columns, self.plain)]
+            if len(batch):
+                self.let_wait(list(zip(*columns)))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.waiting.containsKey((expiredTimerInfo.getExpiryTimeInMs() // self.step_ms - 1,)):
-            return  # taken by an earlier timer of this trigger
+        kept = self.kept.get()
+        if kept is not None and kept[-1] >= expiredTimerInfo.getExpiryTimeInMs() // self.step_ms - 1:
+            return  # taken by an earlier timer
         passed = timerValues.getCurrentWatermarkInMs() // self.step_ms
-        kept = self.kept.get() if self.kept.exists() else None
-        for (step,) in sorted(tuple(k) for k in self.waiting.keys()):  # noqa: SIM118
-            if step < passed:
-                rows = sorted((tuple(r) for r in self.waiting.getValue((step,))[0]), key=lambda r: r[:2])
+        loose = self.by_step(self.waits(LOOSE))
+        own = {k[0] for k in self.waiting.keys()} - {LOOSE[0]}  # noqa: SIM118
+        state, rows, last = tuple(kept)[:-1] if kept else None, [], None
+        steps = sorted(s for s in {*loose, *own} if s < passed)
+        for step in steps:
+            more = loose.pop(step, [])
+            if step in own:
+                more += self.waits((step,))
                 self.waiting.removeKey((step,))
-                done, state = self.fold(pd.DataFrame(rows, columns=self.columns), tuple(kept)[:-1] if kept else None)
-                kept = (*state, step)
+            rows, last = rows + sorted(more, key=lambda r: r[:2]), step
+            if len(rows) >= TOGETHER or step == steps[-1]:
+                done, state = self.fold(pd.DataFrame(rows, columns=self.columns), state)
+                rows = []
                 yield self.of_key(key, done)
-        self.kept.update(kept)
+        if last is None:
+            return
+        self.kept.update((*state, last))
+        if loose:
+            self.waiting.updateValue(LOOSE, ([r for part in loose.values() for r in part],))
+            self.call_at_end_of(min(loose))
+        elif self.waiting.containsKey(LOOSE):
+            self.waiting.removeKey(LOOSE)
 
     def close(self) -> None:
         pass

@@ -7,8 +7,10 @@ import time
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.operators import ledger, usage
+from foliant.streaming import ordered as O
 
 START = dt.datetime(2024, 1, 30)
 USES = "id long, user_id long, kind string, event string, created_at timestamp"
@@ -107,3 +109,91 @@ def test_quotas_of_many_short_chunks_take_seconds(spark):
     assert time.time() - began < 30  # a frame a chunk took several times that
     quotas = {(u, k): 50 * u if k == "deterministic" else None for u in range(1, 8) for k in ("deterministic", "ai")}
     assert {r["id"]: tuple(r)[1:] for r in got} == counted([tuple(r) for r in table.select("id", "user_id", "kind", "event", "created_at").collect()], quotas)
+
+
+class Store:
+    """The state of one key, with the number of calls."""
+
+    def __init__(self):
+        self.entries, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        store, state = self, type("Value", (), {})()
+        state.exists = lambda: store.count(store.value is not None)
+        state.get = lambda: store.count(store.value)
+        state.update = lambda v: store.count(setattr(store, "value", v))
+        return state
+
+    def count(self, result):
+        self.calls += 1
+        return result
+
+    def getValue(self, k):  # noqa: N802
+        return self.count(self.entries.get(k))
+
+    def containsKey(self, k):  # noqa: N802
+        return self.count(k in self.entries)
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.count(self.entries.update({k: v}))
+
+    def removeKey(self, k):  # noqa: N802
+        self.count(self.entries.pop(k, None))
+
+    def keys(self):
+        return self.count(list(self.entries))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.count(self.timers.add(at))
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+HOUR = 3_600_000
+
+
+def folded(triggers, store):
+    """What comes out of one user's rows (created_us, id, kind, amount), a watermark in ms after each trigger."""
+    row = T.StructType([T.StructField(n, t) for n, t in (("created_us", T.LongType()), ("id", T.LongType()), ("kind", T.StringType()), ("amount", T.LongType()))])
+    kept = T.StructType([T.StructField("balance", T.LongType())])
+    fold = O.InOrder(["user_id"], row, kept, ["id", "user_id", "kind", "amount", "outcome", "balance_after"], O.balance_fold, HOUR)
+    fold.init(store)
+    out = []
+    for rows, watermark in triggers:
+        if rows:
+            out += fold.handleInputRows((1,), iter([pd.DataFrame(rows, columns=row.names)]), At(watermark))
+        for at in sorted(t for t in store.timers if t <= watermark):
+            store.timers.discard(at)
+            out += fold.handleExpiredTimer((1,), At(watermark), At(at))
+    return [tuple(r) for frame in out for r in frame[["id", "outcome", "balance_after"]].itertuples(index=False)]
+
+
+def hourly(n, seed=5):
+    rnd = random.Random(seed)
+    return [(k * HOUR * 1000 + rnd.randrange(1000), k, rnd.choice(["credit", "debit"]), rnd.randrange(30)) for k in range(n)]
+
+
+def test_a_key_in_many_steps_costs_few_calls_of_the_state():
+    store = Store()
+    assert len(folded([(hourly(100), 1000 * HOUR)], store)) == 100
+    assert store.calls < 20 and not store.entries and not store.timers
+
+
+@pytest.mark.parametrize("together", [1, 7, 2000])
+def test_rows_wait_together_or_by_step(monkeypatch, together):
+    monkeypatch.setattr(O, "TOGETHER", together)
+    rows, rnd = hourly(90), random.Random(together)
+    mixed = [rows[k : k + 30] for k in (0, 30, 60)]
+    mixed[0], mixed[1] = mixed[0][:20] + mixed[1][:10], mixed[0][20:] + mixed[1][10:]
+    for part in mixed:
+        rnd.shuffle(part)
+    store = Store()
+    got = folded([(mixed[0], 15 * HOUR), ([], 18 * HOUR), (mixed[1], 20 * HOUR), (mixed[2], 50 * HOUR), ([], 1000 * HOUR)], store)
+    outcomes, balances = ledger.replay_user(pd.DataFrame(rows, columns=["at", "id", "kind", "amount"]))[["outcome", "balance_after"]].T.values.tolist()
+    assert got == list(zip(range(90), outcomes, balances)) and not store.entries
