@@ -47,10 +47,22 @@ def balance_audit(transactions: DataFrame, stored: Column) -> DataFrame:
     )
 
 
-def replay_user(rows: pd.DataFrame, balance: int = 0) -> pd.DataFrame:
-    """Requests of one user in order: amounts that aren't positive and debits beyond the balance have no effect."""
+def spans(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """The stretches of a sorted batch with the same keys, each as key, begin and end; a row whose key is
+    missing (not equal to itself) is a stretch of its own."""
+    new = np.ones(len(batch), dtype=bool)
+    columns = [batch[k].to_numpy() for k in keys]
+    if len(batch):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begins = np.flatnonzero(new)
+    heads = zip(*[c[begins].tolist() for c in columns])
+    return zip(heads, begins.tolist(), [*begins[1:].tolist(), len(batch)])
+
+
+def replay(kinds: list, amounts: list, balance: int = 0) -> tuple[list, list]:
+    """Outcomes and balances of one user's requests in order."""
     outcomes, balances = [], []
-    for kind, amount in zip(rows["kind"], rows["amount"]):
+    for kind, amount in zip(kinds, amounts):
         if amount <= 0:
             outcome = "invalid_amount"
         elif kind == "debit" and amount > balance:
@@ -60,6 +72,12 @@ def replay_user(rows: pd.DataFrame, balance: int = 0) -> pd.DataFrame:
             balance += amount if kind == "credit" else -amount
         outcomes.append(outcome)
         balances.append(balance)
+    return outcomes, balances
+
+
+def replay_user(rows: pd.DataFrame, balance: int = 0) -> pd.DataFrame:
+    """Requests of one user in order: amounts that aren't positive and debits beyond the balance have no effect."""
+    outcomes, balances = replay(rows["kind"].tolist(), rows["amount"].tolist(), balance)
     return rows.assign(outcome=outcomes, balance_after=balances)
 
 
@@ -75,11 +93,14 @@ def replay_requests(requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, balance = object(), 0
         for batch in batches:
-            for key, rows in batch.groupby("user_id", sort=False, dropna=False):
-                key = None if pd.isna(key) else key
-                out = replay_user(rows, balance if key == user else 0)
-                user, balance = key, int(out["balance_after"].iloc[-1])
-                yield out[["id", "user_id", "kind", "amount", "outcome", "balance_after"]]
+            kinds, amounts, outcomes, balances = batch["kind"].tolist(), batch["amount"].tolist(), [], []
+            for (key,), begin, end in spans(batch, ["user_id"]):
+                key = None if pd.isna(key) else key  # rows without a user come one by one and go on as one user
+                done, after = replay(kinds[begin:end], amounts[begin:end], balance if key == user else 0)
+                user, balance = key, after[-1]
+                outcomes += done
+                balances += after
+            yield batch.assign(outcome=outcomes, balance_after=balances)[["id", "user_id", "kind", "amount", "outcome", "balance_after"]]
 
     ordered = requests.select("id", "user_id", "kind", "amount", "created_at").repartition("user_id")
     return ordered.sortWithinPartitions("user_id", "created_at", "id").drop("created_at").mapInPandas(run, REPLAYED)
@@ -196,17 +217,6 @@ def step_of(rows: pd.DataFrame | dict[str, list], step: tuple[int, int, int] = (
     return add, low, high
 
 
-def spans(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
-    """The stretches of a sorted batch with the same keys (none of them null), each as key, begin and end."""
-    new = np.ones(len(batch), dtype=bool)
-    columns = [batch[k].to_numpy() for k in keys]
-    if len(batch):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    begins = np.flatnonzero(new)
-    heads = zip(*[c[begins].tolist() for c in columns])
-    return zip(heads, begins.tolist(), [*begins[1:].tolist(), len(batch)])
-
-
 def quota_with_refunds(events: DataFrame, user_plans: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Uses and refunds (column ``event``) in order: refunds make room, so no row number can say it.
 
