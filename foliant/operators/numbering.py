@@ -5,6 +5,9 @@ Blocks here: doc_id, pos, block_id, type, text, category (of captions and carrie
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -285,33 +288,73 @@ def figure_plan(blocks: DataFrame, links: DataFrame) -> DataFrame:
 GRAM = 8
 
 
+def pieces_of(text: str, size: int) -> set[str]:
+    return {text[i : i + size] for i in range(len(text) - size + 1)}
+
+
+def sought(keys: list[str]) -> dict[int, dict[str, list[str]]]:
+    """For each size of pieces the texts by their rarest piece among these texts (all of a text, if it is shorter)."""
+    counts: dict[str, int] = {}
+    for key in keys:
+        for piece in pieces_of(key, min(GRAM, len(key))):
+            counts[piece] = counts.get(piece, 0) + 1
+    found: dict[int, dict[str, list[str]]] = {}
+    for key in keys:
+        size = min(GRAM, len(key))
+        rarest = min(pieces_of(key, size), key=lambda piece: (counts[piece], piece))
+        found.setdefault(size, {}).setdefault(rarest, []).append(key)
+    return found
+
+
+def found_inside(holder: str, wanted: dict[int, dict[str, list[str]]]) -> list[str]:
+    """The texts that ``holder`` contains, taken out of ``wanted``."""
+    found = []
+    for size, by_piece in wanted.items():
+        for piece in by_piece.keys() & pieces_of(holder, size):
+            inside = {key for key in by_piece[piece] if key in holder}
+            if inside:
+                found += inside
+                by_piece[piece] = [key for key in by_piece[piece] if key not in inside]
+                if not by_piece[piece]:
+                    del by_piece[piece]
+    return found
+
+
+def first_holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, ord, page, key, is_spot) sorted by document, texts sought (by key) before positions (by ord): the page
+    of the first position that contains each text, for those that have one."""
+    doc, keys, wanted = object(), [], None
+    for batch in batches:
+        out = []
+        for d, page, key, is_spot in zip(*[batch[c].tolist() for c in ("doc_id", "page", "key", "is_spot")]):
+            if d != doc:
+                doc, keys, wanted = d, [], None
+            if not is_spot:
+                keys.append(key)
+            elif keys:
+                wanted = sought(keys) if wanted is None else wanted
+                out += [(d, k, page) for k in found_inside(key, wanted)]
+        yield pd.DataFrame(out, columns=["doc_id", "key", "inside_page"])
+
+
 def page_lookup(blocks: DataFrame, positions: DataFrame) -> DataFrame:
     """Page of each block with text: of the first position (doc_id, ord, page, text) with the same normalised text,
     else of the first that contains it.
 
-    A text that no position equals is looked for only in positions that hold its rarest piece: texts are cut into pieces
-    of eight characters (one of all its characters, if it is shorter), and positions are indexed by the pieces at each of
-    their places. So a miss costs as many comparisons as there are positions with that piece, not all of its document.
+    The texts of a document that no position equals come before its positions in one sorted stream and are looked for by
+    their rarest piece of eight characters: a position costs its length, and a text as many comparisons as there are
+    positions with that piece, not all of its document. Positions are shuffled once, as they are; of a document only the
+    texts sought have to fit in memory.
     """
     norm = lambda c: F.lower(P.trimmed(F.regexp_replace(c, r"\s+", " ")))
     rows = blocks.select("doc_id", "pos", norm(F.col("text")).alias("key")).where("key <> ''")
     spots = positions.select("doc_id", "ord", "page", norm(F.col("text")).alias("key")).where("key <> ''")
     same = spots.groupBy("doc_id", "key").agg(F.min_by("page", "ord").alias("same_page"))
     exact = materialize(rows.join(same, ["doc_id", "key"], "left"), "pages-exact")
-    misses = exact.where("same_page is null").select("doc_id", "key").distinct().withColumn("size", F.least(F.length("key"), F.lit(GRAM)))
-    ends = F.sequence(F.lit(1), F.length("key") - F.col("size") + 1, F.col("size"))
-    cut = misses.select("doc_id", "key", "size", F.explode(F.transform(ends, lambda at: F.col("key").substr(at, F.col("size")))).alias("gram"))
-    sizes = misses.select("doc_id", "size").distinct()
-    places = F.when(F.length("key") >= F.col("size"), F.sequence(F.lit(1), F.length("key") - F.col("size") + 1))
-    index = spots.join(sizes, "doc_id").select(
-        "doc_id", "ord", "size", F.explode(F.array_distinct(F.transform(places, lambda at: F.col("key").substr(at, F.col("size"))))).alias("gram")
-    )
-    index = materialize(index.join(cut.select("doc_id", "size", "gram").distinct(), ["doc_id", "size", "gram"], "left_semi"), "pages-index")
-    known = index.groupBy("doc_id", "size", "gram").agg(F.count("*").alias("n"))
-    rarest = cut.join(known, ["doc_id", "size", "gram"], "left").groupBy("doc_id", "key", "size").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
-    )
-    holders = spots.select("doc_id", "ord", "page", F.col("key").alias("holder"))
-    tried = rarest.join(index, ["doc_id", "size", "gram"]).select("doc_id", "key", "ord").join(holders, ["doc_id", "ord"])
-    inside = tried.where(F.col("holder").contains(F.col("key"))).groupBy("doc_id", "key").agg(F.min_by("page", "ord").alias("inside_page"))
+    none = lambda c: F.lit(None).cast(spots.schema[c].dataType).alias(c)
+    misses = exact.where("same_page is null").select("doc_id", none("ord"), none("page"), "key", F.lit(False).alias("is_spot")).distinct()
+    both = misses.unionByName(spots.withColumn("is_spot", F.lit(True))).where("doc_id is not null and (ord is not null or not is_spot)")
+    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "is_spot", "ord")
+    kinds = [spots.schema[c].dataType.simpleString() for c in ("doc_id", "page")]
+    inside = ordered.mapInPandas(first_holders, f"doc_id {kinds[0]}, key string, inside_page {kinds[1]}")
     return exact.join(inside, ["doc_id", "key"], "left").select("doc_id", "pos", F.coalesce("same_page", "inside_page").alias("page"))

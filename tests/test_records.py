@@ -114,6 +114,15 @@ def test_a_long_document_is_looked_up_in_linear_time(spark):
     assert found.where("page = pos").count() == n
 
 
+def test_lookup_of_pages_shuffles_positions_as_they_are(spark):
+    blocks = spark.range(40).select((F.col("id") % 4).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("sought "), "id", F.lit("!")).alias("text"))
+    spots = blocks.select("doc_id", F.col("pos").alias("ord"), F.when(F.col("pos") != 9, F.col("pos")).alias("page"), F.concat(F.lit("x" * 300), "text").alias("text"))
+    found = N.page_lookup(blocks, spots.union(spots.selectExpr("doc_id", "ord + 100", "page + 100", "text")))
+    assert set(rows(found.where("page is not null"), "pos", "page")) == {(i, i) for i in range(40) if i != 9}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for each place of a text
+
+
 def test_fields_of_legends_count_by_the_type_they_name(spark):
     texts = ["Tableau {SEQ Figure} : a", "Figure {SEQ Figure} : b", "Tableau {SEQ Tableau} : c", "Figure 7 : d", "Figure { SEQ figure \\* ARABIC } : e", "PARTIE 2", "Figure {SEQ Figure} : "]
     got = D.legends(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string"))
