@@ -5,7 +5,7 @@ Blocks here: doc_id, pos, block_id, type, text, category (of captions and carrie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -292,16 +292,22 @@ def pieces_of(text: str, size: int) -> set[str]:
     return {text[i : i + size] for i in range(len(text) - size + 1)}
 
 
-def sought(keys: list[str]) -> dict[int, dict[str, list[str]]]:
+def cuts_of(text: str) -> tuple[int, set[str]]:
+    """The size of a text's pieces, and those that stand side by side in it, with its last one."""
+    size = min(GRAM, len(text))
+    return size, {text[i : i + size] for i in (*range(0, len(text) - size + 1, size), len(text) - size)}
+
+
+def sought(keys: Iterable[str]) -> dict[int, dict[str, list[str]]]:
     """For each size of pieces the texts by their rarest piece among these texts (all of a text, if it is shorter)."""
     counts: dict[str, int] = {}
     for key in keys:
-        for piece in pieces_of(key, min(GRAM, len(key))):
+        for piece in cuts_of(key)[1]:
             counts[piece] = counts.get(piece, 0) + 1
     found: dict[int, dict[str, list[str]]] = {}
     for key in keys:
-        size = min(GRAM, len(key))
-        rarest = min(pieces_of(key, size), key=lambda piece: (counts[piece], piece))
+        size, pieces = cuts_of(key)
+        rarest = min(pieces, key=lambda piece: (counts[piece], piece))
         found.setdefault(size, {}).setdefault(rarest, []).append(key)
     return found
 
@@ -320,41 +326,48 @@ def found_inside(holder: str, wanted: dict[int, dict[str, list[str]]]) -> list[s
     return found
 
 
-def first_holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, ord, page, key, is_spot) sorted by document, texts sought (by key) before positions (by ord): the page
-    of the first position that contains each text, for those that have one."""
-    doc, keys, wanted = object(), [], None
+def pages_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, at, page, key, is_spot) sorted by document, blocks (at: pos) before positions (at: ord): the page of
+    each block."""
+    doc, places, wanted, same, inside = object(), {}, None, {}, {}
+
+    def pages() -> list[tuple]:
+        of = {key: inside.get(key) if same.get(key) is None else same[key] for key in places}
+        return [(doc, pos, of[key]) for key, at in places.items() for pos in at]
+
     for batch in batches:
         out = []
-        for d, page, key, is_spot in zip(*[batch[c].tolist() for c in ("doc_id", "page", "key", "is_spot")]):
+        for d, at, page, key, is_spot in zip(*[batch[c].tolist() for c in ("doc_id", "at", "page", "key", "is_spot")]):
             if d != doc:
-                doc, keys, wanted = d, [], None
+                out += pages()
+                doc, places, wanted, same, inside = d, {}, None, {}, {}
             if not is_spot:
-                keys.append(key)
-            elif keys:
-                wanted = sought(keys) if wanted is None else wanted
-                out += [(d, k, page) for k in found_inside(key, wanted)]
-        yield pd.DataFrame(out, columns=["doc_id", "key", "inside_page"])
+                places.setdefault(key, []).append(at)
+            elif places:
+                wanted = sought(places) if wanted is None else wanted
+                page = None if page != page else page
+                if key in places:
+                    same.setdefault(key, page)
+                inside |= dict.fromkeys(found_inside(key, wanted), page)
+        yield pd.DataFrame(out, columns=["doc_id", "pos", "page"])
+    yield pd.DataFrame(pages(), columns=["doc_id", "pos", "page"])
 
 
 def page_lookup(blocks: DataFrame, positions: DataFrame) -> DataFrame:
     """Page of each block with text: of the first position (doc_id, ord, page, text) with the same normalised text,
     else of the first that contains it.
 
-    The texts of a document that no position equals come before its positions in one sorted stream and are looked for by
-    their rarest piece of eight characters: a position costs its length, and a text as many comparisons as there are
-    positions with that piece, not all of its document. Positions are shuffled once, as they are; of a document only the
-    texts sought have to fit in memory.
+    A document's blocks come before its positions in one sorted stream, and are looked for by their rarest piece of eight
+    characters: a position costs its length, and a text as many comparisons as there are positions with that piece, not
+    all of its document. Blocks and positions are shuffled once, as they are, and nothing is written; of a document only
+    the blocks have to fit in memory.
     """
     norm = lambda c: F.lower(P.trimmed(F.regexp_replace(c, r"\s+", " ")))
     rows = blocks.select("doc_id", "pos", norm(F.col("text")).alias("key")).where("key <> ''")
     spots = positions.select("doc_id", "ord", "page", norm(F.col("text")).alias("key")).where("key <> ''")
-    same = spots.groupBy("doc_id", "key").agg(F.min_by("page", "ord").alias("same_page"))
-    exact = materialize(rows.join(same, ["doc_id", "key"], "left"), "pages-exact")
-    none = lambda c: F.lit(None).cast(spots.schema[c].dataType).alias(c)
-    misses = exact.where("same_page is null").select("doc_id", none("ord"), none("page"), "key", F.lit(False).alias("is_spot")).distinct()
-    both = misses.unionByName(spots.withColumn("is_spot", F.lit(True))).where("doc_id is not null and (ord is not null or not is_spot)")
-    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "is_spot", "ord")
-    kinds = [spots.schema[c].dataType.simpleString() for c in ("doc_id", "page")]
-    inside = ordered.mapInPandas(first_holders, f"doc_id {kinds[0]}, key string, inside_page {kinds[1]}")
-    return exact.join(inside, ["doc_id", "key"], "left").select("doc_id", "pos", F.coalesce("same_page", "inside_page").alias("page"))
+    both = rows.select("doc_id", F.col("pos").alias("at"), F.lit(None).cast(spots.schema["page"].dataType).alias("page"), "key", F.lit(False).alias("is_spot")).unionByName(
+        spots.select("doc_id", F.col("ord").alias("at"), "page", "key", F.lit(True).alias("is_spot")).where("at is not null")
+    )
+    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "is_spot", "at")
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((rows, "doc_id"), (rows, "pos"), (spots, "page"))]
+    return ordered.mapInPandas(pages_of_blocks, "doc_id {}, pos {}, page {}".format(*kinds))
