@@ -49,26 +49,27 @@ def grow_windows(
         return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/{part}")
 
     def take(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            earlier = read("times", "latest timestamp, number bigint").where(F.col("number") < number).agg(F.max("latest")).first()[0]
-            behind = F.lit(False)
-            if earlier is not None and delay_seconds is not None:
-                behind = F.col(time) < F.lit(earlier) - F.make_dt_interval(secs=F.lit(delay_seconds))
-            late = F.coalesce(behind, F.lit(False))
-            add(batch.where(~late)).write.mode("overwrite").parquet(f"{out}/added/{number}")
-            batch.where(late).withColumn("number", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/refused/{number}")
-            times = batch.agg(F.max(time).cast("timestamp").alias("latest")).select("latest", F.lit(number).cast("bigint").alias("number"))
-            times.write.mode("overwrite").parquet(f"{out}/times/{number}")
-        finally:
-            batch.unpersist()
+        # The rows are read again for each output, with its columns only: kept, they would take memory that grows with a trigger.
+        earlier = read("times", "latest timestamp, number bigint").where(F.col("number") < number).agg(F.max("latest")).first()[0]
+        behind = F.lit(False)
+        if earlier is not None and delay_seconds is not None:
+            behind = F.col(time) < F.lit(earlier) - F.make_dt_interval(secs=F.lit(delay_seconds))
+        late = F.coalesce(behind, F.lit(False))
+        add(batch.where(~late)).write.mode("overwrite").parquet(f"{out}/added/{number}")
+        batch.where(late).withColumn("number", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/refused/{number}")
+        times = batch.agg(F.max(time).cast("timestamp").alias("latest")).select("latest", F.lit(number).cast("bigint").alias("number"))
+        times.write.mode("overwrite").parquet(f"{out}/times/{number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(take).start()
     query.awaitTermination()
-    added = read("added", empty.schema).groupBy(*keys).agg(*[F.sum(c.name).cast(c.dataType).alias(c.name) for c in numbers])
+    # Dealt by key first: hardly any row shares its key, so sums before a shuffle would hold nearly all rows of a file.
+    added = read("added", empty.schema).repartition(*keys).groupBy(*keys).agg(*[F.sum(c.name).cast(c.dataType).alias(c.name) for c in numbers])
     return Windowed(added, read("refused", stream.withColumn("number", F.lit(0).cast("bigint")).schema))
 
 
+RATE_KEYS = ["kind", "who", "start", "allowed"]
+
+
 def rate_counts(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Of requests (created_at, kind, who) the calls in each window of the rule of their kind; kinds without one go."""
 
@@ -76,14 +77,12 @@ def rate_counts(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
         ruled = requests.join(rules, "kind")
         second = F.unix_seconds(F.col("created_at").cast("timestamp"))
         start = (second - F.pmod(second, F.col("seconds"))).cast("timestamp")
-        return ruled.groupBy("kind", "who", start.alias("start"), "allowed").agg(F.count("*").alias("calls"))
+        calls = ruled.select("kind", "who", start.alias("start"), "allowed").repartition(*RATE_KEYS)
+        return calls.groupBy(*RATE_KEYS).agg(F.count("*").alias("calls"))
 
     return add
 
 
-RATE_KEYS = ["kind", "who", "start", "allowed"]
-
-
 def rate_limit_violations(counts: DataFrame) -> DataFrame:
     """Windows with more calls than their rule allows."""
     return counts.where(F.col("calls") > F.col("allowed")).select("kind", "who", "start", "calls", "allowed")

@@ -207,3 +207,9 @@ def test_a_trigger_run_again_credits_nothing_twice(spark, tmp_path, monkeypatch)
     assert rows(run.ledger, "user_id", "reference", "amount") == CREDITED and run.outcomes.count() == 11
     again = credit_run(spark, path, 1, out)  # nothing new: nothing changes
     assert rows(again.ledger, "user_id", "reference", "amount") == CREDITED and again.outcomes.count() == 11
+
+
+def test_windows_are_counted_after_a_shuffle_by_key(spark, tmp_path):
+    stream = R.read_stream(spark, in_files(tmp_path, days(20, 21)), 1).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    counts = W.grow_windows(stream, W.usage_of_days, ["day"]).counts
+    assert counts.count() == 2 and "REPARTITION_BY_COL" in counts._jdf.queryExecution().executedPlan().toString()
