@@ -65,6 +65,7 @@ GROUP = "{http://schemas.microsoft.com/office/word/2010/wordprocessingGroup}wgp"
 ALTERNATIVES = "{http://schemas.openxmlformats.org/markup-compatibility/2006}AlternateContent"
 EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
 MOST_BYTES, MOST_ENTRIES = 500 << 20, 5000
+FRAME_ROWS = 5000
 BLOCK_ROWS = (
     "path string, pos long, type string, text string, style_level int, is_bold boolean, numbering_level int, "
     "cells array<array<string>>, image_ref string, error string"
@@ -210,15 +211,22 @@ def from_packages(packages: DataFrame, read: Callable[..., Iterator[dict]], sche
     one with an error for a bad package, where the schema has it."""
     columns = T._parse_datatype_string(schema).names
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            done: list[dict] = []  # rows of many packages go out as one frame
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     rows = [{"path": path, "pos": i} | b for i, b in enumerate(read(content, most_bytes, most_entries))]
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"[:300]}] if "error" in columns else []
-                out = pd.DataFrame(rows, columns=columns).astype(object)
-                yield out.where(out.notna(), None)
+                done += rows
+                if len(done) >= FRAME_ROWS:
+                    yield frame(done)
+                    done = []
+            yield frame(done)
 
     return packages.select("path", "content").mapInPandas(run, schema)
 
@@ -268,8 +276,8 @@ def resolve_styles(styles: DataFrame) -> DataFrame:
     chains of 2^k styles take k rounds, and as many as a package's number of styles needs end any cycle: going round one
     meets only styles that were taken over before. A parent that isn't there ends a chain.
     """
-    longest = styles.groupBy("path").count().agg(F.max("count")).first()[0] or 1
     rows = materialize(styles.withColumn("above", F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))), "styles")
+    longest = rows.groupBy("path").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(1, (longest - 1).bit_length())):
         up = rows.select("path", F.col("style_id").alias("above"), F.col("above").alias("next"), *[F.col(c).alias(f"{c}_up") for c in INHERITED])
         kept = [c for c in rows.columns if c not in (*INHERITED, "above", "path")]

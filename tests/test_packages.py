@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,15 @@ def test_signals_of_packages_are_typed(spark):
 @pytest.mark.parametrize("name,level", [("TOC 3", 3), ("sommaire2", 2), ("Table of contents", 1), ("table des matières 1", 1), ("toc 0", 1), ("list paragraph", None), ("toc heading", None), (None, None)])
 def test_contents_styles(spark, name, level):
     assert spark.createDataFrame([(name,)], "n string").select(S.contents_level(F.col("n"))).first()[0] == level
+
+
+def test_rows_of_many_packages_go_out_in_few_frames():
+    class Given:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return list(run(iter([pd.DataFrame({"path": [f"p{i}" for i in range(50)], "content": [bytes(package(p("x") + p("y")))] * 49 + [b"bad"]})])))
+
+    (frame,) = S.ingest_docx(Given())
+    assert len(frame) == 99 and frame["error"].notna().sum() == 1 and list(frame["pos"][:4]) == [0, 1, 0, 1]
