@@ -23,6 +23,7 @@ candidate pairs are compared. A pair at exactly 0.8 shares a key with probabilit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ LEVELS = (32, 16, 8, 4)
 #: compared: at a similarity of 0.8 it is 12.75 on average, with a deviation of 3.2.
 LANE_SEEDS, LANE_FACTORS = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, 64), dtype=np.uint64) | np.uint64(1)
 MOST_LANES = 26
+#: So many of a text's groups are looked through for an earlier one that a pair has in common.
+GROUPS_KNOWN = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -292,7 +295,7 @@ def compared_with(tried: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def dealt_by_difference(compared: DataFrame) -> DataFrame:
-    """grp, entry, and the columns of ``compared``: members that may be similar though the pivot does not link them.
+    """grp, pivot, entry, and the columns of ``compared``: members that may be similar though the pivot does not link them.
 
     Let x be unlike the pivot and similar to y. If x and y share nothing that the pivot lacks, their common part lies in
     that of x and the pivot, so y must be no larger than x's reach; and if they lack nothing together either, they are
@@ -310,7 +313,33 @@ def dealt_by_difference(compared: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.max(~F.col("linked")).alias("open"), F.bit_xor(F.xxhash64("entry")).alias("members")
     ).where("n > 1 and open")
     once = heads.groupBy("pivot", "lacks", "n", "members").agg(F.min("grp").alias("grp"))
-    return named.join(once.select("grp", "n"), "grp").drop("pivot", "shingle")
+    return named.join(once.select("grp", "n"), "grp").drop("shingle")
+
+
+def pairs_in_groups(dealt: DataFrame, sketches: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """a, b: members of a group of ``dealt`` that may be similar and that its pivot does not link both.
+
+    Edited copies share many differences, and so many groups of one pivot. What is known of a pair is the same in all of
+    one kind (shared or lacked), so it is made in the first that both are in only, as far as the first ``GROUPS_KNOWN``
+    of both tell; others make it again, and none is lost. With ``roots`` (node, root: links known so far) pairs of one
+    component are left out.
+    """
+    key = ["pivot", "entry", "lacks"]
+    meets = dealt.groupBy(*key).agg(F.slice(F.sort_array(F.collect_set("grp")), 1, GROUPS_KNOWN).alias("meets"))
+    about = sketches.select("entry", "sketch", F.col("entry").alias("root"))
+    if roots is not None:
+        about = about.drop("root").join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+    rows = dealt.join(meets, key).join(about, "entry")
+    a, b = (rows.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "root", "linked", "size", "both", "lacks", "sketch", "meets")]) for x in "ab")
+    once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
+    # What two texts can have in common: of the pivot's shingles, and of others unless they only lack one together.
+    others = F.when(F.col("lacks_a"), 0).otherwise(F.least(F.col("size_a") - F.col("both_a"), F.col("size_b") - F.col("both_b")))
+    room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")
+    close = lanes_apart(F.col("sketch_a"), F.col("sketch_b")) <= MOST_LANES
+    met = F.coalesce(F.array_min(F.array_intersect("meets_a", "meets_b")) < F.col("grp"), F.lit(False))
+    apart = (F.col("entry_a") != F.col("entry_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = a.where("not linked_a").join(b, "grp").where(apart & once & room & ~met & close)
+    return pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b"))
 
 
 def similar_links(
@@ -321,8 +350,9 @@ def similar_links(
     Every member of a bucket is compared with a pivot: the member that shares most keys with other entries, which in a
     crowd of edited copies is the text they were made from. Members it links need no comparison with each other. The
     others are dealt anew by the shingles in which they differ from the pivot; new groups of up to ``group_most`` are
-    compared in pairs, larger ones get a pivot again, and after ``rounds`` of this all that are left are compared. So
-    neither a crowd around one text nor one around a common passage costs its pairs, and no link is lost.
+    compared in pairs, larger ones get a pivot again, and after ``rounds`` of this all that are left are compared, but for
+    pairs that are connected by then. So neither a crowd around one text nor one around a common passage costs its pairs,
+    and no component is torn.
     """
     index = entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry")
     shared = index.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
@@ -339,23 +369,16 @@ def similar_links(
         compared = materialize(compared_with(materialize(tried, "near-tried"), sets, similarity), "near-compared")
         found.append(compared.where("linked").select(F.least("pivot", "entry").alias("a"), F.greatest("pivot", "entry").alias("b")))
         dealt = materialize(dealt_by_difference(compared), "near-dealt")
-        cold = (dealt.where(F.col("n") <= group_most) if left else dealt).join(known.select("entry", "sketch"), "entry")
-        a, b = (cold.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "linked", "size", "both", "lacks", "sketch")]) for x in "ab")
-        once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
-        # What two texts can have in common: of the pivot's shingles, and of others unless they only lack one together.
-        others = F.when(F.col("lacks_a"), 0).otherwise(F.least(F.col("size_a") - F.col("both_a"), F.col("size_b") - F.col("both_b")))
-        room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")
-        close = lanes_apart(F.col("sketch_a"), F.col("sketch_b")) <= MOST_LANES
-        pairs = a.where("not linked_a").join(b, "grp").where((F.col("entry_a") != F.col("entry_b")) & once & room & close)
-        pairs = pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b")).distinct()
-        found.append(similar(materialize(pairs, "near-pairs"), sets, similarity))
+        # Few members are dealt anew, and no others are compared from here on: their sets alone go to the next joins.
+        sets = materialize(sets.join(dealt.select("entry").distinct(), "entry", "left_semi"), "near-sets")
+        cold = dealt.where(F.col("n") <= group_most) if left else dealt
+        roots = None if left else components(reduce(DataFrame.unionByName, found))
+        pairs = materialize(pairs_in_groups(cold, known, similarity, roots).distinct(), "near-pairs")
+        found.append(materialize(similar(pairs, sets, similarity), "near-links"))
         groups = dealt.where(F.col("n") > group_most).select("grp", "entry")
         if groups.isEmpty():
             break
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -369,6 +369,20 @@ def test_larger_sketches_until_peeled(spark):
     assert not odd
 
 
+def test_a_pair_is_made_once_for_all_groups_it_shares(spark):
+    """Three texts share 40 differences from a pivot, and two of them 200 from another; of a component no pair is made."""
+    rows = [(100 + g, 1, e, False, 100, 70, False) for g in range(40) for e in (10, 20, 30)]
+    rows += [(1000 + g, 2, e, e == 20, 100, 70, True) for g in range(200) for e in (20, 40)]
+    dealt = spark.createDataFrame(rows, "grp long, pivot long, entry long, linked boolean, size int, both int, lacks boolean")
+    known = spark.createDataFrame([(e, [0] * 8) for e in (10, 20, 30, 40)], "entry long, sketch array<long>")
+    made = lambda *roots: sorted(tuple(r) for r in simhash.pairs_in_groups(dealt, known, 0.5, *roots).collect())
+    assert made() == [(10, 20), (10, 30), (20, 30), (20, 40)]
+    assert made(spark.createDataFrame([(20, 10), (10, 10)], "node long, root long")) == [(10, 30), (20, 30), (20, 40)]
+    # Groups in common that are beyond the first 64 of both are still found.
+    far = spark.createDataFrame([(g + (0 if g >= 900 else 100 * e), 1, e, False, 100, 70, False) for g in [*range(70), 900 + 10**6] for e in (10, 20)], dealt.schema)
+    assert [tuple(r) for r in simhash.pairs_in_groups(far, known, 0.5).collect()] == [(10, 20)]
+
+
 @pytest.mark.parametrize(("group_most", "rounds"), [(2, 3), (4, 1), (32, 6)])
 def test_crowds_lose_no_link(spark, group_most, rounds):
     """All texts share every key, so the components must be those of all pairs at 0.8."""
