@@ -139,9 +139,10 @@ def resolve_refs(numbered: DataFrame) -> DataFrame:
     tie .55); else the nearest numbered block of the category (.55); else none. At most one resolved a block: references
     after the first resolved one are left out.
 
-    Nearest blocks come from the last before and the first after, so no reference is paired with all blocks.
+    Nearest blocks come from the last before and the first after, so no reference is paired with all blocks. References
+    are written, since they are read three times and cost a pattern over all texts.
     """
-    refs = references(numbered).withColumn("is_ref", F.lit(True))
+    refs = materialize(references(numbered), "references").withColumn("is_ref", F.lit(True))
     targets = numbered.where("counting is not null or final_number is not null").withColumn("cat", F.coalesce("counting", "type", "category"))
     numbers = F.col("original_number")
 

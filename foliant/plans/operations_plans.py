@@ -8,7 +8,7 @@ from foliant.operators import edits as E
 from foliant.operators import monitoring as M
 from foliant.operators import numbering as N
 from foliant.plans import structure_plans as SP
-from foliant.session import read_table
+from foliant.session import materialize, read_table
 from foliant.sources import fixtures as fx
 from foliant.sources.fixtures import with_views
 
@@ -105,8 +105,11 @@ def predicted(s, d):
 
 
 def reports(s, d):
-    numbered, _ = SP.numbered(s, d)
-    blocks = SP.passes(s, d)
+    """Numbering and passes read the same typed blocks, which are written: their patterns are the most work."""
+    typed = materialize(SP.typed(s, d), "typed")
+    rows = typed.select(*SP.NUMBERING)
+    numbered = materialize(N.renumber(rows, materialize(N.link_captions(rows), "links")), "numbered")
+    blocks = SP.passes_over(typed)
     return M.document_report(blocks, N.number_changes(numbered), N.resolve_refs(numbered), M_covers(blocks))
 
 

@@ -21,7 +21,11 @@ def typed(s, d):
 
 def passes(s, d):
     """Typed blocks after all passes before the cover is cut; written, since several queries build on it."""
-    return materialize(D.empty_run_breaks(D.promote_all_caps(D.toc_runs(typed(s, d)))), "typed")
+    return passes_over(typed(s, d))
+
+
+def passes_over(rows):
+    return materialize(D.empty_run_breaks(D.promote_all_caps(D.toc_runs(rows))), "typed")
 
 
 def verdicts(s, d):
@@ -34,10 +38,12 @@ def assessed(s, d):
     return materialize(D.assess(passes(s, d)), "assessed")
 
 
+NUMBERING = ("doc_id", "pos", "block_id", "type", "text", "category", "original_number", "heading_level")
+
+
 def numbering_blocks(s, d):
     """Blocks as the numbering reads them; written, since links and numbers are joined back to them."""
-    rows = typed(s, d).select("doc_id", "pos", "block_id", "type", "text", "category", "original_number", "heading_level")
-    return materialize(rows, "blocks")
+    return materialize(typed(s, d).select(*NUMBERING), "blocks")
 
 
 def linked(s, d):

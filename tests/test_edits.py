@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from foliant.operators import edits as E
 from foliant.operators import monitoring as M
+from foliant.operators import numbering as N
 from foliant.operators import scoring
+from foliant.plans import operations_plans
+from foliant.plans import structure_plans as SP
 
 
 def rows(df, *columns):
@@ -83,6 +86,15 @@ def test_reports_and_their_warnings(spark):
     assert rows(M.report_warnings(report), "doc_id", "warning") == [(1, "figures_without_caption"), (1, "headings_to_validate"), (2, "no_heading")]
 
 
+def test_a_report_types_blocks_and_looks_for_references_once(spark, sf, monkeypatch):
+    typed, written = [], []
+    monkeypatch.setattr(SP, "typed", lambda *a, f=SP.typed: typed.append(a) or f(*a))
+    monkeypatch.setattr(N, "materialize", lambda df, label, f=N.materialize: written.append(label) or f(df, label))
+    report = operations_plans.reports(spark, sf)
+    assert len(typed) == 1 and written == ["references"]
+    assert report.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_sums_over_the_corpus(spark):
     blocks = spark.createDataFrame([(1, "heading", 0.9), (1, "paragraph", 0.5), (2, "paragraph", 0.9), (2, "paragraph", None)], "doc_id long, type string, confidence double")
     waits = spark.createDataFrame([(1, None), (2, "2024-01-01"), (2, None)], "doc_id long, answered_at string")
