@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.session import materialize
@@ -45,6 +45,8 @@ LANE_SEEDS, LANE_FACTORS = np.random.Generator(np.random.PCG64(42)).integers(0,
 MOST_LANES = 26
 #: So many of a text's groups are looked through for an earlier one that a pair has in common.
 GROUPS_KNOWN = 64
+#: Bits of the bitmap of ``may_be_in``: 4 MB, whatever the size of the tables.
+BITMAP_BITS = 1 << 25
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -216,6 +218,22 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def may_be_in(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``may be in``: false only if no row of ``wanted`` has their ``key`` (of columns that aren't null).
+
+    The keys' hashes set bits of one bitmap of a fixed size, which is broadcast: rows that a join would drop are known
+    before they are shuffled. The more keys, the more rows are true without need, so an exact join follows.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS)) + 1
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("near bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = bits.groupBy("near bucket").agg(F.bitmap_construct_agg("bit").alias("near bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("near bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    found = rows.withColumn("near bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "near bucket", "left")
+    return found.select(*rows.columns, maybe.alias("may be in"))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
     """entry, hashes array<bigint>, of the entries in ``wanted`` (doc_id, entry)."""
 
@@ -231,7 +249,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
                     columns = [pa.array([entry], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["entry", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = may_be_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"])
+    texts = texts.where("`may be in`").join(wanted, "doc_id")
     return texts.select("entry", "text").mapInArrow(run, "entry bigint, hashes array<bigint>")
 
 
@@ -355,8 +374,9 @@ def similar_links(
     and no component is torn.
     """
     index = entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry")
-    shared = index.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(index.join(shared, "grp"), "near-members")
+    # One shuffle of the keys. A group holds an entry once, so none has more than a 64th of them.
+    counted = index.withColumn("n", F.count("*").over(Window.partitionBy("grp")))
+    members = materialize(counted.where("n > 1"), "near-members")
     known = members.groupBy("entry").agg(F.sum("n").alias("degree"))
     known = materialize(entries.join(known, "entry"), "near-known")
     sets = materialize(sets_of(docs, known.select(F.col("first").alias("doc_id"), "entry"), shingle), "near-sets")
@@ -391,12 +411,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """
     named = docs.where("doc_id is not null")
     marked = materialize(sketches(named, shingle), "near-sketches")
-    entries = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sketch").alias("sketch"))
-    entries = materialize(entries.select("entry", F.col("first.doc_id").alias("first"), F.col("first.text_key").alias("text_key"), "sketch"), "near-entries")
+    entries = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    entries = materialize(entries.select("entry", "rows", F.col("first.doc_id").alias("first"), F.col("first.text_key").alias("text_key"), "sketch"), "near-entries")
     groups = materialize(components(similar_links(named, entries, shingle, similarity)), "near-groups")
-    member = entries.join(groups, entries["entry"] == groups["node"], "left")
-    kept = member.groupBy(F.coalesce("root", "entry")).agg(F.min(F.struct("first", "text_key")).alias("kept")).select("kept.*")
-    marked_docs = docs.select(*[docs[c] for c in docs.columns], text_key().alias("near text key"))
-    same = (marked_docs["doc_id"] == kept["first"]) & (marked_docs["near text key"] == kept["text_key"])
-    one = marked_docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "near text key"]).drop("near text key")
-    return one.unionByName(docs.where("doc_id is null"))
+    member = entries.join(groups, entries["entry"] == groups["node"], "left").select(
+        "entry", "rows", F.struct("first", "text_key").alias("head"), F.coalesce("root", "entry").alias("root")
+    )
+    heads = materialize(member.groupBy("root").agg(F.min("head").alias("kept"), F.sum("rows").alias("rows")), "near-heads")
+    # Rows alone in their component stay as they are: of the texts only those of the others are shuffled.
+    others = member.join(heads.where("rows > 1"), "root", "left_semi")
+    others = marked.join(others, "entry", "left_semi").select(F.col("doc_id").alias("near id"), F.col("text_key").alias("near text key"))
+    rows = named.select(*[named[c] for c in docs.columns], named["doc_id"].cast("long").alias("near id"), text_key().alias("near text key"))
+    rows = may_be_in(rows, materialize(others, "near-others"), ["near id", "near text key"])
+    kept = heads.select(F.col("kept.first").alias("near id"), F.col("kept.text_key").alias("near text key"))
+    one = rows.where("`may be in`").join(kept, ["near id", "near text key"], "left_semi").dropDuplicates(["near id", "near text key"])
+    return rows.where("not `may be in`").unionByName(one).select(docs.columns).unionByName(docs.where("doc_id is null"))

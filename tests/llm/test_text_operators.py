@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from foliant.llm import bpe, iblt, licence_rules, licences, quality, simhash
 from foliant.llm.queries import RANKS, op2_licence_texts, op2_licences
@@ -429,3 +430,24 @@ def test_crowds_lose_no_link(spark, group_most, rounds):
     assert {tuple(sorted(r)) for r in links} <= {tuple(sorted(p)) for p in similar}
     assert roots(links) == roots(similar)
     assert 5 < len(set(roots(similar).values())) < len(names) - 20
+
+
+def test_near_duplicate_stage_shuffles_only_texts_that_meet(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(6000)) for _ in range(40)]
+    texts[39] = texts[38] + " and more"
+    df = frame(spark, [doc(i, t) for i, t in enumerate(texts)] + [doc(7, texts[7]), doc(None, texts[0])])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    kept = collect(simhash.drop_near_duplicates(df), "doc_id", "text")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sorted(kept, key=str) == sorted([*enumerate(texts[:39]), (None, texts[0])], key=str)
+    assert written() - before < sum(map(len, texts)) / 4
+
+
+def test_may_be_in_misses_no_row(spark):
+    ids = spark.range(-50_000, 50_000).withColumnRenamed("id", "k")
+    wanted = ids.where("k % 10 = 3")
+    found = {r["may be in"]: r["n"] for r in simhash.may_be_in(ids, wanted, ["k"]).groupBy("may be in").agg(F.count("*").alias("n")).collect()}
+    assert simhash.may_be_in(wanted, wanted, ["k"]).where("not `may be in`").isEmpty() and found[True] < 10_200
+    assert found[True] + found[False] == 100_000
