@@ -113,7 +113,8 @@ def links(fps: DataFrame, bucket_most: int = 256) -> DataFrame:
             )
             cold = index.join(full, "path", "left_anti")
         a, b = (cold.select("path", F.col("fp").alias(x)) for x in "ab")
-        found.append(a.join(b, "path").where((F.col("a") < F.col("b")) & (bits_apart(F.col("a"), F.col("b")) <= MOST_BITS)).select("a", "b"))
+        # Spark sizes a table after an explode as if it hadn't more rows, and would broadcast this one.
+        found.append(a.hint("merge").join(b, "path").where((F.col("a") < F.col("b")) & (bits_apart(F.col("a"), F.col("b")) <= MOST_BITS)).select("a", "b"))
         if last or full.isEmpty():
             break
         nxt = LEVELS[level + 1]

@@ -143,6 +143,14 @@ def test_simhash_hot_bucket_loses_no_link(spark):
     assert got == want
 
 
+def test_simhash_index_is_not_broadcast(spark):
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    for most in (256, 2):
+        plan = simhash.links(fps, bucket_most=most)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.split("\n") if "Join Inner" in x]
+        assert joins and all("merge" in x for x in joins)
+
+
 def test_near_duplicate_stage_keeps_one(spark):
     df = frame(spark, [doc(1, PROSE), doc(2, PROSE), doc(2, PROSE), doc(3, "quite another text than that"), doc(None, PROSE)])
     got = simhash.drop_near_duplicates(df)
