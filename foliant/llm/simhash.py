@@ -15,13 +15,14 @@ other member (then null); repeated rows stay rows; an empty table gives no rows;
 texts are hashed in blocks, so memory does not grow with the number of shingles.
 
 The pipeline's stage has its own parameters: five words and a similarity of 0.8. Such pairs differ in about ten bits of
-a SimHash, too many for wildcards of one bit to be selective. It takes a wider fingerprint, eight of eight lanes (least
-hashes cut to eight bits); each is indexed under every variant with one lane deleted, and the sets of shingles of
-candidate pairs are compared. A pair at exactly 0.8 shares a key with probability 0.996, one at 0.85 with 0.9998.
+a SimHash, too many for wildcards of one bit to be selective. It takes the least hashes of each text's set of shingles
+instead: similar sets must share several of them (``prefix``), so no similar pair is missed. Texts that share too few
+are left out, the most common of a text's keys aren't needed, and the sets of the pairs that are left are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,12 +40,14 @@ BLOCK = 1 << 15
 MOST_BITS = 3
 #: Widths of the halves that are cut, level by level.
 LEVELS = (32, 16, 8, 4)
-#: The 64 orders of the lanes (fixed values), and in how many lanes a candidate pair may differ before its sets are
-#: compared: at a similarity of 0.8 it is 12.75 on average, with a deviation of 3.2.
+#: The 64 orders of the lanes (fixed values).
 LANE_SEEDS, LANE_FACTORS = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, 64), dtype=np.uint64) | np.uint64(1)
-MOST_LANES = 26
+#: A text has one key more for each so many shingles than it takes to meet a similar one.
+SPARE = 20
 #: So many of a text's groups are looked through for an earlier one that a pair has in common.
 GROUPS_KNOWN = 64
+#: About so many hashes and members at most of a large group are compared with so many others at once.
+BLOCK_HASHES, BLOCK_MEMBERS = 1 << 18, 1024
 #: Bits of the bitmap of ``may_be_in``: 4 MB, whatever the size of the tables.
 BITMAP_BITS = 1 << 25
 
@@ -185,7 +188,8 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
 def lanes(hashes: np.ndarray) -> np.ndarray:
     """A wider fingerprint of a set: 64 lanes of eight bits, each taken from the set's least hash in an order of its own.
 
-    Two sets agree in a lane with the probability of their similarity. Given as eight signed 64-bit integers.
+    Two sets agree in a lane with the probability of their similarity. Given as eight signed 64-bit integers. The stage
+    doesn't use it any more: a pair may share no key of these by chance.
     """
     least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
@@ -197,21 +201,47 @@ def set_name(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, entry (name of the text's set of shingles), sketch (its lanes)."""
+def prefix(hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """A set's keys, the upper halves of its least hashes, and how many of them any similar set has too, at least.
+
+    Similar sets of n and m hashes have o >= s * max(n, m) in common. Of these the first k are among the first n - o + k
+    of the one and m - o + k of the other, since the other o - k stand behind them. Here k is 1 and one more for each
+    ``SPARE`` shingles; as a similar set may be smaller, only what the smallest has is counted on, less the keys that two
+    hashes share.
+    """
+    n = len(hashes)
+    need = math.ceil(similarity * n - 1e-6)
+    first = hashes[: n - need + 1 + n // SPARE] >> np.uint64(32)
+    keys = np.unique(first).astype(np.uint32)
+    return keys, max(1, 1 + need // SPARE - (len(first) - len(keys)))
+
+
+def prefixes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_key, entry (name of the text's set of shingles), size (of the set), least and keys (``prefix``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = [], []
-            for text in batch.column(2):
-                hashes = shingle_set(text.as_py(), shingle)
-                names.append(set_name(hashes))
-                found.append(lanes(hashes).tolist())
-            columns = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "entry", "sketch"])
+            found = [shingle_set(text.as_py(), shingle) for text in batch.column(2)]
+            keys, least = zip(*(prefix(hashes, similarity) for hashes in found)) if found else ((), ())
+            columns = [
+                batch.column(0), batch.column(1), pa.array([set_name(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int32()),
+                pa.array(least, pa.int32()), pa.array([k.view(np.int32) for k in keys], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "entry", "size", "least", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, entry bigint, sketch array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, entry bigint, size int, least int, keys array<int>")
+
+
+def one_of_each(marked: DataFrame, copied: DataFrame) -> DataFrame:
+    """entry, first (a doc_id), size, least, keys: one row of ``marked`` for each entry. ``copied``: entries with several.
+
+    Only rows that may have copies are shuffled.
+    """
+    rows = may_be_in(marked.withColumnRenamed("doc_id", "first"), copied, ["entry"])
+    about = ["first", "size", "least", "keys"]
+    several = rows.where("`may be in`").groupBy("entry").agg(F.first(F.struct(*about)).alias("one")).select("entry", "one.*")
+    return rows.where("not `may be in`").select("entry", *about).unionByName(several)
 
 
 def text_key() -> Column:
@@ -255,29 +285,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
     return texts.select("entry", "text").mapInArrow(run, "entry bigint, hashes array<bigint>")
 
 
-def lane_keys(sketch: Column) -> Column:
-    """64 keys: each of the eight fingerprints of eight lanes under every variant with one lane deleted."""
-    keys = []
-    for part in range(8):
-        for lane in range(8):
-            mask = ((1 << 64) - 1) & ~(0xFF << 8 * lane)
-            mask -= (mask >> 63) << 64
-            keys.append(F.xxhash64(F.get(sketch, F.lit(part)).bitwiseAND(F.lit(mask)), F.lit(8 * part + lane)))
-    return F.array(*keys)
-
-
-def lanes_apart(a: Column, b: Column) -> Column:
-    """In how many of the 64 lanes two sketches differ."""
-
-    def differ(x: Column, y: Column) -> Column:
-        bits = x.bitwiseXOR(y)
-        for by in (4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, by))
-        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, x: n + x)
-
-
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose sets have at least that share of their union in common."""
     one, two = (sets.select(F.col("entry").alias(x), F.col("hashes").alias("of_" + x)) for x in "ab")
@@ -287,118 +294,195 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.where(F.col("both") / (F.col("all") - F.col("both")) >= similarity).select("a", "b")
 
 
-def compared_with(tried: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (pivot, entry): linked, size, both, reach, and what only the entry (extra) or the pivot (missing) has.
+def shared_keys(entries: DataFrame) -> DataFrame:
+    """grp, entry, degree: the keys that an entry needs to meet all similar ones; degree tells how many entries it meets.
 
-    ``reach`` is the largest set that shares nothing with the entry but what the pivot has, and may be similar to it.
-
-    Of both differences only as many of the first are kept as a similar text can lack, and one more. Sets are in one
-    order, so these hold the first that two similar texts differ in together: at most (1 - s) of a text's shingles are
-    not in a text of similarity s, so if the first that both have and the pivot hasn't stood further back, too many
-    before it would be missing from the other. In the same way a similar text has at most 1/s - 1 times as many shingles
-    that the text itself lacks.
+    An entry with fewer keys that others have too than ``least`` is like no other. Of a pair's keys the one that the
+    fewest entries have is before all others of the pair in both entries' order, so each may leave out the last
+    ``least`` - 1: the most common ones.
     """
-    one = sets.select(F.col("entry").alias("pivot"), F.col("hashes").alias("of_pivot"))
-    rows = tried.join(one, "pivot").join(sets, "entry").select(
-        "pivot", "entry", F.size("hashes").alias("size"), F.size("of_pivot").alias("whole"),
-        F.array_except("hashes", "of_pivot").alias("extra"), F.array_except("of_pivot", "hashes").alias("missing"),
-    ).withColumn("both", F.col("size") - F.size("extra"))
-    union = F.col("whole") + F.size("extra")
-
-    def first(shingles: str, share: float) -> Column:
-        return F.slice(shingles, 1, F.floor(F.col("size") * F.lit(share) + F.lit(1e-6)).cast("int") + 1).alias(shingles)
-
-    return rows.select(
-        "pivot", "entry", "size", "both", first("extra", 1 - similarity), first("missing", 1 / similarity - 1),
-        (F.col("both") / union >= similarity).alias("linked"), (F.col("both") * F.lit(1 + 1 / similarity) - F.col("size")).alias("reach"),
+    index = entries.select("entry", "least", F.explode("keys").alias("grp"))
+    counted = index.withColumn("n", F.count("*").over(Window.partitionBy("grp"))).where("n > 1")
+    own = Window.partitionBy("entry")
+    ranked = counted.select(
+        "grp", "entry", "least", F.row_number().over(own.orderBy("n", "grp")).alias("place"),
+        F.count("*").over(own).alias("had"), F.sum("n").over(own).alias("degree"),
     )
+    return ranked.where("place <= had - least + 1").select("grp", "entry", "degree")
+
+
+def with_pivots(groups: DataFrame) -> DataFrame:
+    """pivot, entry, degree, n: members of groups (grp, entry, open, degree) with the open member that meets most entries.
 
+    n tells how many members a pivot has."""
+    pivot = F.max(F.struct("open", "degree", "entry")).over(Window.partitionBy("grp"))
+    named = groups.withColumn("pivot", pivot["entry"]).where("entry <> pivot")
+    return named.select("pivot", "entry", "degree").distinct().withColumn("n", F.count("*").over(Window.partitionBy("pivot")))
 
-def dealt_by_difference(compared: DataFrame) -> DataFrame:
-    """grp, pivot, entry, and the columns of ``compared``: members that may be similar though the pivot does not link them.
 
-    Let x be unlike the pivot and similar to y. If x and y share nothing that the pivot lacks, their common part lies in
-    that of x and the pivot, so y must be no larger than x's reach; and if they lack nothing together either, they are
-    no more alike than x and the pivot. So they share a shingle that the pivot lacks, or lack one together and y is
-    small enough. Only groups with such an x and another member stay, and of those with the same members one.
+def plausible(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those that may be similar by their sizes and keys.
+
+    Of the text whose keys end first, all shingles that the other has too are among the keys both have or not among its
+    keys at all: what it has in common with the other is no more than these.
     """
-    bounds = compared.groupBy("pivot").agg(F.min("size").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most"))
-    rows = compared.join(bounds, "pivot")
-    about = ["pivot", "entry", "linked", "size", "both", "reach"]
-    small = (F.col("reach") >= F.col("least")) & (~F.col("linked") | (F.col("size") <= F.col("most")))
-    shared = rows.select(*about, F.lit(False).alias("lacks"), F.explode("extra").alias("shingle"))
-    shared = shared.unionByName(rows.where(small).select(*about, F.lit(True).alias("lacks"), F.explode("missing").alias("shingle")))
-    named = shared.withColumn("grp", F.xxhash64("pivot", "shingle", F.col("lacks").cast("int")))
-    heads = named.groupBy("grp", "pivot", "lacks").agg(
-        F.count("*").alias("n"), F.max(~F.col("linked")).alias("open"), F.bit_xor(F.xxhash64("entry")).alias("members")
-    ).where("n > 1 and open")
-    once = heads.groupBy("pivot", "lacks", "n", "members").agg(F.min("grp").alias("grp"))
-    return named.join(once.select("grp", "n"), "grp").drop("shingle")
-
-
-def pairs_in_groups(dealt: DataFrame, sketches: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
-    """a, b: members of a group of ``dealt`` that may be similar and that its pivot does not link both.
-
-    Edited copies share many differences, and so many groups of one pivot. What is known of a pair is the same in all of
-    one kind (shared or lacked), so it is made in the first that both are in only, as far as the first ``GROUPS_KNOWN``
-    of both tell; others make it again, and none is lost. With ``roots`` (node, root: links known so far) pairs of one
-    component are left out.
+    last = F.element_at("keys", -1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("last")
+    about = known.select("entry", "size", "least", "keys", last)
+    one, two = (about.select(F.col("entry").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in about.columns[1:]]) for x in "ab")
+    met = F.size(F.array_intersect("keys_a", "keys_b"))
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("size_a") - F.size("keys_a")).otherwise(F.col("size_b") - F.size("keys_b"))
+    room = (met + rest) * F.lit(1 + 1 / similarity) + F.lit(1e-6) >= F.col("size_a") + F.col("size_b")
+    fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - F.lit(1e-6)
+    enough = met >= F.greatest("least_a", "least_b")
+    return pairs.join(one, "a").join(two, "b").where(fit & enough & room).select("a", "b")
+
+
+def pairs_in_groups(dealt: DataFrame, entries: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """a, b: members of a group of ``dealt`` that may be similar by their sizes and that its pivot does not link both.
+
+    ``both`` is what a member has in common with the pivot (0 for all: not known); ``lacks`` tells groups of members that
+    lack a shingle of the pivot together. What is known of a pair is the same in all groups of one pivot and kind, so it
+    is made in the first that both are in only, as far as the first ``GROUPS_KNOWN`` of both tell; others make it again,
+    and none is lost. With ``roots`` (node, root: links known so far) pairs of one component are left out.
     """
     key = ["pivot", "entry", "lacks"]
     meets = dealt.groupBy(*key).agg(F.slice(F.sort_array(F.collect_set("grp")), 1, GROUPS_KNOWN).alias("meets"))
-    about = sketches.select("entry", "sketch", F.col("entry").alias("root"))
+    about = entries.select("entry", F.col("entry").alias("root"))
     if roots is not None:
         about = about.drop("root").join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     rows = dealt.join(meets, key).join(about, "entry")
-    a, b = (rows.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "root", "linked", "size", "both", "lacks", "sketch", "meets")]) for x in "ab")
+    a, b = (rows.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("entry", "root", "linked", "size", "both", "lacks", "meets")]) for x in "ab")
     once = F.col("linked_b") | (F.col("entry_a") < F.col("entry_b"))
     # What two texts can have in common: of the pivot's shingles, and of others unless they only lack one together.
     others = F.when(F.col("lacks_a"), 0).otherwise(F.least(F.col("size_a") - F.col("both_a"), F.col("size_b") - F.col("both_b")))
-    room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) >= F.col("size_a") + F.col("size_b")
-    close = lanes_apart(F.col("sketch_a"), F.col("sketch_b")) <= MOST_LANES
+    room = (F.least("both_a", "both_b") + others) * F.lit(1 + 1 / similarity) + F.lit(1e-6) >= F.col("size_a") + F.col("size_b")
     met = F.coalesce(F.array_min(F.array_intersect("meets_a", "meets_b")) < F.col("grp"), F.lit(False))
     apart = (F.col("entry_a") != F.col("entry_b")) & (F.col("root_a") != F.col("root_b"))
-    pairs = a.where("not linked_a").join(b, "grp").where(apart & once & room & ~met & close)
+    pairs = a.where("not linked_a").join(b, "grp").where(apart & once & room & ~met)
     return pairs.select(F.least("entry_a", "entry_b").alias("a"), F.greatest("entry_a", "entry_b").alias("b"))
 
 
+def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the sets ``left`` have in common with the sets ``right``; ``values`` holds all sets in a row."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    different, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], np.cumsum(times > 1)[column[several]] - 1
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int((times > 1).sum()), 2048):
+        at = slice(*np.searchsorted(column, [start, start + 2048]))
+        held = np.zeros((len(sizes), 2048), np.float32)
+        held[owner[at], column[at] - start] = 1
+        both += held[left] @ held[right].T
+    return both
+
+
+def connecting(near: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of the symmetric ``near`` that connect all it connects, given that those in ``joined`` are connected."""
+    left, front, found = near.any(axis=1) & ~joined, np.nonzero(joined)[0], []
+    while True:
+        while len(front):
+            reached = near[front]
+            new = np.nonzero(left & reached.any(axis=0))[0]
+            found += zip(front[reached[:, new].argmax(axis=0)], new) if len(new) else []
+            left[new] = False
+            front = new
+        front = np.nonzero(left)[0][:1]
+        if not len(front):
+            return found
+        left[front] = False
+
+
+def links_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all similar members (pivot, entry, linked, size) of a pivot, as those it links are.
+
+    Members are dealt into blocks of like sizes; each block with a member that isn't linked meets those of its pivot
+    that can hold similar texts. A meeting of two blocks is one matrix product, so a crowd costs no row a pair.
+    """
+    step = math.log(1 / similarity) + 1e-9  # similar sets are at most one class apart
+    rows = members.withColumn("class", F.floor(F.log("size") / F.lit(step)))
+    parts = F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_HASHES), F.count("*") / F.lit(BLOCK_MEMBERS)))
+    rows = rows.join(rows.groupBy("pivot", "class").agg(parts.alias("parts")), ["pivot", "class"])
+    part = F.pmod(F.xxhash64("entry"), "parts")
+    rows = materialize(rows.select("pivot", "entry", "linked", "class", (F.shiftleft("class", 32) + part).alias("block")), "near-blocks")
+    blocks = rows.groupBy("pivot", "block", "class").agg(F.max(~F.col("linked")).alias("open"))
+    a, b = (blocks.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "class", "open")]) for x in "ab")
+    meet = a.join(b, "pivot").where("block_a <= block_b and class_b <= class_a + 1 and (open_a or open_b)")
+    meet = materialize(meet.select("pivot", "block_a", "block_b"), "near-meetings")
+    sides = meet.select("*", F.col("block_a").alias("block"), F.lit(False).alias("other"))
+    sides = sides.unionByName(meet.where("block_a < block_b").select("*", F.col("block_b").alias("block"), F.lit(True).alias("other")))
+
+    def run(table: pa.Table) -> pa.Table:
+        entry, linked, other = (table[c].to_numpy() for c in ("entry", "linked", "other"))
+        lists = pa.concat_arrays(table["hashes"].chunks)
+        sizes = lists.value_lengths().to_numpy()
+        left, right = np.nonzero(~other)[0], np.nonzero(other if other.any() else ~other)[0]
+        both = overlaps(lists.flatten().to_numpy(), sizes, left, right).astype(np.float64)
+        found = both / (sizes[left][:, None] + sizes[right] - both) >= similarity
+        found &= ~(linked[left][:, None] & linked[right]) & (entry[left][:, None] != entry[right])
+        near = np.zeros((len(entry), len(entry)), bool)
+        near[np.ix_(left, right)] = found
+        pairs = entry[np.array(connecting(near | near.T, linked), np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    meeting = sides.join(rows.select("pivot", "block", "entry", "linked"), ["pivot", "block"]).join(sets, "entry")
+    meeting = meeting.select("pivot", "block_a", "block_b", "other", "entry", "linked", "hashes")
+    return meeting.groupBy("pivot", "block_a", "block_b").applyInArrow(run, "a bigint, b bigint")
+
+
 def similar_links(
-    docs: DataFrame, entries: DataFrame, shingle: int = 5, similarity: float = 0.8, group_most: int = 32, rounds: int = 6
+    docs: DataFrame, entries: DataFrame, shingle: int = 5, similarity: float = 0.8, group_most: int = 32, rounds: int = 1
 ) -> DataFrame:
-    """a, b: links between entries (entry, first, sketch) that make the components of all similar pairs the keys bring.
-
-    Every member of a bucket is compared with a pivot: the member that shares most keys with other entries, which in a
-    crowd of edited copies is the text they were made from. Members it links need no comparison with each other. The
-    others are dealt anew by the shingles in which they differ from the pivot; new groups of up to ``group_most`` are
-    compared in pairs, larger ones get a pivot again, and after ``rounds`` of this all that are left are compared, but for
-    pairs that are connected by then. So neither a crowd around one text nor one around a common passage costs its pairs,
-    and no component is torn.
+    """a, b: links between entries (entry, first, size, least, keys) that make the components of all similar pairs.
+
+    Entries without keys get them from ``docs``. Every member of a group of entries that share a key is compared with a
+    pivot: the member that meets most other entries, which in a crowd of edited copies is the text they were made from.
+    Members it links need no comparison with each other. The others are compared with all members of the pivot's groups:
+    in pairs if these are up to ``group_most``, and in blocks if they are more, after ``rounds`` of pivots. So no pair of
+    similar texts is torn.
     """
-    index = entries.select("entry", F.explode(lane_keys(F.col("sketch"))).alias("grp")).select("grp", "entry")
-    # One shuffle of the keys. A group holds an entry once, so none has more than a 64th of them.
-    counted = index.withColumn("n", F.count("*").over(Window.partitionBy("grp")))
-    members = materialize(counted.where("n > 1"), "near-members")
-    known = members.groupBy("entry").agg(F.sum("n").alias("degree"))
-    known = materialize(entries.join(known, "entry"), "near-known")
-    sets = materialize(sets_of(docs, known.select(F.col("first").alias("doc_id"), "entry"), shingle), "near-sets")
-
-    groups, found = members.select("grp", "entry"), []
+    if "keys" not in entries.columns:
+        marked = prefixes(docs, shingle, similarity)
+        entries = one_of_each(marked, marked.groupBy("entry").count().where("count > 1")).join(entries.select("entry"), "entry", "left_semi")
+    tried = materialize(with_pivots(shared_keys(entries).withColumn("open", F.lit(True))), "near-tried")
+    names = materialize(tried.select("entry").union(tried.select("pivot")).distinct(), "near-names")
+    known = may_be_in(entries, names, ["entry"]).where("`may be in`").join(names, "entry", "left_semi").drop("may be in")
+    known = materialize(known, "near-known")
+
+    found, sets = [], None
     for left in range(rounds - 1, -1, -1):
-        ranked = groups.join(known.select("entry", "degree"), "entry")
-        pivots = ranked.groupBy("grp").agg(F.max(F.struct("degree", "entry")).alias("p")).select("grp", F.col("p.entry").alias("pivot"))
-        tried = groups.join(pivots, "grp").where("entry <> pivot").select("pivot", "entry").distinct()
-        compared = materialize(compared_with(materialize(tried, "near-tried"), sets, similarity), "near-compared")
-        found.append(compared.where("linked").select(F.least("pivot", "entry").alias("a"), F.greatest("pivot", "entry").alias("b")))
-        dealt = materialize(dealt_by_difference(compared), "near-dealt")
-        # Few members are dealt anew, and no others are compared from here on: their sets alone go to the next joins.
-        sets = materialize(sets.join(dealt.select("entry").distinct(), "entry", "left_semi"), "near-sets")
-        cold = dealt.where(F.col("n") <= group_most) if left else dealt
-        roots = None if left else components(reduce(DataFrame.unionByName, found))
-        pairs = materialize(pairs_in_groups(cold, known, similarity, roots).distinct(), "near-pairs")
-        found.append(materialize(similar(pairs, sets, similarity), "near-links"))
-        groups = dealt.where(F.col("n") > group_most).select("grp", "entry")
-        if groups.isEmpty():
+        pairs = materialize(plausible(tried.select(F.col("pivot").alias("a"), F.col("entry").alias("b")), known, similarity), "near-pairs")
+        few = tried.where((F.col("n") > 1) & (F.col("n") <= group_most)).join(known.select("entry", "size"), "entry").select(
+            F.col("pivot").alias("grp"), "pivot", "entry", F.lit(False).alias("linked"), "size", F.lit(0).alias("both"), F.lit(False).alias("lacks")
+        )
+        others = materialize(plausible(pairs_in_groups(few, known, similarity).distinct(), known, similarity), "near-others")
+        many = tried.where(F.col("n") > group_most)
+        if sets is None:  # of later rounds too
+            names = [x.select(F.col(c).alias("entry")) for x, c in ((pairs, "a"), (pairs, "b"), (others, "a"), (others, "b"), (many, "entry"))]
+            names = materialize(reduce(DataFrame.unionByName, names).distinct(), "near-names")
+            sets = sets_of(docs, known.join(names, "entry", "left_semi").select(F.col("first").alias("doc_id"), "entry"), shingle)
+            sets = materialize(sets, "near-sets")
+        linked = materialize(similar(pairs, sets, similarity).distinct(), "near-links")
+        found.append(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        # Of two that one pivot links, and of a pivot and one that it links, nothing more needs to be known.
+        roots = linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        one, two = (roots.select(F.col("node").alias(x), F.col("root").alias("root_" + x)) for x in "ab")
+        others = others.join(one, "a", "left").join(two, "b", "left")
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        found.append(materialize(similar(others.where(apart).select("a", "b"), sets, similarity), "near-links"))
+
+        linked = linked.select(F.col("a").alias("pivot"), F.col("b").alias("entry"), F.lit(True).alias("linked"))
+        many = many.join(linked, ["pivot", "entry"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        many = many.join(many.groupBy("pivot").agg(F.min("linked").alias("all")).where("not all"), "pivot")
+        many = materialize(many.join(known.select("entry", "size"), "entry"), "near-many")
+        if many.isEmpty():
             break
+        if left:
+            tried = materialize(with_pivots(many.select(F.col("pivot").alias("grp"), "entry", (~F.col("linked")).alias("open"), "degree")), "near-tried")
+        else:
+            found.append(materialize(links_in_blocks(many, sets, similarity), "near-links"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -406,15 +490,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """One document of each component of similar texts: that with the smallest doc_id (of several texts of that id in
     the component, that with the smallest hash); its repeated rows shrink to one.
 
-    Two texts are linked if their sets of word shingles have a Jaccard similarity of at least ``similarity``, checked
-    on the sets of every candidate pair; texts with equal sets are one entry. A document is a row's id and text: texts
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of at least ``similarity``; no such
+    pair is missed. Texts with equal sets are one entry. A document is a row's id and text: texts
     of one id that aren't similar all stay. All columns of ``docs`` stay as they are. Rows without a doc_id are kept.
     """
     named = docs.where("doc_id is not null")
-    marked = materialize(sketches(named, shingle), "near-sketches")
-    entries = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
-    entries = materialize(entries.select("entry", "rows", F.col("first.doc_id").alias("first"), F.col("first.text_key").alias("text_key"), "sketch"), "near-entries")
-    groups = materialize(components(similar_links(named, entries, shingle, similarity)), "near-groups")
+    marked = materialize(prefixes(named, shingle, similarity), "near-keys")
+    entries = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows"))
+    entries = materialize(entries.select("entry", "rows", F.col("first.doc_id").alias("first"), F.col("first.text_key").alias("text_key")), "near-entries")
+    keyed = one_of_each(marked, entries.where("rows > 1").select("entry"))
+    groups = materialize(components(similar_links(named, keyed, shingle, similarity)), "near-groups")
     member = entries.join(groups, entries["entry"] == groups["node"], "left").select(
         "entry", "rows", F.struct("first", "text_key").alias("head"), F.coalesce("root", "entry").alias("root")
     )

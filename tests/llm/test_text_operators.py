@@ -459,3 +459,77 @@ def test_may_be_in_misses_no_row(spark):
     found = {r["may be in"]: r["n"] for r in simhash.may_be_in(ids, wanted, ["k"]).groupBy("may be in").agg(F.count("*").alias("n")).collect()}
     assert simhash.may_be_in(wanted, wanted, ["k"]).where("not `may be in`").isEmpty() and found[True] < 10_200
     assert found[True] + found[False] == 100_000
+
+
+def test_near_duplicate_stage_misses_no_pair_by_chance(spark):
+    """Pairs at 0.817 that share no key of eight lanes, by which candidates were found before."""
+    rows = []
+    for i, seed in enumerate((165, 430, 2983)):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        changed = list(words)
+        for at in rng.sample(range(0, 400, 5), 8):
+            changed[at] = f"new{at}"
+        rows += [doc(2 * i, " ".join(words)), doc(2 * i + 1, " ".join(changed))]
+        assert five_word_similarity(rows[-2][1], rows[-1][1]) >= 0.8
+    assert collect(simhash.drop_near_duplicates(frame(spark, rows)), "doc_id") == [(0,), (2,), (4,)]
+
+
+def test_similar_sets_share_as_many_keys_as_they_count_on():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 4, 5, 19, 20, 21, 100, 400):
+        for _ in range(60):
+            one = rng.choice(1 << 16, n, replace=False).astype(np.uint64) << np.uint64(rng.choice([20, 48]))  # many equal upper halves, or none
+            gone = rng.integers(0, n // 5 + 1)
+            two = np.unique(np.append(one[gone:], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 1)).astype(np.uint64)))
+            both = len(np.intersect1d(one, two))
+            if both / (n + len(two) - both) >= 0.8:
+                (a, least_a), (b, least_b) = (simhash.prefix(np.sort(x), 0.8) for x in (one, two))
+                assert len(np.intersect1d(a, b)) >= max(least_a, least_b)
+
+
+def test_blocks_of_a_crowd_connect_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 7)
+    rng = random.Random(4)
+    base = list(range(100))
+    sets = [sorted({rng.randrange(100, 400) if rng.random() < most else x for x in base[: rng.randrange(50, 101)]}) for most in [0.05] * 40 + [0.15] * 40]
+    entries = [(i, h) for i, h in enumerate(map(list, {tuple(s) for s in sets}))]
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+    members = spark.createDataFrame([(1000, i, alike(h, base), len(h)) for i, h in entries], "pivot long, entry long, linked boolean, size int")
+    table = spark.createDataFrame(entries, "entry long, hashes array<long>")
+    got = [tuple(r) for r in simhash.links_in_blocks(members, table, 0.8).collect()]
+    hub = [(i, 1000) for i, h in entries if alike(h, base)]
+    want = [(i, j) for (i, a), (j, b) in itertools.combinations(entries, 2) if alike(a, b)]
+    assert set(got) <= {tuple(sorted(p)) for p in want} and 0 < len(got) < len(want)
+
+    def roots(links):
+        root = {n: n for n in [i for i, _ in entries] + [1000]}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(got + hub) == roots(want + hub)
+
+
+def test_a_large_crowd_is_settled_by_one_round(spark, monkeypatch):
+    """400 copies, half of them under 0.8 from the text they were made from: pairs aren't made as rows, nor pivots chosen again."""
+    made, real = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: made.append(label) or real(df, label))
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = [f"c{k}" for k in range(200)]
+        for at in rng.sample(range(200), rng.randrange(1, 9)):
+            words[at] = f"own{rng.randrange(10**6)}"
+        rows.append(doc(i, " ".join(words)))
+    kept = sorted(i for (i,) in collect(simhash.drop_near_duplicates(frame(spark, rows)), "doc_id"))
+    assert made.count("near-tried") == 1 and len(made) < 30
+    sets = [set(simhash.shingle_set(r[1]).tolist()) for r in rows]
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    root = list(range(400))
+    for a, b in itertools.combinations(range(400), 2):
+        if root[a] != root[b] and near(a, b):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert kept == sorted(set(root)) and 1 < len(kept) < 350
